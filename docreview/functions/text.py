@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docreview.constants import HEADING_SHARE_OF_P90, STYLED_HEADING_MAX_CHARS
+from docreview.constants import STYLED_HEADING_MAX_CHARS
 
 # ---- fixed values: patterns -------------------------------------------------------------
 # (?U) gives \d, \s and \S their Unicode meaning.
@@ -74,11 +74,6 @@ def numbering_class(text: Column) -> Column:
     return _first_match(text, NUMBERING_CLASSES)
 
 
-def is_heading(level: Column, text: Column, p90: Column) -> Column:
-    """Numbered and clearly shorter than a full line of the same file."""
-    return level.isNotNull() & (F.length(text) < F.lit(HEADING_SHARE_OF_P90) * p90)
-
-
 def styled_heading_level(style: Column, text: Column) -> Column:
     """Word-processor rule: the paragraph style decides; without one, a short numbered line."""
     number = F.nullif(F.regexp_extract(F.coalesce(style, F.lit("")), STYLE_NAME, 1), F.lit(""))

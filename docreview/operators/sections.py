@@ -1,10 +1,13 @@
 """Sectionising: lines with page numbers -> sections with their heading path."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreview.constants import BIDDER, CHUNK_LINES, FILE, PREFACE, TABLE_MARK
+from docreview.constants import (
+    BIDDER, CHUNK_LINES, FILE, HEADING_SHARE_OF_P90, PREFACE, TABLE_MARK,
+)
 from docreview.functions import scan, text
+from docreview.session import stage
 
 _PREFACE_BLOCK = -1
 
@@ -17,41 +20,52 @@ def line_p90(lines: DataFrame) -> DataFrame:
     )
 
 
-def mark_headings(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Add `chunk`, `level` (NULL for body lines) and `is_heading`.
-
-    The threshold reaches the lines through one row per chunk, so a large file is joined on many
-    keys; the windows that follow need the same partitioning, so this is the only shuffle of the
-    lines."""
-    cut = lines.withColumn("chunk", scan.chunk_of(F.col("line_no"), chunk_lines))
-    chunks = cut.select(*FILE, "chunk").distinct().join(
-        line_p90(lines).select(*FILE, "p90"), FILE
+def _features(lines: DataFrame, level: Column, chunk_lines: int) -> DataFrame:
+    return lines.select(
+        *FILE, "file", "line_no", "page",
+        scan.chunk_of(F.col("line_no"), chunk_lines).alias("chunk"),
+        F.length("text").alias("len"), level.alias("level"),
+        F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]").alias("filled"),
+        F.when(level.isNotNull(), F.col("text")).alias("text"),
     )
-    level = text.heading_level(F.col("text"))
+
+
+def line_features(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """What the structure of a file needs of its lines: length, level, and the text of numbered
+    lines only. Narrow next to the lines, so it can be written once and read by every step."""
+    return _features(lines, text.heading_level(F.col("text")), chunk_lines)
+
+
+def mark_features(features: DataFrame) -> DataFrame:
+    """Add `is_heading`. The threshold reaches the lines through one row per chunk, so a large
+    file is joined on many keys; the windows that follow need the same partitioning."""
+    p90 = scan.order_statistics(features, FILE, "len", {"p90": scan.rank_index(0.9)}).drop("n")
+    chunks = features.select(*FILE, "chunk").distinct().join(p90, FILE)
+    short = F.col("len") < F.lit(HEADING_SHARE_OF_P90) * F.col("p90")
     return (
-        cut.join(chunks, [*FILE, "chunk"])
-        .withColumn("level", level)
-        .withColumn("is_heading", text.is_heading(F.col("level"), F.col("text"), F.col("p90")))
-        .drop("p90")
+        features.join(chunks, [*FILE, "chunk"])
+        .withColumn("is_heading", F.col("level").isNotNull() & short)
+        .drop("p90", "len")
     )
 
 
-def mark_styled_headings(paragraphs: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """The word-processor twin of `mark_headings`: `kind` is `p` or `t` (a flattened table)."""
+def mark_headings(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Numbered lines that are clearly shorter than a full line of the same file."""
+    return mark_features(line_features(lines, chunk_lines))
+
+
+def clean_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """Word-processor paragraphs: stripped, blank ones out; `t` rows (flattened tables) stay."""
     is_table = F.col("kind") == "t"
     clean = F.when(is_table, F.col("text")).otherwise(text.strip(F.col("text")))
-    return (
-        paragraphs.withColumn("text", clean)
-        .where(is_table | (F.length("text") > 0))
-        .withColumn("chunk", scan.chunk_of(F.col("line_no"), chunk_lines))
-        .withColumn(
-            "level",
-            F.when(~is_table, text.styled_heading_level(F.col("style"), F.col("text"))),
-        )
-        .withColumn("is_heading", F.col("level").isNotNull())
-        .withColumn("page", F.lit(None).cast("int"))
-        .drop("kind", "style")
-    )
+    return paragraphs.withColumn("text", clean).where(is_table | (F.length("text") > 0))
+
+
+def mark_styled_headings(clean: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """The word-processor twin of `mark_headings`: the style decides, there is no threshold."""
+    level = F.when(F.col("kind") != "t", text.styled_heading_level(F.col("style"), F.col("text")))
+    paged = clean.withColumn("page", F.lit(None).cast("int"))
+    return _features(paged, level, chunk_lines).withColumn("is_heading", F.col("level").isNotNull()).drop("len")
 
 
 def heading_paths(marked: DataFrame, levels: int = 5) -> DataFrame:
@@ -87,60 +101,79 @@ def assign_lines(marked: DataFrame) -> DataFrame:
     )
 
 
-def _block_texts(marked: DataFrame) -> DataFrame:
-    """One row per block with body lines. Lines are joined chunk by chunk first, so an array
-    never holds more than one chunk."""
-    body = assign_lines(marked).where(~F.col("is_heading"))
-    partial = body.groupBy(*FILE, "block", "chunk").agg(
-        F.first("file").alias("file"),
-        F.min_by("page", "line_no").alias("page"),
-        scan.ordered_join("text", "line_no", "\n").alias("text"),
+def block_texts(lines: DataFrame, body: DataFrame, chunk_lines: int) -> DataFrame:
+    """Text of every block. Lines are joined chunk by chunk first, so an array never holds more
+    than one chunk."""
+    cut = lines.select(
+        *FILE, scan.chunk_of(F.col("line_no"), chunk_lines).alias("chunk"), "line_no", "text"
     )
-    return partial.groupBy(*FILE, "block").agg(
-        F.first("file").alias("file"),
-        F.min_by("page", "chunk").alias("first_page"),
-        scan.ordered_join("text", "chunk", "\n").alias("text"),
+    partial = (
+        cut.join(body.select(*FILE, "chunk", "line_no", "block"), [*FILE, "chunk", "line_no"])
+        .groupBy(*FILE, "chunk", "block")
+        .agg(scan.ordered_join("text", "line_no", "\n").alias("text"))
     )
+    return partial.groupBy(*FILE, "block").agg(scan.ordered_join("text", "chunk", "\n").alias("text"))
+
 
+def build_sections(
+    lines: DataFrame, marked: DataFrame, levels: int = 5, chunk_lines: int = CHUNK_LINES
+) -> DataFrame:
+    """Blocks with text become sections; blank blocks vanish and take no number.
 
-def build_sections(marked: DataFrame, levels: int = 5, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Blocks with text become sections; blank blocks vanish and take no number."""
+    Which blocks there are, their numbers and their paths come from the narrow `marked` rows; the
+    text itself is shuffled only to be joined into its block."""
+    body = assign_lines(marked).where(~F.col("is_heading"))
+    blocks = (
+        body.groupBy(*FILE, "block")
+        .agg(
+            F.bool_or("filled").alias("_filled"), F.first("file").alias("file"),
+            F.min_by("page", "line_no").alias("first_page"),
+        )
+        .where("_filled")
+        .withColumn("_chunk", scan.chunk_of(F.col("block"), chunk_lines))
+    )
+    numbered = scan.number_rows(blocks, FILE, "_chunk", ["block"], "seq")
     paths = heading_paths(marked, levels).select(
         *FILE, F.col("line_no").alias("block"), "level", F.col("page").alias("heading_page"), "path"
     )
-    blocks = (
-        _block_texts(marked)
-        .withColumn("text", text.strip(F.col("text")))
-        .where(F.length("text") > 0)
-        .join(paths, [*FILE, "block"], "left")
-    )
     is_preface = F.col("block") == _PREFACE_BLOCK
-    numbered = scan.number_rows(
-        blocks.withColumn("_chunk", scan.chunk_of(F.col("block"), chunk_lines)),
-        FILE, "_chunk", ["block"], "seq",
-    )
-    return numbered.select(
-        "project", "bidder",
-        F.concat_ws("#", "file_no", "seq").alias("id"),
-        "file",
-        text.item_guid(F.col("file")).alias("item_guid"),
-        F.when(is_preface, F.array(F.lit(PREFACE))).otherwise(F.col("path")).alias("path"),
-        F.when(is_preface, F.lit(0)).otherwise(F.col("level")).alias("level"),
-        F.when(is_preface, F.col("first_page")).otherwise(F.col("heading_page")).alias("page"),
-        "text",
-        F.length("text").alias("char_len"),
-        "file_no", "seq",
+    return (
+        block_texts(lines, body, chunk_lines)
+        .join(numbered, [*FILE, "block"])
+        .join(paths, [*FILE, "block"], "left")
+        .withColumn("text", text.strip(F.col("text")))
+        .select(
+            "project", "bidder",
+            F.concat_ws("#", "file_no", "seq").alias("id"),
+            "file",
+            text.item_guid(F.col("file")).alias("item_guid"),
+            F.when(is_preface, F.array(F.lit(PREFACE))).otherwise(F.col("path")).alias("path"),
+            F.when(is_preface, F.lit(0)).otherwise(F.col("level")).alias("level"),
+            F.when(is_preface, F.col("first_page")).otherwise(F.col("heading_page")).alias("page"),
+            "text",
+            F.length("text").alias("char_len"),
+            "file_no", "seq",
+        )
     )
 
 
-def sections(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Numbered lines of a PDF -> sections."""
-    return build_sections(mark_headings(lines, chunk_lines), 5, chunk_lines)
+def sections(lines: DataFrame, chunk_lines: int = CHUNK_LINES, staged: bool = True) -> DataFrame:
+    """Numbered lines of a PDF -> sections.
+
+    `staged` writes the line features once to the shared folder (one job); without it every step
+    derives them from the text again."""
+    features = line_features(lines, chunk_lines)
+    marked = mark_features(stage(features) if staged else features)
+    return build_sections(lines, marked, 5, chunk_lines)
 
 
-def styled_sections(paragraphs: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def styled_sections(
+    paragraphs: DataFrame, chunk_lines: int = CHUNK_LINES, staged: bool = True
+) -> DataFrame:
     """Styled paragraphs (word processor, HTML headings) -> sections without page and GUID."""
-    built = build_sections(mark_styled_headings(paragraphs, chunk_lines), 6, chunk_lines)
+    clean = clean_paragraphs(paragraphs)
+    marked = mark_styled_headings(clean, chunk_lines)
+    built = build_sections(clean, stage(marked) if staged else marked, 6, chunk_lines)
     return built.withColumn("item_guid", F.lit(None).cast("string"))
 
 

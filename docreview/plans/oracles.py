@@ -803,7 +803,7 @@ r AS (SELECT *, review_status = 'rated' AND score IS NOT NULL AS usable, confide
     WHEN score = 0 THEN 'miss' ELSE 'rated' END AS kind,
   CASE WHEN type = 'retry' THEN '重试 ' || attempt_no || '/4' WHEN type = 'stage' THEN CASE WHEN stage_status = 'done' THEN '已完成' ELSE '进行中' END
     WHEN type = 'control' THEN '后台运行状态已更新' WHEN NOT usable THEN '— 未评定'
-    WHEN score = 0 THEN '0 分 ' || CASE miss_reason WHEN 'no_file' THEN '缺文件' ELSE '检索未命中' END || CASE WHEN low THEN ' · 建议复核' ELSE '' END
+    WHEN score = 0 THEN '0 分 ' || CASE miss_reason WHEN 'no_file' THEN '缺文件' WHEN 'not_found' THEN '检索未命中' ELSE '未命中' END || CASE WHEN low THEN ' · 建议复核' ELSE '' END
     ELSE '良 ' || printf('%.1f', score) || ' 分' || CASE WHEN low THEN ' · 建议复核' ELSE '' END END AS result FROM r"""),
     "pipeline_ranking": _with(_locate(NUMBERED) + """,
 graded AS (
