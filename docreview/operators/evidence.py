@@ -473,16 +473,20 @@ def pack_budget(
 
 def score_sections(
     section_rows: DataFrame, dims: DataFrame, scoped: bool = True, method: str = "auto",
-    matches: DataFrame | None = None,
+    matches: DataFrame | None = None, staged: bool = True,
 ) -> DataFrame:
-    """Sections x dimensions -> scores, before the threshold."""
+    """Sections x dimensions -> scores, before the threshold.
+
+    `staged` writes the weighed dimensions first: they are small, and Spark then knows their size
+    and broadcasts them only when they fit, so that sections stay where they are."""
     vocab = vocabulary(dims)
     sizes = corpus_size(section_rows)
     if matches is None:
         matches = section_matches(section_rows, vocab, method)
     freq = doc_freq(matches, vocab, sizes)
     weighed = weigh_dimensions(dims, freq).unionByName(bare_dimensions(dims, sizes))
-    return section_scores(matches, search_strings(weighed), scoped)
+    strings = search_strings(weighed)
+    return section_scores(matches, stage(strings) if staged else strings, scoped)
 
 
 def scope_pool(section_rows: DataFrame) -> DataFrame:
@@ -506,7 +510,7 @@ def locate_picks(
     The units are read by several branches. `staged` writes them once to the shared folder (they
     are few next to the sections); without it each branch searches the text again."""
     dims = search_dimensions(items, tokenise, name_vocab)
-    scores = score_sections(section_rows, dims, True, method, matches)
+    scores = score_sections(section_rows, dims, True, method, matches, staged)
     units = best_per_unit(scores.where(F.col("score") >= min_score))
     units = choose_units(stage(units) if staged else units)
     tops = top_units(units, max_units)
@@ -606,7 +610,7 @@ def locate_points(
         *ITEM, F.lit(None).cast("string").alias("scope"), F.lit(_FALLBACK_DIM).alias("dim_no"),
         "phrases", "terms",
     )
-    scores = score_sections(section_rows, own.unionByName(category), False, method)
+    scores = score_sections(section_rows, own.unionByName(category), False, method, staged=staged)
     units = best_per_unit(
         scores.where(F.col("score") >= min_score).withColumn("scope", F.lit(None).cast("string"))
     )

@@ -194,7 +194,7 @@ def attempts(spark, folder) -> DataFrame:
     prose, cut off, with wrong separators, without a reason; and failed calls."""
     e = F.col("event_id")
     score = F.when(F.col("i") == 19, F.lit(2.5)).otherwise(F.col("value") / 25)
-    rows = _named(table(spark, folder, "events").withColumns(_pair_columns())).withColumns(
+    rows = _named(spread_table(spark, folder, "events").withColumns(_pair_columns())).withColumns(
         {"_s": score.cast("string"), "_c": (e % 4).cast("string"), "_e": e.cast("string")}
     )
     plain = F.format_string('{"score":%s,"cite":[%s],"reason":"r%s"}', "_s", "_c", "_e")
