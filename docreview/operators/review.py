@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from docreview.constants import (
     BIDDER, ERROR_CITE_ARRAY, ERROR_CITE_INT, ERROR_CITE_RANGE, ERROR_NOT_OBJECT, ERROR_PARSE,
     ERROR_REASON, ERROR_SCORE, ERROR_TIER, FALLBACK_FACTOR, ITEM, MAX_ATTEMPTS,
-    NOT_FOUND_CONFIDENCE, PAIR, REASON_NOT_FOUND, REASON_NO_FILE, REASON_UNRATED, STUB_REASON,
-    TRUNCATED_FACTOR,
+    NOT_FOUND_CONFIDENCE, PAIR, REASON_NOT_FOUND, REASON_NO_FILE, REASON_UNRATED, SECTION,
+    STUB_REASON, TRUNCATED_FACTOR,
 )
 from docreview.functions import answers, text
 from docreview.operators.evidence import explode_picks
 from docreview.operators.merge import section_lookup
-from docreview.schemas import PERF, SAMPLING
+from docreview.schemas import ATTEMPTS, PERF, SAMPLING
 
 # ---- requests ---------------------------------------------------------------------------
 
@@ -23,12 +23,15 @@ from docreview.schemas import PERF, SAMPLING
 def evidence_text(packages: DataFrame, section_rows: DataFrame, position: Column | str = "seq") -> DataFrame:
     """One row per pick with its text, cut to the characters taken. The section is looked up by
     (bidder, id), then among sections without a bidder. `missing` marks picks without text."""
-    lookup = section_lookup(section_rows, position)
-    own = lookup.select(*BIDDER, F.col("id").alias("section_id"), F.col("text").alias("_own"))
-    shared = lookup.where("bidder = ''").select(
+    picks = explode_picks(packages)
+    # Only picked sections are looked up, so the other texts are never shuffled.
+    wanted = picks.select(*BIDDER, F.col("section_id").alias("id")).distinct()
+    own = section_lookup(section_rows.join(wanted, SECTION, "left_semi"), position).select(
+        *BIDDER, F.col("id").alias("section_id"), F.col("text").alias("_own")
+    )
+    shared = section_lookup(section_rows.where("bidder = ''"), position).select(
         "project", F.col("id").alias("section_id"), F.col("text").alias("_shared")
     )
-    picks = explode_picks(packages)
     carried = F.col("text") if "text" in picks.columns else F.lit(None).cast("string")
     found = (
         picks.withColumn("_carried", carried)
@@ -110,8 +113,6 @@ def score_with(
                          "error", "in_tokens", "out_tokens", "latency_ms"],
             )
 
-    from docreview.schemas import ATTEMPTS
-
     spread = request_rows.withColumn(
         "sample_no", F.explode(F.sequence(F.lit(1), F.lit(samples)))
     ).select(*PAIR, "sample_no", "request")
