@@ -393,6 +393,17 @@ def outline_lines(spark, folder) -> DataFrame:
     )
 
 
+def styled_parts(spark, folder) -> DataFrame:
+    """Parts as styled paragraphs: ten make up a file, every third file has headings only."""
+    p = F.col("p_partkey")
+    file_no = _div(p, 10)
+    return table(spark, folder, "part").select(
+        _project(file_no % 2).alias("project"), F.concat(F.lit("S"), (file_no % 5).cast("string")).alias("bidder"),
+        file_no.cast("int").alias("file_no"), F.lit("f.docx").alias("file"), (p % 10).cast("int").alias("line_no"),
+        F.lit("p").alias("kind"), F.when(file_no % 3 == 0, "Heading 1").alias("style"), F.col("p_name").alias("text"),
+    )
+
+
 # ---- supplier: upload paths -------------------------------------------------------------------
 
 

@@ -104,8 +104,8 @@ def sections(spark, d):
 
 @query
 def zero_section_files(spark, d):
-    lines = fx.numbered_lines(spark, d)
-    return sec.zero_section_files(lines.select(*FILE).distinct(), sec.sections(lines))
+    paragraphs = fx.styled_parts(spark, d)
+    return sec.zero_section_files(paragraphs.select(*FILE).distinct(), sec.styled_sections(paragraphs))
 
 
 @query
