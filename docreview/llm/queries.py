@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreview.llm import curriculum, exact, sharding, simhash
+from docreview.llm import curriculum, exact, html_blocks, quality_rules, resampling, sharding, simhash, toxicity
 from docreview.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,11 +16,32 @@ def query(function):
     return function
 
 
+@query
+def op1_quality_rules(spark, d):
+    return quality_rules.judge(table(spark, d, "documents"))
+
+
+@query
+def op3_quality_classifier(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return resampling.resample(docs, labels).select("doc_id", "log_weight", "draw", "kept")
+
+
 @query
 def op5_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+@query
+def op6_html(spark, d):
+    return html_blocks.extract(table(spark, d, "pages"))
+
+
+@query
+def op7_toxicity(spark, d):
+    return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op8_sharding(spark, d):
     return sharding.shard(table(spark, d, "documents")).select(
