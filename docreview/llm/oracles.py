@@ -91,3 +91,30 @@ SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
     (i + least(2 * rest / (low + sqrt(greatest(low * low - 2 * c * rest, 0))), 1)) / 2 END AS position
 FROM roots
 """
+
+ORACLES["op4_suffix_dedup"] = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, s, h[2 * s + 1 : 2 * s + 100] AS g
+  FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS s FROM texts)
+), firsts AS (
+  SELECT g, min(doc_id) AS first_doc FROM strings GROUP BY g
+), later AS (
+  SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS step
+  FROM strings JOIN firsts USING (g) WHERE first_doc < doc_id
+), numbered AS (
+  SELECT doc_id, s, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM later
+), spans AS (
+  SELECT doc_id, span, min(s) AS a, max(s) + 50 AS b FROM numbered GROUP BY doc_id, span
+), ends AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+), rest AS (
+  SELECT e.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+    string_agg(t.h[2 * before + 1 : 2 * a], '' ORDER BY a) AS kept
+  FROM ends e JOIN texts t USING (doc_id) GROUP BY e.doc_id
+)
+SELECT t.doc_id, length(t.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || t.h[2 * coalesce(last, 0) + 1 :])) AS kept_sha256
+FROM texts t LEFT JOIN rest USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreview.llm import curriculum, exact, html_blocks, quality_rules, resampling, sharding, simhash, toxicity
+from docreview.llm import curriculum, exact, html_blocks, quality_rules, resampling, sharding, simhash, suffixes, toxicity
 from docreview.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op3_quality_classifier(spark, d):
     return resampling.resample(docs, labels).select("doc_id", "log_weight", "draw", "kept")
 
 
+@query
+def op4_suffix_dedup(spark, d):
+    return suffixes.remove_repeats(table(spark, d, "documents")).drop("starts", "stops")
+
+
 @query
 def op5_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
