@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreview.llm import curriculum, exact, html_blocks, quality_rules, resampling, sharding, simhash, suffixes, toxicity
+from docreview.llm import (
+    curriculum, exact, html_blocks, pieces, quality_rules, resampling, sharding, simhash, suffixes, toxicity,
+)
 from docreview.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +23,16 @@ def op1_quality_rules(spark, d):
     return quality_rules.judge(table(spark, d, "documents"))
 
 
+@query
+def op2_sentencepiece(spark, d):
+    encoded = pieces.encode(table(spark, d, "documents").select("doc_id", "text"))
+    return pieces.decode(encoded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.col("decoded") == F.replace(pieces.text_or_empty(), F.lit(pieces.SPACE), F.lit(" ")), F.lit(False)).alias("round_trip"),
+    )
+
+
 @query
 def op3_quality_classifier(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
