@@ -49,3 +49,18 @@ def running_total(
         .withColumn(name, (F.col(name) + F.col("_start")).cast("long"))
         .drop("_start")
     )
+
+
+#: Keys that may be broadcast to the texts (under 100 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def bounded(small: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """`small`, marked for broadcast if it has at most `most` rows. It should be a written table."""
+    return F.broadcast(small) if small.count() <= most else small
+
+
+def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose key is not in the column `key` of `keys`; null is a key like others."""
+    gone = bounded(keys.select(F.col(key).alias("_gone")))
+    return df.join(gone, df[key].eqNullSafe(gone["_gone"]), "left_anti")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreview.llm.common import CHUNK_DIGITS, WORD, running_total, text_or_empty
+from docreview.llm.common import CHUNK_DIGITS, WORD, bounded, running_total, text_or_empty
 from docreview.session import stage
 
 #: Weights of the sources in the order of their names, repeating.
@@ -162,3 +162,23 @@ def training_order(plan: DataFrame, key: str = "doc_id") -> DataFrame:
     """The plan in the order of training, by a range sort on the first position of each document;
     what is never trained on comes last."""
     return plan.orderBy(F.asc_nulls_last(F.get("positions", F.lit(0))), key)
+
+
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of `df` in the order of training, each as often as the plan takes it in whole
+    documents, with their columns. What the plan does not take goes.
+
+    Rows that share a key are taken as the one of them that is taken most. The plan is broadcast
+    while it is short; the texts are moved by the range sort."""
+    plan = stage(
+        plan_mix(df, key, text, source, **options)
+        .where("copies > 0").groupBy(F.col(key).alias("_taken"))
+        .agg(F.max_by(F.slice("positions", F.lit(1), F.col("copies")), "copies").alias("_times"))
+    )
+    known = bounded(plan)
+    return (
+        df.join(known, df[key].eqNullSafe(known["_taken"]))
+        .withColumn("_time", F.explode("_times"))
+        .orderBy("_time", key)
+        .select(*df.columns)
+    )

@@ -1,9 +1,9 @@
 """Exact duplicates by progressive refinement: length, then a hash of the prefix, then of the whole."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreview.llm.common import BLANKS, text_or_empty
+from docreview.llm.common import BLANKS, text_or_empty, without_keys
 from docreview.session import stage
 
 #: Characters of the normalised text that the second refinement hashes.
@@ -83,3 +83,28 @@ def exact_groups(
         "text_sha256",
     )
     return result if digests else result.drop("text_sha256")
+
+
+def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` that `exact_groups` keeps, with all their columns.
+
+    Keys of which no row stays are taken out, by a broadcast while they are few. Only rows whose
+    key occurs more than once are told apart by their text as well: of their groups the row that
+    stays is found again by hash, key and length."""
+    groups = stage(exact_groups(df, key, text, digests=True))
+    keys = stage(
+        groups.groupBy(key).agg(F.max("kept").alias("_any"), F.count("*").alias("_rows")).where("NOT _any OR _rows > 1")
+    )
+    rest = without_keys(df, keys.where("NOT _any"), key)
+    repeated = keys.where("_any").select(F.col(key).alias("_again"))
+    if repeated.isEmpty():
+        return rest
+    won = groups.where("kept").select(F.col("text_sha256").alias("_sha"), F.col(key).alias("_won")).join(
+        repeated, F.col("_won").eqNullSafe(F.col("_again")), "left_semi"
+    )
+    again = rest.withColumns({
+        "_sha": F.sha2(without_blanks(text_or_empty(text)), 256), "_points": F.char_length(text_or_empty(text)),
+    }).join(won, "_sha").where(F.col(key).eqNullSafe(F.col("_won")))
+    first = Window.partitionBy("_sha").orderBy(F.desc("_points"))
+    best = again.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*df.columns)
+    return without_keys(rest, repeated.withColumnRenamed("_again", key), key).unionByName(best)

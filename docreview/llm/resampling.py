@@ -153,3 +153,8 @@ def resample(
     draws = stage(drawn.select("draw"))
     least = kth_largest(draws, "draw", math.ceil(share * draws.count()))
     return drawn.withColumn("kept", F.col("draw") >= F.lit(least))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of `df` that `resample` keeps, with their columns."""
+    return resample(df, labels, **options).where("kept").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docreview.llm.common import without_keys
 from docreview.session import stage
 
 BITS = 64
@@ -157,3 +158,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return prints.join(named, "fingerprint").select(
         key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_per_component(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` whose key is the smallest of its component, with all their columns; rows
+    with one key stay or go together. Keys that go are taken out by a broadcast while they are few."""
+    found = stage(near_duplicates(df, key, text))
+    gone = found.groupBy(key).agg(F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("_first")).where("NOT _first")
+    return without_keys(df, stage(gone.select(key)), key)

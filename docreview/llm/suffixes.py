@@ -40,6 +40,8 @@ MAP_BITS = 1 << 27
 #: Bytes of text per bucket, and bytes that are hashed at a time.
 BUCKET_BYTES = 8 << 20
 BLOCK = 1 << 17
+#: Bytes of text whose anchors a task holds at a time.
+PORTION = 8 << 20
 LAST = (1 << 63) - 1
 _LOW = np.uint64((1 << 48) - 1)
 _ODD = 0x9E3779B97F4A7C15
@@ -103,6 +105,18 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, np.concatenate(hashes)[which]
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in portions of at most PORTION bytes of text, or one longer text, which bounds
+    the arrays that are made of them."""
+    for batch in batches:
+        ends = _columns(batch)[3]
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + PORTION, "right")) - 1)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order numbers, marks, bytes and ends of the texts of a batch (order, mark, text)."""
     text = batch.column(2)
@@ -171,7 +185,7 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
 
 def _gram_batches(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             order, _, data, ends = _columns(batch)
             place, grams = anchors(data, ends)
             if not len(place):
@@ -230,7 +244,7 @@ def _mix(rows: np.ndarray) -> np.ndarray:
 def _suffix_batches(buckets: int, bits: int, maps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = maps.value
-        for batch in batches:
+        for batch in _portions(batches):
             order, mark, data, ends = _columns(batch)
             place, grams = anchors(data, ends)
             bit = (grams & _LOW) % np.uint64(bits)
@@ -242,9 +256,12 @@ def _suffix_batches(buckets: int, bits: int, maps):
             text = np.searchsorted(ends, place, "right") - 1
             left = np.minimum(place - ends[text], BEFORE)
             right = np.minimum(ends[text + 1] - place, LENGTH)
-            columns = np.arange(-BEFORE, LENGTH)
-            around = data[np.clip(place[:, None] + columns, 0, len(data) - 1)]
-            around[(columns < -left[:, None]) | (columns >= right[:, None])] = 0
+            columns = np.arange(-BEFORE, LENGTH, dtype=np.int8)
+            margin = np.zeros(LENGTH, np.uint8)
+            around = np.lib.stride_tricks.sliding_window_view(
+                np.concatenate([margin[:BEFORE], data[ends[0] : ends[-1]], margin]), CONTEXT
+            )[place - ends[0]]
+            around[(columns < -left.astype(np.int8)[:, None]) | (columns >= right.astype(np.int8)[:, None])] = 0
             content = _mix(np.column_stack([around, left.astype(np.uint8), right.astype(np.uint8)]))
             by = np.lexsort((content, grams))
             place, grams, text, content = place[by], grams[by], text[by], content[by]
