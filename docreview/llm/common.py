@@ -14,6 +14,17 @@ BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 CHUNK_DIGITS = 3
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them while `df` has columns called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        free.append(name)
+    return free
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreview.llm.common import CHUNK_DIGITS, WORD, bounded, running_total, text_or_empty
+from docreview.llm.common import CHUNK_DIGITS, WORD, bounded, free_names, running_total, text_or_empty
 from docreview.session import stage
 
 #: Weights of the sources in the order of their names, repeating.
@@ -170,15 +170,16 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Rows that share a key are taken as the one of them that is taken most. The plan is broadcast
     while it is short; the texts are moved by the range sort."""
+    taken, times, time = free_names(df, "_taken", "_times", "_time")
     plan = stage(
         plan_mix(df, key, text, source, **options)
-        .where("copies > 0").groupBy(F.col(key).alias("_taken"))
-        .agg(F.max_by(F.slice("positions", F.lit(1), F.col("copies")), "copies").alias("_times"))
+        .where("copies > 0").groupBy(F.col(key).alias(taken))
+        .agg(F.max_by(F.slice("positions", F.lit(1), F.col("copies")), "copies").alias(times))
     )
     known = bounded(plan)
     return (
-        df.join(known, df[key].eqNullSafe(known["_taken"]))
-        .withColumn("_time", F.explode("_times"))
-        .orderBy("_time", key)
+        df.join(known, df[key].eqNullSafe(known[taken]))
+        .withColumn(time, F.explode(times))
+        .orderBy(time, key)
         .select(*df.columns)
     )

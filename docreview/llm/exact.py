@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreview.llm.common import BLANKS, text_or_empty, without_keys
+from docreview.llm.common import BLANKS, free_names, text_or_empty, without_keys
 from docreview.session import stage
 
 #: Characters of the normalised text that the second refinement hashes.
@@ -99,12 +99,13 @@ def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     repeated = keys.where("_any").select(F.col(key).alias("_again"))
     if repeated.isEmpty():
         return rest
-    won = groups.where("kept").select(F.col("text_sha256").alias("_sha"), F.col(key).alias("_won")).join(
-        repeated, F.col("_won").eqNullSafe(F.col("_again")), "left_semi"
+    sha, points, n, winner = free_names(df, "_sha", "_points", "_n", "_won")
+    won = groups.where("kept").select(F.col("text_sha256").alias(sha), F.col(key).alias(winner)).join(
+        repeated, F.col(winner).eqNullSafe(F.col("_again")), "left_semi"
     )
     again = rest.withColumns({
-        "_sha": F.sha2(without_blanks(text_or_empty(text)), 256), "_points": F.char_length(text_or_empty(text)),
-    }).join(won, "_sha").where(F.col(key).eqNullSafe(F.col("_won")))
-    first = Window.partitionBy("_sha").orderBy(F.desc("_points"))
-    best = again.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*df.columns)
+        sha: F.sha2(without_blanks(text_or_empty(text)), 256), points: F.char_length(text_or_empty(text)),
+    }).join(won, sha).where(F.col(key).eqNullSafe(F.col(winner)))
+    first = Window.partitionBy(sha).orderBy(F.desc(points))
+    best = again.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*df.columns)
     return without_keys(rest, repeated.withColumnRenamed("_again", key), key).unionByName(best)

@@ -183,7 +183,7 @@ def labels_of(blocks: list[tuple[str, float, str, bool]]) -> list[bool]:
             kept.append(True)
         else:
             # No good block decides: running text and headings inside an article are main text.
-            kept.append(not out and (label == "near" or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "td", "pre")))
+            kept.append(not out and (label == "near" or tag in ("", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "td", "pre")))
     return kept
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docreview.llm.common import text_or_empty
+from docreview.llm.common import free_names, text_or_empty
 from docreview.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -267,7 +267,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MOD
                 [*batch.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema.names
             )
 
-    return df.select(*rest, text_or_empty(text).alias("_text")).mapInArrow(run, schema)
+    (whole,) = free_names(df, "_text")
+    return df.select(*rest, text_or_empty(text).alias(whole)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:

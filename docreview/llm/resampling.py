@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docreview.llm.common import text_or_empty, unit_interval
+from docreview.llm.common import free_names, text_or_empty, unit_interval
 from docreview.session import stage
 
 BUCKETS = 10_000
@@ -134,8 +134,9 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float:
 def resample(
     df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
     keep_share: float | None = None, noise: float = 1.0, target_rows: int = TARGET_ROWS,
+    names: tuple[str, str, str] = ("log_weight", "draw", "kept"),
 ) -> DataFrame:
-    """`df` with three more columns: log_weight, draw (weight plus Gumbel noise) and kept.
+    """`df` with three more columns, by default log_weight, draw (weight plus Gumbel noise) and kept.
 
     The k rows of the highest draw are kept, k being `keep_share` of the rows, or if that is None
     the share of good rows among the labelled ones (rounded up; all rows without labels). Rows that
@@ -149,12 +150,14 @@ def resample(
     ratios, share = fit(df, labels, key, text, label, target_rows)
     share = keep_share if keep_share is not None else share
     weight = log_weight(ratios, text_or_empty(text))
-    drawn = df.withColumn("log_weight", weight).withColumn("draw", F.col("log_weight") + noise * gumbel(F.col(key)))
-    draws = stage(drawn.select("draw"))
-    least = kth_largest(draws, "draw", math.ceil(share * draws.count()))
-    return drawn.withColumn("kept", F.col("draw") >= F.lit(least))
+    logs, draw, kept = names
+    drawn = df.withColumn(logs, weight).withColumn(draw, F.col(logs) + noise * gumbel(F.col(key)))
+    draws = stage(drawn.select(draw))
+    least = kth_largest(draws, draw, math.ceil(share * draws.count()))
+    return drawn.withColumn(kept, F.col(draw) >= F.lit(least))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `df` that `resample` keeps, with their columns."""
-    return resample(df, labels, **options).where("kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    names = free_names(df, "_logs", "_draw", "_kept")
+    return resample(df, labels, names=tuple(names), **options).where(names[2]).select(*df.columns)
