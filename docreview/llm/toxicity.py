@@ -6,7 +6,9 @@ composed into one machine beforehand. What it says about a clause - a plain, aim
 reported insult, a threat, a negated or reported threat - is weighed by the words that matched, and
 a logistic model over the sums by kind gives the score. A word alone has no score: the clause has."""
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docreview.llm.common import text_or_empty
+from docreview.session import stage
 
 # Words of the grammar in English, German, French and Spanish.
 INSULTS = (
@@ -41,7 +44,7 @@ KINDS = (
 PRIOR = (2.5, 3.0, 0.5, 0.5, 3.0, 0.5, 0.5)
 PRIOR_BIAS = -3.0
 #: Labelled rows, by least hash of the key, that are learned from at most.
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 #: Insults that are learned at most, how many different words must precede one in toxic texts, and
 #: the log odds from which a word or beginning counts as one.
 LEXICON = 5_000
@@ -51,6 +54,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 #: A clause or text counts for so much at most.
 MOST = 10.0
 TOKEN = re.compile(r"[^\W\d_]+(?:'t)?|[.!?;:\n]")
+WORDS = re.compile(r"[^\W\d_]+")
 ENDS = frozenset(".!?;:\n")
 
 
@@ -164,26 +168,52 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5 == 0
 
 
+def forms_of(word: str) -> list[str]:
+    """The word, and its beginnings with a star."""
+    return [word, *[word[:n] + "*" for n in BEGINNINGS if len(word) >= n]]
+
+
 def learn_insults(rows: DataFrame) -> dict[str, float]:
     """Words, and beginnings of 4 to 8 letters (with a star), that toxic texts have and others lack.
 
-    `rows` has text and toxic. A word is counted by how many different words precede it, in toxic
-    and in other texts: in copies of one text it counts once. Only entries over the limits of
-    support and log odds, at most LEXICON, reach the driver."""
+    `rows` has text and toxic. In toxic texts a form is counted by how many different words precede
+    it: in copies of one text it counts once. Forms under the limit of support are out before the
+    other texts are read, where all occurrences count; each task sends one count per form. Only
+    entries over the limit of log odds, at most LEXICON, are kept."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
     pairs = F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, before: F.struct(w.alias("w"), before.alias("before")))
-    seen = rows.select("toxic", F.explode(F.filter(pairs, lambda p: p["w"].isNotNull())).alias("p")).select("toxic", "p.w", "p.before").distinct()
+    toxic = rows.where("toxic").select(F.explode(F.filter(pairs, lambda p: p["w"].isNotNull())).alias("p")).select("p.*").distinct()
     forms = F.array(
         F.col("w"),
         *[F.when(F.length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in BEGINNINGS],
     )
-    counts = seen.select("toxic", "before", F.explode(F.array_compact(forms)).alias("form")).distinct().groupBy("form").agg(
-        F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("n")
-    )
-    every = seen.agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("n")).first()
-    odds = F.ln((F.col("t") + 0.5) / (every["t"] + 1.0)) - F.ln((F.col("n") + 0.5) / (every["n"] + 1.0))
-    found = counts.where(F.col("t") >= MIN_CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-    return {r["form"]: float(r["odds"]) for r in found.orderBy(F.desc("odds"), "form").limit(LEXICON).collect()}
+    toxic = stage(toxic.select("before", F.explode(F.array_compact(forms)).alias("form")).distinct().groupBy("form").agg(F.count("*").alias("t")))
+    pairs_seen = toxic.agg(F.sum(F.when(~F.col("form").endswith("*"), F.col("t")))).first()[0] or 0
+    supported = {r["form"]: r["t"] for r in toxic.where(F.col("t") >= MIN_CONTEXTS).toLocalIterator()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                tokens = WORDS.findall(t.lower())
+                found[""] += len(tokens)
+                for w, n in Counter(tokens).items():
+                    for form in forms_of(w):
+                        if form in supported:
+                            found[form] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["form", "n"])
+
+    others = {
+        r["form"]: r["n"]
+        for r in rows.where("NOT toxic").select("text").mapInArrow(count, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()
+    }
+    seen = others.pop("", 0)
+    odds = {
+        form: math.log((t + 0.5) / (pairs_seen + 1)) - math.log((others.get(form, 0) + 0.5) / (seen + 1))
+        for form, t in supported.items()
+    }
+    best = sorted((-o, form) for form, o in odds.items() if o >= MIN_LOG_ODDS)[:LEXICON]
+    return {form: -o for o, form in best}
 
 
 def kind_sums(df: DataFrame, reader: Reader, text: str) -> DataFrame:
