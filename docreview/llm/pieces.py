@@ -24,15 +24,18 @@ from docreview.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Pieces neither hold a tab or line end nor continue with U+2581 after another character, so
-#: words end there. The model is checked for it.
-WORD = re.compile(r"[\t\n]|▁+[^▁\t\n]*|[^▁\t\n]+")
-#: Words in the dictionary and their longest length: with their ids under 50 MB in a task.
-DICTIONARY = 150_000
+#: Where no piece crosses, words end: at tabs and line ends, before U+2581 after another character,
+#: and between a letter and an ASCII sign or digit. The model is checked for it.
+WORD = re.compile(r"[\t\n]|▁*[^\W\d_²]+(?=[!-@\[-^`{-~▁\t\n]|\Z)|▁+[^▁\t\n]*|[^▁\t\n]+")
+CROSSING = re.compile(r"[\t\n]|[^▁]▁|[^\W\d_²][!-@\[-^`{-~]")
+#: Words in the dictionary and their longest length: with their ids under 30 MB in a task.
+DICTIONARY = 100_000
 LONGEST = 64
-#: Further words that a task remembers, and words that it counts before it sends the counts.
-REMEMBERED = 300_000
-COUNTED = 500_000
+#: Further parts of texts that a task remembers, and parts that it counts before it sends the counts.
+REMEMBERED = 60_000
+COUNTED = 200_000
+#: Rows that a task encodes or decodes at a time.
+ROWS = 500
 #: The score of a character that is no piece; it is spelled in bytes.
 UNKNOWN = -1e3
 #: The lattice adds log probabilities. Models of merges have ranks in their place; the law of Zipf
@@ -58,10 +61,10 @@ class Pieces:
             for rank, i in enumerate(plain)
         }
         self.longest = max(map(len, self.scores))
-        #: Every beginning of a piece, with the piece that it is, if any.
-        self.beginnings = {p[:n]: None for p in self.scores for n in range(1, len(p))} | self.scores
+        #: Every ending of a piece, with the piece that it is, if any.
+        self.endings = {p[n:]: None for p in self.scores for n in range(1, len(p))} | self.scores
         for piece in self.scores:
-            if re.search(r"[\t\n]|[^▁]▁", piece):
+            if CROSSING.search(piece):
                 raise ValueError(f"the piece {piece!r} crosses the ends of words")
         if len(self.bytes) != 256:
             raise ValueError("the model has no pieces for all bytes")
@@ -77,26 +80,48 @@ def escape(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def fold(word: str, beginnings: dict[str, tuple[int, float] | None], spell: dict[int, int]) -> list[int]:
-    """The best pieces of a word: the recurrence of `best_pieces` for one word."""
+def tokens_of(text: str) -> list[str] | None:
+    """The parts between blanks, each of which stands for U+2581 and itself; None if there are
+    blanks in a row or U+2581 in the text, where words may reach over a blank."""
+    return None if "  " in text or SPACE in text or text[-1:] in ("", " ") or text[:1] == " " else text.split(" ")
+
+
+#: Characters at the start of a word whose best scores a task remembers, and for how many starts.
+HEAD, HEADS = 6, 50_000
+
+
+def fold(word: str, endings: dict[str, tuple[int, float] | None], spell: dict[int, int], heads: dict | None = None) -> list[int]:
+    """The best pieces of a word: the recurrence of `best_pieces` for one word.
+
+    The best scores up to a place depend on the characters before it only, so words that start
+    alike can share them through `heads`."""
     n = len(word)
-    best, come = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
-    for start in range(n):
-        here = best[start]
-        single = False
-        for end in range(start + 1, n + 1):
-            edge = beginnings.get(word[start:end], False)
+    known = heads.get(word[:HEAD]) if heads is not None and n > HEAD else None
+    best, starts, pieces = map(list, known) if known else ([0.0], [0], [-1])
+    get, upto = endings.get, len(best)
+    for end in range(upto, n + 1):
+        top, came, piece, single = -math.inf, end - 1, -1, False
+        for start in range(end - 1, -1, -1):
+            edge = get(word[start:end], False)
             if edge is False:
                 break
             if edge is not None:
-                single |= end == start + 1
-                if here + edge[1] > best[end]:
-                    best[end], come[end] = here + edge[1], (start, edge[0])
-        if not single and here + UNKNOWN > best[start + 1]:
-            best[start + 1], come[start + 1] = here + UNKNOWN, (start, -1)
+                single = single or start == end - 1
+                score = best[start] + edge[1]
+                if score >= top:  # of equal scores the edge that starts first
+                    top, came, piece = score, start, edge[0]
+        if not single and best[end - 1] + UNKNOWN > top:
+            top, came, piece = best[end - 1] + UNKNOWN, end - 1, -1
+        best.append(top)
+        starts.append(came)
+        pieces.append(piece)
+        if end == HEAD and heads is not None and n > HEAD:
+            if len(heads) >= HEADS:
+                heads.clear()
+            heads[word[:HEAD]] = tuple(best), tuple(starts), tuple(pieces)
     ids: list[int] = []
     while n:
-        start, piece = come[n]
+        start, piece = starts[n], pieces[n]
         if piece >= 0:
             ids.append(piece)
         else:
@@ -112,20 +137,29 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, n) over the whole texts; words over LONGEST characters are left to the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: Counter[str] = Counter()
         counts: Counter[str] = Counter()
 
         def rows() -> pa.RecordBatch:
+            for part, n in parts.items():
+                for word in WORD.findall(SPACE + part):
+                    counts[word] += n
             words = [w for w in counts if len(w) <= LONGEST]
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"]
             )
+            parts.clear()
             counts.clear()
             return batch
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(WORD.findall(escape(t)))
-                if len(counts) > COUNTED:
+            for t in map(pa.StringScalar.as_py, batch.column(0)):
+                split = tokens_of(t)
+                if split is None:
+                    counts.update(WORD.findall(escape(t)))
+                else:
+                    parts.update(split)
+                if len(parts) + len(counts) > COUNTED:
                     yield rows()
         yield rows()
 
@@ -224,20 +258,40 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class _Encoded(dict):
-    """Ids of words as bytes; those that the dictionary lacks are folded and remembered for a while."""
+    """Ids as bytes of the parts of a text between blanks, remembered for a while. Their words are
+    looked up in the dictionary; those that it lacks are folded."""
+
+    def __init__(self, words: dict[str, bytes], endings, spell):
+        super().__init__()
+        self.before: dict[str, bytes] = {}  # what was remembered up to the last change of generations
+        self.words, self.endings, self.spell, self.heads = words, endings, spell, {}
 
-    def __init__(self, words: dict[str, bytes], beginnings, spell):
-        super().__init__(words)
-        self.limit = len(words) + REMEMBERED
-        self.words, self.beginnings, self.spell = words, beginnings, spell
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        return np.array(fold(word, self.endings, self.spell, self.heads), np.int32).tobytes() if ids is None else ids
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-            self.update(self.words)
-        ids = self[word] = np.array(fold(word, self.beginnings, self.spell), np.int32).tobytes()
+        ids = self.before.get(part)
+        if ids is None:
+            ids = b"".join(map(self.word, WORD.findall(SPACE + part)))
+        self[part] = ids
         return ids
 
+    def text(self, text: str) -> bytes:
+        split = tokens_of(text)
+        if split is None:
+            return b"".join(map(self.word, WORD.findall(escape(text))))
+        return b"".join([self[part] for part in split])
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, limit: int = DICTIONARY) -> DataFrame:
     """`df` with a column `ids` (array of int): the pieces of the whole text, in sequence.
@@ -253,14 +307,14 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MOD
     known = {
         r["word"]: np.array(r["ids"], np.int32).tobytes() for r in stage(encode_words(words, pieces)).toLocalIterator()
     }
-    shared = spark.sparkContext.broadcast((known, pieces.beginnings, pieces.bytes))
+    shared = spark.sparkContext.broadcast((known, pieces.endings, pieces.bytes))
     rest = [c for c in df.columns if c != ids]
     schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = _Encoded(*shared.value)
-        for batch in batches:
-            blobs = [b"".join([encoded[w] for w in WORD.findall(escape(t))]) for t in batch.column(len(rest)).to_pylist()]
+        for batch in _portions(batches):
+            blobs = [encoded.text(t.as_py()) for t in batch.column(len(rest))]
             ends = np.cumsum([0, *[len(b) // 4 for b in blobs]], dtype=np.int32)
             flat = pa.array(np.frombuffer(b"".join(blobs), np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -284,7 +338,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = np.array(spelled.value, object)
-        for batch in batches:
+        for batch in _portions(batches):
             texts = []
             for row in batch.column(at):
                 if not row.is_valid:

@@ -11,7 +11,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ BUCKETS = 10_000
 #: Labelled good rows that the target model is fitted on, those with the least hash of their key.
 TARGET_ROWS = 20_000
 #: Words whose hash a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 BINS = 1024
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -67,8 +66,8 @@ def fit(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sums = _Hashes(), np.zeros((2, buckets), np.int64)
         for batch in batches:
-            for t, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(buckets_of(t, hashes, buckets), minlength=buckets)
+            for t, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = np.bincount(buckets_of(t.as_py(), hashes, buckets), minlength=buckets)
                 sums[0] += found
                 if good:
                     sums[1] += found
@@ -90,11 +89,13 @@ def fit(
 def log_weight(ratios: np.ndarray, text: Column) -> Column:
     """The log importance weight of a text: the sum of the ratios of its words and pairs; 0 if empty."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = _Hashes()
         for texts in batches:
-            yield pd.Series([float(ratios[buckets_of(t, hashes, len(ratios))].sum()) for t in texts], dtype="float64")
+            # One text at a time: a batch of long ones would be large as strings.
+            sums = [float(ratios[buckets_of(t.as_py(), hashes, len(ratios))].sum()) for t in texts]
+            yield pa.array(sums, pa.float64())
 
     return score(text)
 

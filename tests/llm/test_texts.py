@@ -89,7 +89,7 @@ def best_of_all(word, model):
     return best
 
 
-WORDS = ["▁the", "▁tokens", "▁▁▁", "▁ñandú", "▁x😀y", "\n", "▁", "▁aaaaaaa", "unsaid", "▁Straße,", "▁été.", "\x00", "▁hest", "▁thouere", "ab\r"]
+WORDS = ["▁the", "▁tokens", "▁▁▁", "▁ñandú", "▁x😀y", "\n", "▁", "▁aaaaaaa", "unsaid", "▁Straße,", "▁été.", "\x00", "▁hest,", "a.b", "x1", "▁thouere", "ab\r"]
 
 
 def test_lattice_finds_the_best_segmentation(spark, model):
@@ -97,7 +97,7 @@ def test_lattice_finds_the_best_segmentation(spark, model):
     assert set(got) == set(WORDS)
     back = {i: s for i, s in model.scores.values()}
     for word in WORDS:
-        assert got[word] == pieces.fold(word, model.beginnings, model.bytes)
+        assert got[word] == pieces.fold(word, model.endings, model.bytes)
         spelled = sum(len(c.encode()) for c in word if c not in model.scores)
         known = [i for i in got[word] if i in back]
         assert len(got[word]) - len(known) == spelled
