@@ -32,7 +32,7 @@ CROSSING = re.compile(r"[\t\n]|[^▁]▁|[^\W\d_²][!-@\[-^`{-~]")
 DICTIONARY = 100_000
 LONGEST = 64
 #: Further parts of texts that a task remembers, and parts that it counts before it sends the counts.
-REMEMBERED = 60_000
+REMEMBERED = 200_000
 COUNTED = 200_000
 #: Rows that a task encodes or decodes at a time.
 ROWS = 500
@@ -258,12 +258,11 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class _Encoded(dict):
-    """Ids as bytes of the parts of a text between blanks, remembered for a while. Their words are
+    """Ids as bytes of the parts of a text between blanks, the first ones remembered. Their words are
     looked up in the dictionary; those that it lacks are folded."""
 
     def __init__(self, words: dict[str, bytes], endings, spell):
         super().__init__()
-        self.before: dict[str, bytes] = {}  # what was remembered up to the last change of generations
         self.words, self.endings, self.spell, self.heads = words, endings, spell, {}
 
     def word(self, word: str) -> bytes:
@@ -271,13 +270,9 @@ class _Encoded(dict):
         return np.array(fold(word, self.endings, self.spell, self.heads), np.int32).tobytes() if ids is None else ids
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        ids = self.before.get(part)
-        if ids is None:
-            ids = b"".join(map(self.word, WORD.findall(SPACE + part)))
-        self[part] = ids
+        ids = b"".join(map(self.word, WORD.findall(SPACE + part)))
+        if len(self) < REMEMBERED:  # frequent parts come early
+            self[part] = ids
         return ids
 
     def text(self, text: str) -> bytes:
