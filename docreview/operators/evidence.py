@@ -7,10 +7,8 @@ anchor; the score is then computed inside the row. The work grows with the match
 sections x items, and no text is shuffled.
 """
 
-import importlib.util
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +21,6 @@ from docreview.functions import scan, text
 from docreview.schemas import PICK
 from docreview.session import stage
 
-# Up to this many strings, over all projects, go out with the job as automata.
-AUTOMATON_LIMIT = 200_000
 # Sections of one unit that are summed in one window partition.
 _PACK_CHUNK = 1_000
 _FALLBACK_DIM = -1
@@ -101,8 +97,8 @@ def _searchable(section_rows: DataFrame) -> DataFrame:
         "project", "bidder", "id", "file", "file_no", "seq", "char_len",
         F.nullif(F.lower("item_guid"), F.lit("")).alias("scope"),
         unit_key(F.col("path")).alias("unit"),
-        text.match_text(F.col("text")).alias("_body"),
-        F.array_join("path", " ").alias("_title"),
+        F.coalesce(text.match_text(F.col("text")), F.lit("")).alias("_body"),
+        F.coalesce(F.array_join("path", " "), F.lit("")).alias("_title"),
     )
 
 
@@ -114,101 +110,31 @@ def unit_key(path: Column) -> Column:
 _MATCH_COLUMNS = ["project", "bidder", "id", "file", "file_no", "seq", "char_len", "scope", "unit"]
 
 
-def scan_matches(section_rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Try every string of the project's vocabulary on every section, without Python. The
-    vocabulary of a scoring table travels as one array, joined on the project."""
-    lists = vocab.groupBy("project").agg(F.array_sort(F.collect_list("s")).alias("_strings"))
-    found = F.transform(
-        F.filter("_strings", lambda s: F.contains(F.col("_blob"), s)),
-        lambda s: F.struct(
-            s.alias("s"), F.contains("_title", s).alias("in_title"), F.contains("_body", s).alias("in_body")
-        ),
-    )
-    return (
-        _searchable(section_rows)
-        .withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
-        .join(lists, "project")
-        .select(*_MATCH_COLUMNS, found.alias("found"))
-        .where(F.size("found") > 0)
-    )
-
-
-def automaton_matches(section_rows: DataFrame, words_by_project: dict[str, list[str]]) -> DataFrame:
-    """The same rows in one pass over the text, whatever the number of strings: one Aho-Corasick
-    automaton per project, over Arrow batches. The strings go out with the job, so their number
-    must be bounded (see `section_matches`)."""
-    columns = len(_MATCH_COLUMNS)
-
-    def found_in(automaton, value: str) -> set[str]:
-        return {word for _, word in automaton.iter(value)} if value else set()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automata = {}
-        for project, words in words_by_project.items():
-            automaton = ahocorasick.Automaton()
-            for word in words:
-                automaton.add_word(word, word)
-            automaton.make_automaton()
-            seam = max((len(w) for w in words if " " in w), default=1) - 1
-            automata[project] = (automaton, seam)
-        for batch in batches:
-            rows, sizes, words, in_title, in_body = [], [0], [], [], []
-            projects, bodies, titles = (batch.column(n).to_pylist() for n in ("project", "_body", "_title"))
-            for row, (project, body, title) in enumerate(zip(projects, bodies, titles)):
-                if project not in automata:
-                    continue
-                automaton, seam = automata[project]
-                inside, above = found_in(automaton, body), found_in(automaton, title)
-                # A string with a blank may also straddle body and title.
-                across = found_in(automaton, f"{body[-seam:]} {title[:seam]}") if seam else set()
-                everything = inside | above | across
-                if everything:
-                    rows.append(row)
-                    sizes.append(sizes[-1] + len(everything))
-                    words.extend(everything)
-                    in_title.extend(word in above for word in everything)
-                    in_body.extend(word in inside for word in everything)
-            found = pa.ListArray.from_arrays(
-                pa.array(sizes, pa.int32()),
-                pa.StructArray.from_arrays(
-                    [pa.array(words, pa.string()), pa.array(in_title, pa.bool_()), pa.array(in_body, pa.bool_())],
-                    names=["s", "in_title", "in_body"],
-                ),
-            )
-            kept = batch.take(pa.array(rows, pa.int32())).columns[:columns]
-            yield pa.RecordBatch.from_arrays([*kept, found], names=[*_MATCH_COLUMNS, "found"])
+def pieces(value: Column) -> Column:
+    """The distinct characters and pairs of characters of a string."""
+    letters = F.split(value, "")
+    pairs = F.zip_with(letters, F.slice(letters, 2, F.size(letters)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.array_distinct(F.concat(letters, pairs))
 
-    source = _searchable(section_rows).select(*_MATCH_COLUMNS, "_body", "_title")
-    kinds = dict(source.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in _MATCH_COLUMNS)
-    return source.mapInArrow(
-        run, f"{schema}, found array<struct<s:string,in_title:boolean,in_body:boolean>>"
-    )
 
+def section_matches(section_rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Sections with `found`, the strings each one contains: array<struct<s, in_title, in_body>>,
+    sorted. Sections without any are left out; a missing text or path is empty.
 
-def section_matches(
-    section_rows: DataFrame, vocab: DataFrame, method: str = "auto", limit: int = AUTOMATON_LIMIT
-) -> DataFrame:
-    """Sections with `found`, the strings each one contains: array<struct<s, in_title, in_body>>.
-    Sections without any are left out.
-
-    `auto` reads up to `limit` strings of the scoring tables (one small, bounded job). When that
-    is all of them, they go out as automata; else, or without the library for it, sections are
-    scanned with the vocabulary of their project, which is joined as a table."""
-    if method in ("auto", "automaton") and _has_automaton():
-        strings = vocab.select("project", "s").limit(limit + 1).collect()
-        if len(strings) <= limit:
-            words: dict[str, list[str]] = {}
-            for row in strings:
-                words.setdefault(row["project"], []).append(row["s"])
-            return automaton_matches(section_rows, words)
-    return scan_matches(section_rows, vocab)
-
-
-def _has_automaton() -> bool:
-    return importlib.util.find_spec("ahocorasick") is not None
+    A string can only be in a section that has its first two characters (or its only one) in
+    sequence. Sections meet these beginnings by an equi-join, few different ones whatever the
+    number of strings, then the strings that begin so, and each candidate is confirmed. Only the
+    strings found are shuffled, to be gathered by section."""
+    begins = vocab.select("project", "s", F.substring("s", 1, 2).alias("_piece"))
+    rows = _searchable(section_rows).withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
+    met = (
+        rows.withColumn("_piece", F.explode(pieces(F.col("_blob"))))
+        .join(begins.select("project", "_piece").distinct(), ["project", "_piece"], "left_semi")
+        .join(begins, ["project", "_piece"])
+        .where(F.contains("_blob", F.col("s")))
+    )
+    found = F.struct("s", F.contains("_title", F.col("s")).alias("in_title"), F.contains("_body", F.col("s")).alias("in_body"))
+    return met.groupBy(*_MATCH_COLUMNS).agg(F.array_sort(F.collect_list(found)).alias("found"))
 
 
 # ---- corpus statistics ------------------------------------------------------------------
@@ -462,7 +388,7 @@ def pack_budget(
     )
     return taken.select(
         *PAIR, "idx", F.col("id").alias("section_id"), "file", "path", "unit", "page",
-        F.round(-F.col("best.d"), 1).alias("match_score"),
+        text.round_exact(-F.col("best.d"), 1).alias("match_score"),
         F.slice("best.hits", 1, MAX_HITS_SHOWN).alias("hit"), "chars",
         (F.col("chars") < F.col("char_len")).alias("truncated"), "unit_no",
     )
@@ -472,7 +398,7 @@ def pack_budget(
 
 
 def score_sections(
-    section_rows: DataFrame, dims: DataFrame, scoped: bool = True, method: str = "auto",
+    section_rows: DataFrame, dims: DataFrame, scoped: bool = True,
     matches: DataFrame | None = None, staged: bool = True,
 ) -> DataFrame:
     """Sections x dimensions -> scores, before the threshold.
@@ -482,7 +408,7 @@ def score_sections(
     vocab = vocabulary(dims)
     sizes = corpus_size(section_rows)
     if matches is None:
-        matches = section_matches(section_rows, vocab, method)
+        matches = section_matches(section_rows, vocab)
     freq = doc_freq(matches, vocab, sizes)
     weighed = weigh_dimensions(dims, freq).unionByName(bare_dimensions(dims, sizes))
     strings = search_strings(weighed)
@@ -502,7 +428,7 @@ def scope_pool(section_rows: DataFrame) -> DataFrame:
 def locate_picks(
     section_rows: DataFrame, items: DataFrame, *, tokenise=text.bigrams, min_score: float = MIN_SCORE,
     budget: Column | None = None, name_vocab: bool = False,
-    method: str = "auto", max_units: int = MAX_UNITS, matches: DataFrame | None = None,
+    max_units: int = MAX_UNITS, matches: DataFrame | None = None,
     staged: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chosen units, top units, picks) of every package with evidence.
@@ -510,7 +436,7 @@ def locate_picks(
     The units are read by several branches. `staged` writes them once to the shared folder (they
     are few next to the sections); without it each branch searches the text again."""
     dims = search_dimensions(items, tokenise, name_vocab)
-    scores = score_sections(section_rows, dims, True, method, matches, staged)
+    scores = score_sections(section_rows, dims, True, matches, staged)
     units = best_per_unit(scores.where(F.col("score") >= min_score))
     units = choose_units(stage(units) if staged else units)
     tops = top_units(units, max_units)
@@ -595,7 +521,7 @@ def explode_picks(packages: DataFrame) -> DataFrame:
 
 def locate_points(
     section_rows: DataFrame, points: DataFrame, cats: DataFrame, *, budget: int = POINTS_BUDGET,
-    min_score: float = MIN_SCORE, method: str = "auto", max_units: int = MAX_UNITS,
+    min_score: float = MIN_SCORE, max_units: int = MAX_UNITS,
     staged: bool = True,
 ) -> DataFrame:
     """The older search by review point, over all sections of a bidder. A point without hits
@@ -610,7 +536,7 @@ def locate_points(
         *ITEM, F.lit(None).cast("string").alias("scope"), F.lit(_FALLBACK_DIM).alias("dim_no"),
         "phrases", "terms",
     )
-    scores = score_sections(section_rows, own.unionByName(category), False, method, staged=staged)
+    scores = score_sections(section_rows, own.unionByName(category), False, staged=staged)
     units = best_per_unit(
         scores.where(F.col("score") >= min_score).withColumn("scope", F.lit(None).cast("string"))
     )

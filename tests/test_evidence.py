@@ -13,7 +13,7 @@ COLUMNS = "project string, bidder string, id string, file string, item_guid stri
 
 def sections_of(spark, rows):
     data = [
-        ("p", bidder, f"{no}#{seq}", file, guid, path, len(path), 1, body, len(body), no, seq)
+        ("p", bidder, f"{no}#{seq}", file, guid, path, len(path or ()), 1, body, len(body or ""), no, seq)
         for bidder, no, seq, file, guid, path, body in rows
     ]
     return spark.createDataFrame(data, COLUMNS)
@@ -37,13 +37,31 @@ def general(n, start=0, file="aaa", guid="g1", no=1):
     return [("A", no, start + i + 1, file, guid, ["章", f"节{start + i}"], f"施工管理措施内容第{start + i}段" * 3) for i in range(n)]
 
 
-@pytest.mark.parametrize("method", ["automaton", "scan"])
-def test_statistics_over_all_files(spark, method):
+def test_matches_of_awkward_strings(spark):
+    """A blank alone, a string over the seam of text and title, one character, missing texts, and
+    more strings than any limit; each is found exactly where a loop finds it."""
+    rows = sections_of(spark, [
+        ("A", 1, 1, "f", None, ["a"], "abc"), ("A", 1, 2, "f", None, ["abc x"], None), ("A", 1, 3, "f", None, None, ""),
+        ("A", 1, 4, "f", None, ["def"], "x\nyz abc"), ("A", 1, 5, "f", None, ["词汇"], "深基坑 支护"), ("A", 1, 6, "f", None, [], "q"),
+    ])
+    words = ["abc", " ", "c a", "x", "abc d", "xyz", "深基坑", "护 词", "汇", "nowhere", "abcabc"] + [f"w{i}" for i in range(3000)]
+    vocab = spark.createDataFrame([("p", w, True) for w in words] + [("other", "q", True)], "project string, s string, is_term boolean")
+    got = {r.id: [tuple(f) for f in r.found] for r in ev.section_matches(rows, vocab).collect()}
+    want = {}
+    for r in rows.collect():
+        body, title = (r.text or "").replace("\n", ""), " ".join(r.path or [])
+        found = [(w, w in title, w in body) for w in sorted(words) if w in f"{body} {title}"]
+        if found:
+            want[r.id] = found
+    assert got == want and ("c a", False, False) in got["1#1"]
+
+
+def test_statistics_over_all_files(spark):
     """The rare word is in 50 of 1,000 sections: 5 % is still an anchor, counted over all files."""
     rows = [("A", 1, i + 1, "aaa", "g1", ["x", f"n{i}"], "深基坑支护" * 4) for i in range(50)]
     rows += [("A", 2, i + 1, "bbb", "g2", ["y", f"m{i}"], "普通段落文字" * 4) for i in range(950)]
     items = items_of(spark, {"id": "T1", "guid": "G1 ", "name": "无", "aspects": ["深基坑"]})
-    row = ev.locate(sections_of(spark, rows), items, method=method, min_score=3.0).first()
+    row = ev.locate(sections_of(spark, rows), items, min_score=3.0).first()
     assert row.pool_sections == 50 and row.candidates == 50 and not row.fallback
 
 
@@ -155,11 +173,10 @@ def test_random_corpus_against_a_loop(spark, seed, monkeypatch):
     want = model(rows, items, 3.0, tokenise, 260)
     frame, table = sections_of(spark, rows), items_of(spark, *items)
     options = dict(tokenise=text.words, min_score=3.0, budget=F.lit(260))
-    for method in ("automaton", "scan"):
-        got = ev.locate(frame.repartition(5), table, method=method, **options).collect()
-        for r in got:
-            picked = [(p.section_id, p.match_score, p.chars, p.truncated) for p in r.picked]
-            assert (r.candidates, r.units, r.fallback, r.evidence_chars, picked) == want[r.item_id], r.item_id
+    got = ev.locate(frame.repartition(5), table, **options).collect()
+    for r in got:
+        picked = [(p.section_id, p.match_score, p.chars, p.truncated) for p in r.picked]
+        assert (r.candidates, r.units, r.fallback, r.evidence_chars, picked) == want[r.item_id], r.item_id
     lazy = ev.locate(frame, table, staged=False, **options)
     assert sorted(map(str, lazy.collect())) == sorted(map(str, got))
 
