@@ -32,7 +32,7 @@ NUMBERING_CLASSES = [
     ("中文数字、", r"(?U)^[一二三四五六七八九十]{1,3}[、.]"),
     ("（N）", r"(?U)^[（(][一二三四五六七八九十\d]{1,3}[）)]"),
 ]
-SCORE_RANGE = r"([\d.]+)-([\d.]+)\s*分"
+SCORE_RANGE = r"(?U)([\d.]+)-([\d.]+)\s*分"
 
 _BLANK = r"[\s\x1c-\x1f]"
 
@@ -156,5 +156,27 @@ def plain_number(value: Column) -> Column:
     )
 
 
+def round_exact(value: Column, digits: int) -> Column:
+    """Rounded by the exact binary value, ties to even: 4.25 -> 4.2, 0.15 -> 0.1.
+
+    `round` and `bround` look at the shortest decimal form, which is another number. Here the value
+    is multiplied by ten as a sum of two doubles without error (8x + 2x), and the second one
+    decides when the first ends in one half."""
+    def tenfold(at, _):
+        eight, two, total = at["high"] * 8, at["high"] * 2, at["high"] * 8 + at["high"] * 2
+        error = (eight - (total - (total - eight))) + (two - (total - eight))
+        return F.struct(total.alias("high"), (error + at["low"] * 10).alias("low"))
+
+    def finish(at):
+        whole = F.floor(at["high"]).cast("double")
+        return (
+            F.when(at["high"] - whole != 0.5, F.rint(at["high"]))
+            .when(at["low"] > 0, whole + 1).when(at["low"] < 0, whole).otherwise(F.rint(at["high"]))
+        ) / F.lit(float(10**digits))
+
+    start = F.struct(value.cast("double").alias("high"), F.lit(0.0).alias("low"))
+    return F.aggregate(F.array(*[F.lit(0)] * digits) if digits else F.array().cast("array<int>"), start, tenfold, finish)
+
+
 def one_decimal(value: Column) -> Column:
     return F.call_function("format_number", value, F.lit("0.0"))

@@ -11,7 +11,7 @@ from docreview.functions import scan, text
 
 # ---- fixed values -----------------------------------------------------------------------
 # Foreign text between a range and its unit.
-_INTRUDER = r"(\d+(?:\.\d+)?-\d+(?:\.\d+)?)([^\d分\s]{1,40}?)(\s*分)"
+_INTRUDER = r"(?U)(\d+(?:\.\d+)?-\d+(?:\.\d+)?)([^\d分\s]{1,40}?)(\s*分)"
 _CLOSING = r"相关标书内容在.*?中体现[。；;]"
 _BASIS = "评委根据"
 _RANGE_WINDOW = 420

@@ -82,8 +82,8 @@ def totals(results: DataFrame, items: DataFrame, expert: DataFrame | None = None
         )
     sums = merged.groupBy(*BIDDER).agg(
         F.sum("rated").alias("rated"),
-        F.round(F.sum("system"), 1).alias("score"),
-        F.round(F.sum("expert"), 1).alias("expert_score"),
+        text.round_exact(F.sum("system"), 1).alias("score"),
+        text.round_exact(F.sum("expert"), 1).alias("expert_score"),
         F.sum("override").alias("expert_overrides"),
     )
     counts = items.groupBy("project").agg(F.count("*").alias("n_items"))
@@ -207,7 +207,7 @@ def perf(results: DataFrame, items: DataFrame, runs: DataFrame | None = None) ->
         )
     else:
         rows = rows.join(runs.select("project", "wall_clock_sec", "concurrency"), "project", "left")
-    seconds = F.round(F.col("latency_ms") / 1000, 1).cast("string")
+    seconds = text.round_exact(F.col("latency_ms") / 1000, 1).cast("string")
     note = F.when(
         F.col("wall_clock_sec").isNull(),
         F.concat(
@@ -432,7 +432,7 @@ def total_spread(runs: DataFrame) -> DataFrame:
     """Largest less smallest total of a bidder over repeated runs."""
     per_run = runs.where(_rated()).groupBy(*BIDDER, "run_no").agg(F.sum("score").alias("total"))
     return per_run.groupBy(*BIDDER).agg(
-        F.count("*").alias("runs"), F.round(F.max("total") - F.min("total"), 1).alias("spread")
+        F.count("*").alias("runs"), text.round_exact(F.max("total") - F.min("total"), 1).alias("spread")
     )
 
 

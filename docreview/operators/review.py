@@ -125,7 +125,7 @@ def stub_scorer(request_rows: DataFrame, items: DataFrame) -> DataFrame:
     index = F.floor(F.size("tiers") / 2).cast("int")
     tier = F.element_at("tiers", index + 1)
     middle = (tier["min"] + tier["max"]) / 2
-    score = F.round(
+    score = text.round_exact(
         F.when((index > 0) & (middle >= tier["max"]), tier["max"] - 0.05).otherwise(middle), 1
     )
     content = F.to_json(
@@ -195,9 +195,10 @@ def validate_output(attempts: DataFrame, items: DataFrame, evidence_counts: Data
         .withColumns(
             {
                 "reason": F.when(F.col("_rk") == "STRING", text.strip(F.try_variant_get("_reason", "$", "string"))),
-                "cite": F.when(
-                    F.col("_ck").isin("ARRAY<BIGINT>", "ARRAY<VOID>"),
-                    F.array_distinct(F.try_variant_get("_cite", "$", "array<bigint>")),
+                "_cited": F.transform(
+                    F.coalesce(F.try_variant_get("_cite", "$", "array<variant>"), F.array().cast("array<variant>")),
+                    # NULL = no integer
+                    lambda v: F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")),
                 ),
                 "score": F.when(
                     F.col("_sk").isin("BIGINT", "DOUBLE", "FLOAT") | F.col("_sk").startswith("DECIMAL"),
@@ -205,7 +206,22 @@ def validate_output(attempts: DataFrame, items: DataFrame, evidence_counts: Data
                 ),
             }
         )
-        .withColumn("tier", tier_of_score(F.col("score"), F.col("tiers")))
+        .withColumns(
+            {
+                "tier": tier_of_score(F.col("score"), F.col("tiers")),
+                # The first value that cannot stand decides which fault it is.
+                "_bad": F.get(
+                    F.transform(
+                        F.filter("_cited", lambda c: c.isNull() | (c < 0) | (c >= n)), lambda c: F.struct(c.alias("c"))
+                    ),
+                    F.lit(0),
+                ),
+            }
+        )
+        .withColumn("cite", F.when(~F.exists("_cited", lambda c: c.isNull()) & F.col("_ck").startswith("ARRAY"), F.array_distinct("_cited")))
+    )
+    ranges = F.array_join(
+        F.transform("tiers", lambda t: F.concat(t["tier"], F.lit(" "), t["min"].cast("string"), F.lit("-"), t["max"].cast("string"))), "、"
     )
     fault = (
         F.when(F.col("error").isNotNull(), F.col("error"))
@@ -213,12 +229,10 @@ def validate_output(attempts: DataFrame, items: DataFrame, evidence_counts: Data
         .when(~F.col("_ak").startswith("OBJECT"), F.lit(ERROR_NOT_OBJECT))
         .when(F.coalesce(F.length("reason"), F.lit(0)) == 0, F.lit(ERROR_REASON))
         .when(~F.col("_ck").startswith("ARRAY"), F.lit(ERROR_CITE_ARRAY))
-        .when(
-            F.col("cite").isNull() | F.exists("cite", lambda c: c.isNull()), F.lit(ERROR_CITE_INT)
-        )
-        .when(F.exists("cite", lambda c: (c < 0) | (c >= n)), F.lit(ERROR_CITE_RANGE))
+        .when(F.col("_bad").isNotNull() & F.col("_bad.c").isNull(), F.lit(ERROR_CITE_INT))
+        .when(F.col("_bad").isNotNull(), F.format_string(ERROR_CITE_RANGE, F.col("_bad.c").cast("string"), (n - 1).cast("string")))
         .when(F.col("score").isNull(), F.lit(ERROR_SCORE))
-        .when(F.col("tier").isNull(), F.lit(ERROR_TIER))
+        .when(F.col("tier").isNull(), F.format_string(ERROR_TIER, F.col("score").cast("string"), ranges))
     )
     return typed.withColumn("fault", fault).select(
         *PAIR, "sample_no", "attempt_no", "reason", F.col("cite").cast("array<int>").alias("cite"),
@@ -303,7 +317,7 @@ def confidence(fallback: Column, truncated: Column, agreement: Column) -> Column
     base = F.when(fallback, FALLBACK_FACTOR).otherwise(1.0) * F.when(
         truncated, TRUNCATED_FACTOR
     ).otherwise(1.0)
-    return F.round(F.round(base, 3) * agreement, 3)
+    return text.round_exact(text.round_exact(base, 3) * agreement, 3)
 
 
 def rated_results(
@@ -329,7 +343,7 @@ def rated_results(
         F.when(rated, F.lit("")).otherwise(F.coalesce("last_error", F.lit(""))).alias("last_error"),
         F.when(
             rated,
-            F.struct("n", "scores", "tiers", F.round("agreement", 3).alias("agreement")).cast(SAMPLING),
+            F.struct("n", "scores", "tiers", text.round_exact(F.col("agreement"), 3).alias("agreement")).cast(SAMPLING),
         ).alias("sampling"),
         perf.alias("perf"),
     )

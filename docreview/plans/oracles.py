@@ -170,7 +170,7 @@ walk AS (
   WINDOW w AS (PARTITION BY t.project, t.bidder, t.item_id ORDER BY t.unit_no, s.file_no, s.seq
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 picks AS (
-  SELECT project, bidder, item_id, idx, id AS section_id, file, path, unit, page, round(score, 1) AS match_score,
+  SELECT project, bidder, item_id, idx, id AS section_id, file, path, unit, page, printf('%.1f', score)::DOUBLE AS match_score,
     hits[1:6] AS hit, least(char_len, budget - used) AS chars, char_len > budget - used AS truncated
   FROM walk WHERE used < budget),
 pool AS (SELECT project, bidder, guid, count(*) AS pool_sections FROM sec GROUP BY ALL),
@@ -215,8 +215,8 @@ answers AS (
   FROM keyed),
 checked AS (
   SELECT *, CASE WHEN failed THEN 'HTTP 503' WHEN e % 8 = 6 THEN '{ERROR_PARSE}' WHEN e % 8 = 7 THEN '{ERROR_REASON}'
-      WHEN c >= CASE WHEN empty THEN 0 ELSE 3 END THEN '{ERROR_CITE_RANGE}'
-      WHEN NOT (s >= 1 AND s <= 4) THEN '{ERROR_TIER}' END AS fault,
+      WHEN c >= CASE WHEN empty THEN 0 ELSE 3 END THEN printf('{ERROR_CITE_RANGE}', c::VARCHAR, (CASE WHEN empty THEN 0 ELSE 3 END - 1)::VARCHAR)
+      WHEN NOT (s >= 1 AND s <= 4) THEN printf('{ERROR_TIER}', s::VARCHAR, '优 3.0-4.0、良 2.0-3.0、一般 1.0-2.0') END AS fault,
     CASE WHEN failed OR e % 8 = 6 THEN NULL WHEN s >= 3 AND s <= 4 THEN '优' WHEN s >= 2 AND s < 3 THEN '良'
       WHEN s >= 1 AND s < 2 THEN '一般' END AS tier
   FROM answers),
@@ -257,8 +257,8 @@ reviews AS (
     CASE WHEN p.empty THEN CASE WHEN p.pool_sections = 0 THEN '{REASON_NO_FILE}' ELSE '{REASON_NOT_FOUND}' END
          WHEN a.n > 0 THEN a.reason ELSE '{REASON_UNRATED}' END AS reason,
     CASE WHEN p.empty THEN CASE WHEN p.pool_sections = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END WHEN a.n = 0 THEN 0.0::DOUBLE
-      ELSE round(round(CASE WHEN p.fallback THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN p.cut THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END, 3)
-                 * a.agreement, 3) END AS confidence,
+      ELSE printf('%.3f', CASE WHEN p.fallback AND p.cut THEN 0.63::DOUBLE WHEN p.fallback THEN 0.7::DOUBLE WHEN p.cut THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END
+                 * a.agreement)::DOUBLE END AS confidence,
     CASE WHEN p.empty THEN 0 WHEN a.n > 0 THEN a.calls ELSE 4 END AS attempts,
     CASE WHEN p.empty OR a.n > 0 THEN '' ELSE a.last_error END AS last_error,
     CASE WHEN NOT p.empty AND a.n > 0 THEN a.n END AS sample_count,
@@ -284,8 +284,8 @@ latest AS (
 
 TOTALS = ATTEMPTS + "," + EXPERT + """,
 totals AS (
-  SELECT g.project, g.bidder, round(coalesce(sum(g.score), 0), 1) AS score, count(*) FILTER (WHERE g.score IS NULL) AS unrated,
-    round(sum(CASE WHEN l.action = '改判' THEN l.expert_score ELSE coalesce(g.score, 0) END), 1) AS expert_score,
+  SELECT g.project, g.bidder, printf('%.1f', coalesce(sum(g.score), 0))::DOUBLE AS score, count(*) FILTER (WHERE g.score IS NULL) AS unrated,
+    printf('%.1f', sum(CASE WHEN l.action = '改判' THEN l.expert_score ELSE coalesce(g.score, 0) END))::DOUBLE AS expert_score,
     count(*) FILTER (WHERE l.action = '改判') AS expert_overrides
   FROM grid g LEFT JOIN latest l USING (project, bidder, item_id) GROUP BY ALL)"""
 
@@ -770,7 +770,7 @@ per AS (SELECT project, bidder, item_id, count(DISTINCT coalesce(tier, 'unrated'
         "SELECT project, count(*) AS pairs, round(avg(same::INTEGER), 6) AS same_tier_share FROM per GROUP BY ALL"),
     "total_spread": _with(ATTEMPTS + """,
 per AS (SELECT project, bidder, sample_no, sum(score) AS total FROM samples WHERE valid GROUP BY ALL)""",
-        "SELECT project, bidder, count(*) AS runs, round(max(total) - min(total), 1) AS spread FROM per GROUP BY ALL"),
+        "SELECT project, bidder, count(*) AS runs, printf('%.1f', max(total) - min(total))::DOUBLE AS spread FROM per GROUP BY ALL"),
     "attempt_rates": _with(ATTEMPTS, """SELECT project, count(*) AS results, sum(attempts)::BIGINT AS calls, round(sum(greatest(attempts - 1, 0)) / count(*)::DOUBLE, 6) AS extra_call_rate,
   round(avg((attempts > 1)::INTEGER), 6) AS retried_share FROM reviews GROUP BY ALL"""),
     "expand_events": _with(ATTEMPTS + """,
@@ -804,7 +804,7 @@ r AS (SELECT *, review_status = 'rated' AND score IS NOT NULL AS usable, confide
     ELSE '良 ' || printf('%.1f', score) || ' 分' || CASE WHEN low THEN ' · 建议复核' ELSE '' END END AS result FROM r"""),
     "pipeline_ranking": _with(_locate(NUMBERED) + """,
 graded AS (
-  SELECT project, bidder, CASE WHEN picks > 0 THEN round(max_score * 0.625::DOUBLE, 1) ELSE 0 END AS score FROM packages),
-sums AS (SELECT project, bidder, round(sum(score), 1) AS score FROM graded GROUP BY ALL)""",
+  SELECT project, bidder, CASE WHEN picks > 0 THEN printf('%.1f', max_score * 0.625::DOUBLE)::DOUBLE ELSE 0 END AS score FROM packages),
+sums AS (SELECT project, bidder, printf('%.1f', sum(score))::DOUBLE AS score FROM graded GROUP BY ALL)""",
         """SELECT project, row_number() OVER (PARTITION BY project ORDER BY score DESC, bidder) AS rank, bidder, score, score AS expert_score, '' AS notes FROM sums"""),
 }

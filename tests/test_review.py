@@ -59,11 +59,13 @@ def test_salvage(spark, raw, expected):
         ('{"score":2.6,"cite":[true],"reason":"x"}', "cite 中的编号必须是整数"),
         ('{"score":2.6,"cite":[0.0],"reason":"x"}', "cite 中的编号必须是整数"),
         ('{"score":2.6,"cite":[0,null],"reason":"x"}', "cite 中的编号必须是整数"),
-        ('{"score":2.6,"cite":[2],"reason":"x"}', "cite 编号越界"),
-        ('{"score":2.6,"cite":[-1],"reason":"x"}', "cite 编号越界"),
+        ('{"score":2.6,"cite":[2],"reason":"x"}', "cite 编号 2 越界，有效范围是 0~1"),
+        ('{"score":2.6,"cite":[-1],"reason":"x"}', "cite 编号 -1 越界，有效范围是 0~1"),
         ('{"score":true,"cite":[],"reason":"x"}', "score 必须是数字"),
         ('{"score":"2.6","cite":[],"reason":"x"}', "score 必须是数字"),
-        ('{"score":0.5,"cite":[],"reason":"x"}', "score 不落在任何档位区间内"),
+        ('{"score":0.5,"cite":[],"reason":"x"}', "score 0.5 不落在任何档位区间内，有效区间：优 3.0-4.0、良 2.0-3.0、一般 1.0-2.0"),
+        ('{"score":2.6,"cite":[99,"x"],"reason":"x"}', "cite 编号 99 越界，有效范围是 0~1"),
+        ('{"score":2.6,"cite":[0,"x",99],"reason":"x"}', "cite 中的编号必须是整数"),
         ('{"score":2,"cite":[1,0,1],"reason":"x","tier":"优"}', None),
     ],
 )
@@ -105,7 +107,7 @@ def test_resolve(spark, items):
     assert b.sampling.scores == [3.5, 2.2, 2.6] and b.perf.in_tokens == 300
     assert [(got[k].miss_reason, got[k].score, got[k].confidence) for k in "CDE"] == [
         ("no_file", 0.0, 1.0), ("not_found", 0.0, 0.5), ("not_found", 0.0, 0.5)]
-    assert (f.status, f.score, f.attempts, f.last_error, f.sampling) == ("unrated", None, 4, "score 不落在任何档位区间内", None)
+    assert (f.status, f.score, f.attempts, f.last_error[:12], f.sampling) == ("unrated", None, 4, "score 9.0 不落"[:12], None)
     assert f.perf.in_tokens == 200
     retries = {r.bidder: r.n for r in review.resolve(attempts, packages, items).select(
         "bidder", review.count_retries(F.col("attempts"), F.col("sampling.n"), F.col("status")).alias("n")).collect()}
@@ -190,3 +192,13 @@ def test_criteria_with_spaces_and_phrases(spark):
     rows = [r.p for r in names.select(criteria.phrases(F.col("n")).alias("p")).collect()]
     assert rows == [["质量管理，安全（文明）及环保", "质量管理", "安全", "文明", "环保"], ["短名"]]
     assert spark.range(1).select(text.match_key(F.lit("Ａ-b（１）甲")).alias("k")).first().k == "ab1甲"
+
+
+def test_exact_rounding(spark):
+    values = [4.25, 0.15, 2.675, 1.005, 0.25, 0.35, -0.25, -4.35, 2.5, 0.05, 83.25, 83.35, 0.0, 1e9 + 0.05, 7.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        got = [r.r for r in df.select(text.round_exact(F.col("v"), digits).alias("r")).collect()]
+        assert got == [round(v, digits) for v in values]
+    wide = spark.createDataFrame([("得 1-3　分",)], "t string")
+    assert [tuple(x) for x in wide.select(text.parse_ranges(F.col("t")).alias("r")).first().r] == [(1.0, 3.0)]
