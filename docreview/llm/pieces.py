@@ -32,10 +32,10 @@ CROSSING = re.compile(r"[\t\n]|[^▁]▁|[^\W\d_²][!-@\[-^`{-~]")
 DICTIONARY = 100_000
 LONGEST = 64
 #: Further parts of texts that a task remembers, and parts that it counts before it sends the counts.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 COUNTED = 200_000
 #: Rows that a task encodes or decodes at a time.
-ROWS = 500
+ROWS = 200
 #: The score of a character that is no piece; it is spelled in bytes.
 UNKNOWN = -1e3
 #: The lattice adds log probabilities. Models of merges have ranks in their place; the law of Zipf
@@ -87,7 +87,7 @@ def tokens_of(text: str) -> list[str] | None:
 
 
 #: Characters at the start of a word whose best scores a task remembers, and for how many starts.
-HEAD, HEADS = 6, 50_000
+HEAD, HEADS = 6, 20_000
 
 
 def fold(word: str, endings: dict[str, tuple[int, float] | None], spell: dict[int, int], heads: dict | None = None) -> list[int]:
