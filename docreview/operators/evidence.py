@@ -110,31 +110,27 @@ def unit_key(path: Column) -> Column:
 _MATCH_COLUMNS = ["project", "bidder", "id", "file", "file_no", "seq", "char_len", "scope", "unit"]
 
 
-def pieces(value: Column) -> Column:
-    """The distinct characters and pairs of characters of a string."""
-    letters = F.split(value, "")
-    pairs = F.zip_with(letters, F.slice(letters, 2, F.size(letters)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.array_distinct(F.concat(letters, pairs))
-
-
 def section_matches(section_rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """Sections with `found`, the strings each one contains: array<struct<s, in_title, in_body>>,
     sorted. Sections without any are left out; a missing text or path is empty.
 
-    A string can only be in a section that has its first two characters (or its only one) in
-    sequence. Sections meet these beginnings by an equi-join, few different ones whatever the
-    number of strings, then the strings that begin so, and each candidate is confirmed. Only the
-    strings found are shuffled, to be gathered by section."""
-    begins = vocab.select("project", "s", F.substring("s", 1, 2).alias("_piece"))
-    rows = _searchable(section_rows).withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
-    met = (
-        rows.withColumn("_piece", F.explode(pieces(F.col("_blob"))))
-        .join(begins.select("project", "_piece").distinct(), ["project", "_piece"], "left_semi")
-        .join(begins, ["project", "_piece"])
-        .where(F.contains("_blob", F.col("s")))
+    Sections stay where they are read: the strings of a scoring table travel as one array per
+    project and are tried in the row. The work is sections times strings of the project, whatever
+    their number."""
+    lists = vocab.groupBy("project").agg(F.array_sort(F.collect_list("s")).alias("_strings"))
+    found = F.transform(
+        F.filter("_strings", lambda s: F.contains(F.col("_blob"), s)),
+        lambda s: F.struct(
+            s.alias("s"), F.contains("_title", s).alias("in_title"), F.contains("_body", s).alias("in_body")
+        ),
+    )
+    return (
+        _searchable(section_rows)
+        .withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
+        .join(stage(lists), "project")
+        .select(*_MATCH_COLUMNS, found.alias("found"))
+        .where(F.size("found") > 0)
     )
-    found = F.struct("s", F.contains("_title", F.col("s")).alias("in_title"), F.contains("_body", F.col("s")).alias("in_body"))
-    return met.groupBy(*_MATCH_COLUMNS).agg(F.array_sort(F.collect_list(found)).alias("found"))
 
 
 # ---- corpus statistics ------------------------------------------------------------------
