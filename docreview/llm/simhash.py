@@ -6,7 +6,7 @@ bits whose vector has an odd product with v. The vectors of `radius` bits span a
 dimensions, so some v is orthogonal to all of them: two fingerprints that differ in these bits
 only are equal in that table. No pair within the radius is missed."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,9 +160,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
 
 
-def one_per_component(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` whose key is the smallest of its component, with all their columns; rows
-    with one key stay or go together. Keys that go are taken out by a broadcast while they are few."""
-    found = stage(near_duplicates(df, key, text))
+def one_per_component(
+    df: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates
+) -> DataFrame:
+    """The rows of `df` whose key is the smallest of its component, as `find` names it, with all
+    their columns; rows with one key stay or go together. Keys that go are taken out by a broadcast
+    while they are few."""
+    found = stage(find(df, key, text))
     gone = found.groupBy(key).agg(F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("_first")).where("NOT _first")
     return without_keys(df, stage(gone.select(key)), key)
