@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docreview.llm.common import free_names, text_or_empty, unit_interval
+from docreview.llm.common import bounded, free_names, text_or_empty, unit_interval
 from docreview.session import stage
 
 BUCKETS = 10_000
@@ -24,6 +24,8 @@ TARGET_ROWS = 20_000
 #: Words whose hash a task remembers.
 REMEMBERED = 100_000
 BINS = 1024
+#: Words and pairs that are added to those of a text before its weight is averaged.
+DAMPING = 200
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -86,15 +88,18 @@ def fit(
     return logs[1] - logs[0], share
 
 
-def log_weight(ratios: np.ndarray, text: Column) -> Column:
-    """The log importance weight of a text: the sum of the ratios of its words and pairs; 0 if empty."""
+def log_weight(ratios: np.ndarray, text: Column, damping: int | None = None) -> Column:
+    """The log importance weight of a text: the sum of the ratios of its words and pairs; 0 if empty.
+
+    With `damping` the sum is divided by their number plus `damping`."""
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = _Hashes()
         for texts in batches:
             # One text at a time: a batch of long ones would be large as strings.
-            sums = [float(ratios[buckets_of(t.as_py(), hashes, len(ratios))].sum()) for t in texts]
+            found = (buckets_of(t.as_py(), hashes, len(ratios)) for t in texts)
+            sums = [float(ratios[b].sum()) / (1 if damping is None else len(b) + damping) for b in found]
             yield pa.array(sums, pa.float64())
 
     return score(text)
@@ -158,7 +163,25 @@ def resample(
     return drawn.withColumn(kept, F.col(draw) >= F.lit(least))
 
 
-def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `df` that `resample` keeps, with their columns."""
-    names = free_names(df, "_logs", "_draw", "_kept")
-    return resample(df, labels, names=tuple(names), **options).where(names[2]).select(*df.columns)
+def keep_good(
+    df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    target_rows: int = TARGET_ROWS, lost: float = 0.0,
+) -> DataFrame:
+    """The rows of `df` that weigh at least as much as rows labelled good do, with their columns.
+
+    There is no noise and no share of rows: the weight of a text is divided by its words and pairs
+    plus DAMPING, so that long texts are judged by their average and few words decide little. The
+    threshold is the weight that all labelled good rows reach, but for a share `lost` of them.
+    Numbers of copies do not move it. Without a labelled good row all rows stay."""
+    ratios, _ = fit(df, labels, key, text, label, target_rows)
+    weight, value = log_weight(ratios, text_or_empty(text), DAMPING), free_names(df, "_weight")[0]
+    good = stage(labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct())
+    weights = stage(df.select(F.col(key).alias("_key"), weight.alias("_weight")).join(bounded(good), "_key", "left_semi"))
+    n = weights.count()
+    if not n:
+        return df
+    # The least of all, or the k-th from above.
+    k = math.ceil((1 - lost) * n)
+    least = weights.agg(F.min("_weight")).first()[0] if k >= n else kth_largest(weights, "_weight", k)
+    # The same text gets the same sum in every run, so the threshold's own row stays.
+    return df.withColumn(value, weight).where(F.col(value) >= F.lit(least)).select(*df.columns)

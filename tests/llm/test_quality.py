@@ -112,6 +112,26 @@ def test_classifier_tells_labelled_rows_apart(spark):
     assert rate[1] > 0.97 and rate[0] < 0.15
 
 
+LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not Path(LARGE).exists(), reason="no test tables")
+@pytest.mark.parametrize("copied", [None, 1, 0])
+def test_filter_keeps_clean_documents(spark, copied):
+    """All labelled good rows stay, short ones too, whatever third of the rows is copies of one."""
+    docs, known = table(spark, LARGE, "documents"), table(spark, LARGE, "labels")
+    rows = docs.select("doc_id", "text")
+    if copied is not None:
+        one = rows.join(known.where(f"quality = {copied}"), "doc_id").where("length(text) BETWEEN 300 AND 900").orderBy("doc_id").limit(1)
+        copies = spark.range(-docs.count() // 2, 0).withColumnRenamed("id", "doc_id")
+        rows = rows.union(copies.crossJoin(one.select("text")))
+    kept = resampling.keep_good(rows, known).select("doc_id").join(known, "doc_id").groupBy("quality").count().collect()
+    kept = {r["quality"]: r["count"] for r in kept}
+    total = {r["quality"]: r["count"] for r in rows.select("doc_id").join(known, "doc_id").groupBy("quality").count().collect()}
+    assert kept[1] == total[1]
+    assert kept[0] < (0.1 if copied is None else 0.2) * total[0]
+
+
 def test_grammar_weighs_clauses():
     reader = toxicity.Reader({})
 
