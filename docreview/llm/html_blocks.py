@@ -31,13 +31,20 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Parts that an open paragraph ends at.
 ENDS_PARAGRAPH = BLOCK_TAGS - {"html", "body", "head", "option", "optgroup"}
 #: Words of class, id, role and label attributes that mark parts outside the article.
+#: A whole word of the value counts: a name of the list, with other pieces before it ("main-menu")
+#: or pieces behind it that say what holds it ("share-buttons"). States of a page as a whole
+#: ("has-sidebar", "nav-open", "tag-politics") do not.
 DROPPED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner\w*|sponsor\w*|promo\w*|affiliate|menu\w*|nav\w*|navbar|breadcrumb\w*|"
+    r"(?!(?:has|with|without|no|is|not|hide|show|page|post|type|category|tag)[-_])(?:[^\W_]+[-_]+)*?"
+    r"(?:ads?|advert\w*|adsense|adslot|banner\w*|sponsor\w*|promo\w*|affiliate|menu\w*|nav\w*|breadcrumb\w*|"
     r"side-?bar\w*|rail|widget\w*|footer\w*|site-?(?:footer|header)|page-?header|masthead|toolbar|topbar|"
-    r"comments?|comment-?\w*|disqus\w*|respon[ds]e?|replies|reply|cookie\w*|consent\w*|gdpr|notices?|alert|notification\w*|"
+    r"comments?|commentlist|disqus\w*|respon[ds]e?|replies|reply|cookie\w*|consent\w*|gdpr|notices?|alert|notification\w*|"
     r"popup|modal|overlay|newsletter\w*|subscri\w*|signup|sign-?up|login|share\w*|sharing|social\w*|related\w*|"
     r"recommend\w*|popular|trending|pagination|pager|paging|search\w*|form|skip|copyright|legal|disclaimer|"
-    r"contentinfo|navigation|complementary|dialog|tags?|tag-?cloud)(?=$|[\s_-])",
+    r"contentinfo|navigation|complementary|dialog|tags?|tag-?cloud|(?:page|post)-(?:nav|navigation|footer|tags|comments|sidebar|share|related))"
+    r"(?:[-_]+(?:\d+|lists?|items?|links?|posts?|articles?|buttons?|icons?|bars?|box|boxes|wrap|wrapper|container|areas?|"
+    r"sections?|blocks?|forms?|widgets?|menus?|inner|outer|header|footer|text|body|author|meta|top|bottom|left|right|"
+    r"primary|secondary|main|mobile|desktop|slot|unit|banner|notice|policy-notice|media|stories|news|content|to-content|link-to-content))*",
     re.I,
 )
 #: The root and the article itself are never dropped for their class or id.
@@ -50,34 +57,42 @@ MANY_STOPS = 0.2
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # A quote opens a value only behind an equals sign; inside an unquoted value it is a character.
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTES = re.compile(
-    r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?", re.I
-)
+#: One attribute after the other, each with its value.
+ATTRIBUTES = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+NAMING = frozenset("class id role aria-label".split())
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def outside(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element with this tag and attributes is no part of the article."""
+def outside(tag: str, rest: str, in_article: bool) -> str:
+    """"tag" if the tag or a hidden state puts an element outside the article, "name" if only its
+    class, id, role or label does, else ""."""
     if tag in DROPPED_TAGS and not (tag == "header" and in_article):
-        return True
+        return "tag"
     if tag in NEVER_DROPPED or not rest.strip():
-        return False
+        return ""
+    named = ""
     for name, *values in ATTRIBUTES.findall(rest):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name not in ("hidden", "style") and DROPPED_WORDS.search(value):
-            return True
-    return False
+            return "tag"
+        if name in NAMING and any(DROPPED_WORDS.fullmatch(word) for word in value.split()):
+            named = "name"
+    return named
 
 
 def blocks_of(page: str) -> list[tuple[str, float, str, bool]]:
-    """(text, share of it in links, tag, outside the article) of the blocks in page order."""
+    """(text, share of it in links, tag, outside the article) of the blocks in page order.
+
+    An element that only its name puts outside stays if it holds most of the text in good blocks."""
     found: list[tuple[str, float, str, bool]] = []
-    open_tags: list[tuple[str, bool]] = []  # (tag, starts a dropped part)
+    inside: list[int] = []  # the innermost named part around each block
+    parents = [0]  # of the named parts; 0 is the page
+    open_tags: list[tuple[str, bool, int]] = []  # (tag, starts a dropped part, named part around it)
+    part = 0
     opened: Counter[str] = Counter()  # how many of each are open
     parts: list[str] = []
     linked, dropped, in_link, at = 0, 0, 0, 0
@@ -92,16 +107,17 @@ def blocks_of(page: str) -> list[tuple[str, float, str, bool]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            tag = next((t for t, _ in reversed(open_tags) if t in BLOCK_TAGS), "")
+            tag = next((t for t, *_ in reversed(open_tags) if t in BLOCK_TAGS), "")
+            inside.append(part)
             found.append((text, min(1.0, linked / max(1, len(text.replace(" ", "")))), tag, dropped > 0))
         parts.clear()
         linked = 0
 
     def shut(tag: str) -> None:
         """End the innermost open element of this name, and what is open inside it."""
-        nonlocal dropped, in_link
+        nonlocal dropped, in_link, part
         while open_tags:
-            name, drops = open_tags.pop()
+            name, drops, part = open_tags.pop()
             opened[name] -= 1
             dropped -= drops
             in_link -= name == "a"
@@ -143,13 +159,26 @@ def blocks_of(page: str) -> list[tuple[str, float, str, bool]]:
         if tag == "a" and in_link:
             shut("a")
         if tag not in VOID_TAGS and not rest.rstrip().endswith("/"):
-            drops = outside(tag, rest, opened["article"] + opened["main"] > 0)
-            open_tags.append((tag, drops))
+            why = outside(tag, rest, opened["article"] + opened["main"] > 0)
+            open_tags.append((tag, why == "tag", part))
             opened[tag] += 1
-            dropped += drops
+            dropped += why == "tag"
+            if why == "name":
+                parents.append(part)
+                part = len(parents) - 1
             in_link += tag == "a"
     close()
-    return found
+
+    held = [0] * len(parents)  # characters of good blocks in each part
+    for (text, links, tag, out), k in zip(found, inside, strict=True):
+        if not out and first_label(text, links, tag) == "good":
+            held[k] += len(text)
+    for k in range(len(parents) - 1, 0, -1):  # a part comes after the one around it
+        held[parents[k]] += held[k]
+    drops = [False] * len(parents)
+    for k in range(1, len(parents)):
+        drops[k] = drops[parents[k]] or 2 * held[k] <= held[0]
+    return [(text, links, tag, out or drops[k]) for (text, links, tag, out), k in zip(found, inside, strict=True)]
 
 
 def first_label(text: str, links: float, tag: str) -> str:

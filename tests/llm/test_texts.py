@@ -135,3 +135,24 @@ def test_frequent_words(spark):
 def test_decoding_what_was_not_encoded(spark):
     df = spark.createDataFrame([(None,), ([],), ([0, 1, 2],), ([3 + 0xFF, 3 + 0x41],)], "ids array<int>")
     assert [r.decoded for r in pieces.decode(df).collect()] == [None, "", "", "�A"]
+
+
+ARTICLE = "It was the first of the days that the river is in the town and on the hills as it was by the old road. " * 4
+
+
+@pytest.mark.parametrize("name", [
+    "content with-sidebar", "main-content has-sidebar", "post-12 type-post tag-politics", "post comments-open",
+    "page nav-open", "story social-policy", "sidebar", "widget-area",
+])
+def test_named_wrapper_of_the_article_stays(name):
+    page = f"<body><div class='{name}'><p>{ARTICLE}</p></div><div class=footer-links><p>All of the rights.</p></div></body>"
+    assert html_blocks.main_text(page) == " ".join(ARTICLE.split())
+    two = f"<body><p>{ARTICLE}{ARTICLE}</p><div class='{name}'><p>{ARTICLE}</p></div></body>"
+    assert (html_blocks.main_text(two).count("first") == 12) == (name not in ("sidebar", "widget-area"))
+
+
+def test_attributes_and_quotes():
+    assert html_blocks.main_text(f'<div title="the hidden truth"><p>{ARTICLE}</p></div>') == " ".join(ARTICLE.split())
+    assert html_blocks.main_text(f"<div hidden><p>{ARTICLE}</p></div><p>{ARTICLE}</p>") == " ".join(ARTICLE.split())
+    page = f"<p>{ARTICLE}<a href=/x title=O'Brien>him</a> and that is the end of it.</p>"
+    assert html_blocks.main_text(page) == f"{ARTICLE}him and that is the end of it."
