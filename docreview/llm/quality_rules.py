@@ -12,14 +12,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docreview.llm.common import text_or_empty
+from docreview.llm.common import bounded, text_or_empty
 from docreview.session import stage
 
-# The commonest words of the languages that have references.
+# The commonest words of some languages; those of others are counted (`learned_words`).
 COMMON_WORDS = {
     "de": "der die das und ist in den von zu mit sich des auf für nicht ein eine als auch dem".split(),
     "en": "the of and to in a is that for it was on with as are be this by at from".split(),
@@ -55,6 +55,9 @@ _FIELDS = [
     ("language", T.StringType()), ("classes", T.ArrayType(T.LongType())), ("common", T.ArrayType(T.LongType())),
 ]
 _WORD_BINS = 1 + max(map(len, COMMON_WORDS.values()))
+_PLAIN = re.compile(r"[^\W\d_]+")
+#: Counted common words that go to the driver and the tasks; those of the fewest texts go first.
+MOST_LEARNED = 100_000
 
 
 @cache
@@ -108,8 +111,8 @@ def _features(text: str, lang: str | None, numbers: dict[str, dict[str, int]]) -
     for at in range(0, len(text), BLOCK):
         points = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)
         classes += np.bincount(table[points], minlength=len(CLASSES))
-    plain = re.findall(r"[^\W\d_]+", text.lower())
-    if lang not in numbers:
+    plain = _PLAIN.findall(text.lower())
+    if lang is None:
         hits = {name: sum(w in of for w in plain) for name, of in numbers.items()}
         lang = max(sorted(hits), key=hits.get) if any(hits.values()) else None
     common = [0] * _WORD_BINS
@@ -126,13 +129,42 @@ def _features(text: str, lang: str | None, numbers: dict[str, dict[str, int]]) -
     )
 
 
+def language_name(lang: str) -> Column:
+    """The language in lower case without region or script ("en-US" is en); null if blank."""
+    name = F.lower(F.trim(F.col(lang).cast("string")))
+    return F.nullif(F.regexp_replace(name, r"[-_].*$", ""), F.lit(""))
+
+
+def learned_words(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """The words that are in most texts of each language that COMMON_WORDS does not have.
+
+    A text counts a word once, so a text that repeats one does not make it common."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = sorted(set(_PLAIN.findall(t.as_py().lower())))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array(words, pa.string())], ["language", "word"])
+
+    others = df.select(language_name(lang).alias("language"), text_or_empty(text).alias("_text")).where(
+        F.col("language").isNotNull() & ~F.col("language").isin(*COMMON_WORDS)
+    )
+    counts = others.mapInArrow(run, "language string, word string").groupBy("language", "word").count()
+    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("count"), "word"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") < _WORD_BINS)
+    found: dict[str, list[str]] = {}
+    for r in top.orderBy(F.desc("count"), "language", "word").limit(MOST_LEARNED).collect():
+        found.setdefault(r["language"], []).append(r["word"])
+    return found
+
+
 def text_features(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key and the counts of every row, from its whole text, in batches where it is read."""
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), *[T.StructField(n, t) for n, t in _FIELDS]])
+    lists = COMMON_WORDS | learned_words(df, text, lang)
     types = [pa.int64()] * 6 + [pa.string()] + [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = {name: {w: i for i, w in enumerate(words)} for name, words in COMMON_WORDS.items()}
+        numbers = {name: {w: i for i, w in enumerate(words)} for name, words in lists.items()}
         for batch in batches:
             rows = [
                 _features(t, lang, numbers)
@@ -144,7 +176,7 @@ def text_features(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
             )
 
     return df.select(
-        F.col(key).alias("_key"), text_or_empty(text).alias("_text"), F.lower(F.col(lang).cast("string")).alias("_lang")
+        F.col(key).alias("_key"), text_or_empty(text).alias("_text"), language_name(lang).alias("_lang")
     ).mapInArrow(run, schema)
 
 
@@ -163,7 +195,7 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 
 def language_references(features: DataFrame) -> DataFrame:
-    """language, class_reference, word_reference: at most one row per language of COMMON_WORDS.
+    """language, class_reference, word_reference: one row per language at most.
 
     Summed over all documents that pass the base rules; then once more over those that are within
     the limits of this first reference, so that junk does not become part of the norm."""
@@ -179,13 +211,13 @@ def language_references(features: DataFrame) -> DataFrame:
         )
 
     sound = features.where("NOT base_failed AND language IS NOT NULL")
-    within = with_distances(sound, reference(sound)).where(~strays(FIRST_SLACK))
-    return reference(within)
+    within = with_distances(sound, stage(reference(sound))).where(~strays(FIRST_SLACK))
+    return stage(reference(within))
 
 
 def with_distances(features: DataFrame, references: DataFrame) -> DataFrame:
-    """The references are one row per language of COMMON_WORDS at most, so they are broadcast."""
-    return features.join(F.broadcast(references), "language", "left").withColumns({
+    """The references are one row per language, so they are broadcast unless `lang` has very many values."""
+    return features.join(bounded(references), "language", "left").withColumns({
         "class_distance": F.when(
             F.col("n_chars") >= MIN_CHARS, jensen_shannon(shares(F.col("classes")), F.col("class_reference"))
         ),
@@ -210,15 +242,16 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     The base rules reject fewer than 10 words and more than 20 % repeated words. Words are parted
     by ASCII white space; a line repeats when it has a word and equals an earlier line. `language`
-    is `lang`, or where that is null or has no list of common words, the language most of whose
-    common words occur. Distances are null without a language, without a reference (no document of
+    is `lang` without its region; only where that is null, it is guessed as the language most of
+    whose common words occur. Common words of languages that COMMON_WORDS does not have are counted
+    in all their documents. Distances are null without a language, without a reference (no document of
     the language passes the base rules) and below the guards of 100 characters or 50 words; a null
     distance does not reject. Null texts count as empty and fail the base rules. Repeated rows give
     repeated rows. Other columns are not read. An empty table gives no rows.
 
-    The texts are read once and shuffled nowhere: the counts, about 300 bytes a row, are written to
-    the shared folder, summed by language and judged. The references are at most as many rows as
-    COMMON_WORDS has languages, so they are broadcast."""
+    The texts are read once (those of languages whose words are counted, twice) and shuffled
+    nowhere: the counts, about 300 bytes a row, are written to the shared folder, summed by language
+    and judged."""
     features = stage(
         text_features(df, key, text, lang).withColumn(
             "base_failed",

@@ -62,6 +62,20 @@ def test_junk_of_a_language_is_rejected(spark):
     assert all(got[i] for i in range(60)) and not got[100] and not got[101]
 
 
+def test_languages_without_a_list(spark):
+    """Clean texts of another language are judged by their own kind, junk among them is not kept."""
+    rng = random.Random(5)
+    common = "och att det som en på är av för med den till inte om de i ett har jag var".split()
+    words = common * 3 + "huset skogen vatten boken staden vintern dagen gården fönster brev sommar".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120)).capitalize() + ".", ("sv", "SV-se", "sv_FI")[i % 3]) for i in range(60)]
+    rows += [(60 + i, " ".join("".join(rng.choice("的一是不了在人有我他这中大来上") for _ in range(4)) for _ in range(60)), "zh") for i in range(20)]
+    rows += [(100, " ".join(f"zq{rng.randrange(999)}x" for _ in range(150)), "sv"), (101, "#$%& " * 5 + " ".join(f"<{i}|{i * 7}>" for i in range(100)), "zh")]
+    rows += [(102 + i, " ".join(rng.choice(SENTENCE.split()) for _ in range(120)), "en-us") for i in range(5)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(80)) and not got[100].kept and not got[101].kept
+    assert {got[i].language for i in range(60)} == {"sv"} and got[70].language == "zh" and got[102].language == "en"
+
+
 def test_kth_largest(spark):
     rng = random.Random(2)
     values = [rng.gauss(0, 1) for _ in range(500)] + [3.5] * 20 + [-1e9, 1e9, 1e-300]
