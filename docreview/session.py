@@ -42,11 +42,24 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once and read it back, for a result that several branches read.
 
     A written table cuts the lineage and survives lost executors, which a cache does not.
-    Runs one job."""
+    Runs one job. `release` removes the table when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that `stage` wrote, given as it returned them; others are left alone.
+
+    Only the caller knows that no lazy result reads them any more."""
+    for table in tables:
+        if path := getattr(table, "_staged_at", None):
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
