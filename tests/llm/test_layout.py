@@ -145,5 +145,5 @@ def test_pipeline_stages(spark):
 
 
 def test_queries_and_twins():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
