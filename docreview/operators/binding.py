@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docreview.constants import BIDDER, ITEM
 from docreview.functions import scan, text
+from docreview.functions.substrings import containing
 
 # ---- fixed values -----------------------------------------------------------------------
 TECHNICAL_FOLDER = "技术标"
@@ -13,8 +14,6 @@ NOTES = {
     "partial": "仅部分投标人文件名匹配，需补齐或等待后续定位确认",
     "unverified": "文件名未匹配到 GUID/评分项名称，需等待后续定位确认",
 }
-# Names of one project that are tried on a path in one pass.
-NAMES_SLICE = 512
 
 
 def is_technical_pdf(path: Column, key: Column) -> Column:
@@ -26,30 +25,19 @@ def is_technical_pdf(path: Column, key: Column) -> Column:
 
 
 def _first_match(files: DataFrame, names: DataFrame, out: str) -> DataFrame:
-    """The first entry of the project's list whose key occurs in the path. The list travels as
-    arrays of bounded size; a path is tried against each and the smallest place wins."""
-    slices = (
-        names.where(F.length("key") > 0)
-        .withColumn("_slice", F.floor(F.col("pos") / NAMES_SLICE))
-        .groupBy("project", "_slice")
-        .agg(F.collect_list(F.struct("pos", "key", "value", "is_guid")).alias("_names"))
-    )
+    """The first entry of the project's list whose key occurs in the path: names are found through
+    their pairs of characters, and the smallest place wins."""
     # GUIDs are looked for in the path without any other script.
     ascii_key = F.regexp_replace("path_key", "[^a-z0-9]+", "")
-    hit = F.array_min(
-        F.transform(
-            F.filter(
-                "_names",
-                lambda n: F.contains(F.when(n["is_guid"], ascii_key).otherwise(F.col("path_key")), n["key"]),
-            ),
-            lambda n: F.struct(n["pos"].alias("pos"), n["value"].alias("value")),
-        )
-    )
+    blobs = files.select("project", "path_id", F.explode(F.array(
+        F.struct(F.lit(False).alias("is_guid"), F.col("path_key").alias("_blob")),
+        F.struct(F.lit(True).alias("is_guid"), ascii_key.alias("_blob")),
+    )).alias("_b")).select("project", "path_id", "_b.*")
+    kinds = ["project", "is_guid"]
+    keys = names.where(F.length("key") > 0).select(*kinds, F.col("key").alias("s"), "pos", "value")
     best = (
-        files.select("project", "path_id", "path_key").join(slices, "project")
-        .select("project", "path_id", hit.alias("_hit"))
-        .groupBy("project", "path_id")
-        .agg(F.min("_hit").alias("_hit"))
+        containing(blobs, keys, kinds, ["project", "path_id"]).join(keys, [*kinds, "s"])
+        .groupBy("project", "path_id").agg(F.min(F.struct("pos", "value")).alias("_hit"))
     )
     return files.join(
         best.select("project", "path_id", F.col("_hit.value").alias(out)), ["project", "path_id"], "left"

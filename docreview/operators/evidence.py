@@ -1,10 +1,11 @@
 """Evidence location: sections x search phrases -> ranked, budget-packed packages.
 
-Every section is matched once against the vocabulary of its project (terms and phrases), which
-leaves the list of strings found in it. Document frequency is a count over those lists. For the
-scores a section meets only the dimensions whose anchor it contains, through an equi-join on the
-anchor; the score is then computed inside the row. The work grows with the matches and not with
-sections x items, and no text is shuffled.
+Search strings are found through an inverted index of character pairs: every string is filed under
+its rarest pair, a section meets only the strings filed under the pairs it has, by an equi-join, and
+`contains` confirms. Sections are read once for the document frequencies and once for the scores,
+where only the strings that gate a dimension are looked up; a section then meets the dimensions whose
+gate it contains, and the score is computed inside the row. The work grows with the text and the
+matches, not with sections x strings or sections x items, and no text is shuffled.
 """
 
 from collections.abc import Callable
@@ -18,6 +19,7 @@ from docreview.constants import (
     PHRASE_BONUS, POINTS_BUDGET, SECTION, TITLE_WEIGHT,
 )
 from docreview.functions import scan, text
+from docreview.functions.substrings import containing
 from docreview.schemas import PICK
 from docreview.session import stage
 
@@ -110,26 +112,20 @@ def unit_key(path: Column) -> Column:
 _MATCH_COLUMNS = ["project", "bidder", "id", "file", "file_no", "seq", "char_len", "scope", "unit"]
 
 
+def section_hits(section_rows: DataFrame, strings: DataFrame) -> DataFrame:
+    """One row per section and string of its project (project, s) in it: in_title, in_body; both
+    are false for a string over the seam of text and title. A missing text or path is empty."""
+    rows = _searchable(section_rows).withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
+    return containing(rows, strings, ["project"], ["project", "bidder", "id", "file_no", "seq"]).select(
+        *_MATCH_COLUMNS, "s", F.contains("_title", "s").alias("in_title"), F.contains("_body", "s").alias("in_body")
+    )
+
+
 def section_matches(section_rows: DataFrame, vocab: DataFrame) -> DataFrame:
     """Sections with `found`, the strings each one contains: array<struct<s, in_title, in_body>>,
-    sorted. Sections without any are left out; a missing text or path is empty.
-
-    Sections stay where they are read: the strings of a scoring table travel as one array per
-    project and are tried in the row. The work is sections times strings of the project, whatever
-    their number."""
-    lists = vocab.groupBy("project").agg(F.array_sort(F.collect_list("s")).alias("_strings"))
-    found = F.transform(
-        F.filter("_strings", lambda s: F.contains(F.col("_blob"), s)),
-        lambda s: F.struct(
-            s.alias("s"), F.contains("_title", s).alias("in_title"), F.contains("_body", s).alias("in_body")
-        ),
-    )
-    return (
-        _searchable(section_rows)
-        .withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
-        .join(stage(lists), "project")
-        .select(*_MATCH_COLUMNS, found.alias("found"))
-        .where(F.size("found") > 0)
+    sorted. Sections without any are left out."""
+    return section_hits(section_rows, vocab).groupBy(*_MATCH_COLUMNS).agg(
+        F.sort_array(F.collect_list(F.struct("s", "in_title", "in_body"))).alias("found")
     )
 
 
@@ -140,13 +136,18 @@ def corpus_size(section_rows: DataFrame) -> DataFrame:
     return section_rows.groupBy(*BIDDER).agg(F.count("*").alias("n"))
 
 
-def doc_freq(matches: DataFrame, vocab: DataFrame, sizes: DataFrame) -> DataFrame:
+def corpus_counts(section_rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(project, bidder, s, df): how many sections of a bidder contain each term of its project.
+    The empty string is in all of them, so its row is the number of sections. One read."""
+    everything = vocab.select("project", F.lit("").alias("s")).distinct()
+    asked = vocab.where("is_term").select("project", "s").unionByName(everything)
+    return section_hits(section_rows, asked).groupBy(*BIDDER, "s").agg(F.count("*").alias("df"))
+
+
+def doc_freq(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Document frequency and IDF per bidder and term, over all sections of the bidder. Terms
-    that occur nowhere have a row with df 0."""
-    counts = (
-        matches.select(*BIDDER, F.explode("found.s").alias("s"))
-        .groupBy(*BIDDER, "s").agg(F.count("*").alias("df"))
-    )
+    that occur nowhere have a row with df 0. `counts` is `corpus_counts`, best written."""
+    sizes = counts.where("s = ''").select(*BIDDER, F.col("df").alias("n"))
     asked = sizes.join(vocab.where("is_term").select("project", "s"), "project")
     return (
         asked.join(counts, [*BIDDER, "s"], "left")
@@ -239,34 +240,31 @@ def search_strings(weighed: DataFrame) -> DataFrame:
 # ---- scoring ----------------------------------------------------------------------------
 
 
-def section_scores(matches: DataFrame, strings: DataFrame, scoped: bool = True) -> DataFrame:
+def section_scores(section_rows: DataFrame, strings: DataFrame, scoped: bool = True) -> DataFrame:
     """Score of every (section, dimension) pair that passes the anchor gate.
 
     A section meets a dimension through the dimension's anchor; a dimension without one is met
     through its first string the section contains, so no pair comes twice. Contributions are
-    added in a fixed order (phrases, then terms), so equal matches give equal scores."""
+    added in a fixed order (phrases, then terms), so equal matches give equal scores. `strings` is
+    `search_strings`, written."""
     own = F.when(F.col("anchor").isNotNull(), F.array("anchor")).otherwise(
         F.array_distinct(F.transform("strings", lambda x: x["s"]))
     )
-    dims = strings.withColumn("key", F.explode(own))
+    keys = BIDDER + (["scope"] if scoped else [])
+    dims = strings.withColumn("s", F.explode(own))
     if not scoped:
         dims = dims.drop("scope")
-    keys = [*BIDDER, "key"] + (["scope"] if scoped else [])
-    met = (
-        matches.withColumn("_hit", F.explode("found"))
-        .where("_hit.in_title or _hit.in_body")
-        .withColumn("key", F.col("_hit.s"))
-        .drop("_hit")
-        .join(dims, keys)
-    )
-    names = lambda flag: F.transform(F.filter("found", lambda f: f[flag]), lambda f: f["s"])
+    rows = _searchable(section_rows).withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
+    gated = containing(
+        rows, dims.select(*keys, "s").where("s <> ''").distinct(), keys, ["project", "bidder", "id", "file_no", "seq"]
+    ).where(F.contains("_title", "s") | F.contains("_body", "s"))
     parts = F.filter(
         F.transform(
             "strings",
             lambda x: F.struct(
                 x["s"].alias("s"),
-                F.when(F.array_contains(F.col("_titles"), x["s"]), 2)
-                .when(F.array_contains(F.col("_bodies"), x["s"]), 1).otherwise(0).alias("place"),
+                F.when(x["s"] == "", 0).when(F.contains("_title", x["s"]), 2).when(F.contains("_body", x["s"]), 1)
+                .otherwise(0).alias("place"),
                 x["kind"].alias("kind"), x["w"].alias("w"),
             ),
         ),
@@ -281,9 +279,9 @@ def section_scores(matches: DataFrame, strings: DataFrame, scoped: bool = True)
     )
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + gain(p))
     return (
-        met.withColumns({"_titles": names("in_title"), "_bodies": names("in_body")})
+        gated.join(dims, [*keys, "s"])
         .withColumn("parts", parts)
-        .where(F.col("anchor").isNotNull() | (F.try_element_at("parts", F.lit(1))["s"] == F.col("key")))
+        .where(F.col("anchor").isNotNull() | (F.try_element_at("parts", F.lit(1))["s"] == F.col("s")))
         .select(
             *PAIR, "dim_no", "id", "file", "file_no", "seq", "unit", "scope",
             F.when(F.col("char_len") > LONG_SECTION_CHARS, total * 0.5).otherwise(total).alias("score"),
@@ -293,11 +291,10 @@ def section_scores(matches: DataFrame, strings: DataFrame, scoped: bool = True)
 
 
 def rank_sections(scores: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Passing sections, best first inside a dimension, ties in document order. A global sort
-    ranges over the whole key, so a large dimension is spread over many tasks."""
-    return scores.where(F.col("score") >= min_score).orderBy(
-        *PAIR, "dim_no", F.desc("score"), "file_no", "seq"
-    )
+    """Passing sections with their `rank` inside a dimension: best first, ties in document order. A
+    dimension that very many sections pass is ranked in many tasks."""
+    passing = scores.where(F.col("score") >= min_score)
+    return scan.rank_rows(passing, [*PAIR, "dim_no"], [F.desc("score"), "file_no", "seq"], "rank")
 
 
 # ---- packing ----------------------------------------------------------------------------
@@ -393,22 +390,16 @@ def pack_budget(
 # ---- packages ---------------------------------------------------------------------------
 
 
-def score_sections(
-    section_rows: DataFrame, dims: DataFrame, scoped: bool = True,
-    matches: DataFrame | None = None, staged: bool = True,
-) -> DataFrame:
+def score_sections(section_rows: DataFrame, dims: DataFrame, scoped: bool = True) -> DataFrame:
     """Sections x dimensions -> scores, before the threshold.
 
-    `staged` writes the weighed dimensions first: they are small, and Spark then knows their size
-    and broadcasts them only when they fit, so that sections stay where they are."""
+    Two reads of the sections: one counts the terms, one scores. The counts and the weighed
+    dimensions are written between them; both are as large as bidders x strings."""
     vocab = vocabulary(dims)
-    sizes = corpus_size(section_rows)
-    if matches is None:
-        matches = section_matches(section_rows, vocab)
-    freq = doc_freq(matches, vocab, sizes)
-    weighed = weigh_dimensions(dims, freq).unionByName(bare_dimensions(dims, sizes))
-    strings = search_strings(weighed)
-    return section_scores(matches, stage(strings) if staged else strings, scoped)
+    counts = stage(corpus_counts(section_rows, vocab))
+    sizes = counts.where("s = ''").select(*BIDDER, F.col("df").alias("n"))
+    weighed = weigh_dimensions(dims, doc_freq(counts, vocab)).unionByName(bare_dimensions(dims, sizes))
+    return section_scores(section_rows, stage(search_strings(weighed)), scoped)
 
 
 def scope_pool(section_rows: DataFrame) -> DataFrame:
@@ -424,15 +415,14 @@ def scope_pool(section_rows: DataFrame) -> DataFrame:
 def locate_picks(
     section_rows: DataFrame, items: DataFrame, *, tokenise=text.bigrams, min_score: float = MIN_SCORE,
     budget: Column | None = None, name_vocab: bool = False,
-    max_units: int = MAX_UNITS, matches: DataFrame | None = None,
-    staged: bool = True,
+    max_units: int = MAX_UNITS, staged: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chosen units, top units, picks) of every package with evidence.
 
     The units are read by several branches. `staged` writes them once to the shared folder (they
     are few next to the sections); without it each branch searches the text again."""
     dims = search_dimensions(items, tokenise, name_vocab)
-    scores = score_sections(section_rows, dims, True, matches, staged)
+    scores = score_sections(section_rows, dims)
     units = best_per_unit(scores.where(F.col("score") >= min_score))
     units = choose_units(stage(units) if staged else units)
     tops = top_units(units, max_units)
@@ -532,7 +522,7 @@ def locate_points(
         *ITEM, F.lit(None).cast("string").alias("scope"), F.lit(_FALLBACK_DIM).alias("dim_no"),
         "phrases", "terms",
     )
-    scores = score_sections(section_rows, own.unionByName(category), False, staged=staged)
+    scores = score_sections(section_rows, own.unionByName(category), False)
     units = best_per_unit(
         scores.where(F.col("score") >= min_score).withColumn("scope", F.lit(None).cast("string"))
     )
