@@ -149,11 +149,32 @@ def preview(text: Column, limit: int = 360) -> Column:
     ).otherwise(flat)
 
 
+def float_text(value: Column) -> Column:
+    """A double as text: plain decimals with at least one digit behind the point from 1e-4 to below
+    1e16, else mantissa and an exponent of two or more digits: 0.0004, 12345678.0, 1e-05, 1.5e+16."""
+    raw = value.cast("double").cast("string")
+    size = F.abs(value)
+    decimals = F.regexp_replace(raw.try_cast("decimal(38,22)").cast("string"), "0+$", "")
+    mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", "")
+    power = F.substring_index(raw, "E", -1)
+    digits = F.lpad(F.replace(power, F.lit("-"), F.lit("")), 2, "0")
+    long = F.length(F.replace(power, F.lit("-"), F.lit(""))) > 2
+    exponent = F.concat(
+        F.when(F.startswith(power, F.lit("-")), F.lit("e-")).otherwise(F.lit("e+")),
+        F.when(long, F.replace(power, F.lit("-"), F.lit(""))).otherwise(digits),
+    )
+    return (
+        F.when(F.isnan(value), F.lit("nan"))
+        .when(size == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .when(~F.contains(raw, F.lit("E")), raw)
+        .when((size >= 1e-4) & (size < 1e16), F.regexp_replace(decimals, r"\.$", ".0"))
+        .otherwise(F.concat(mantissa, exponent))
+    )
+
+
 def plain_number(value: Column) -> Column:
     """A double as short text: whole numbers without the trailing `.0`."""
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(
-        value.cast("string")
-    )
+    return F.when(value == 0, F.lit("0")).otherwise(F.regexp_replace(float_text(value), r"\.0$", ""))
 
 
 def round_exact(value: Column, digits: int) -> Column:

@@ -7,15 +7,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docreview.constants import (
-    BIDDER, ERROR_CITE_ARRAY, ERROR_CITE_INT, ERROR_CITE_RANGE, ERROR_NOT_OBJECT, ERROR_PARSE,
-    ERROR_REASON, ERROR_SCORE, ERROR_TIER, FALLBACK_FACTOR, ITEM, MAX_ATTEMPTS,
-    NOT_FOUND_CONFIDENCE, PAIR, REASON_NOT_FOUND, REASON_NO_FILE, REASON_UNRATED, SECTION,
-    STUB_REASON, TRUNCATED_FACTOR,
+    BIDDER, ERROR_CITE_ARRAY, ERROR_CITE_INT, ERROR_CITE_RANGE, ERROR_ITEM, ERROR_NO_ANSWER, ERROR_NOT_OBJECT,
+    ERROR_PARSE, ERROR_REASON, ERROR_SCORE, ERROR_TIER, FALLBACK_FACTOR, ITEM, MAX_ATTEMPTS,
+    MAX_RETRY_ROUNDS, NOT_FOUND_CONFIDENCE, PAIR, REASON_NOT_FOUND, REASON_NO_FILE, REASON_UNRATED, SECTION,
+    TRUNCATED_FACTOR,
 )
 from docreview.functions import answers, text
 from docreview.operators.evidence import explode_picks
 from docreview.operators.merge import section_lookup
 from docreview.schemas import ATTEMPTS, PERF, SAMPLING
+from docreview.session import release, stage
 
 # ---- requests ---------------------------------------------------------------------------
 
@@ -53,21 +54,12 @@ def missing_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.where("missing")
 
 
-def requests(
-    evidence: DataFrame, items: DataFrame, summary: str, rules: list[str],
-    previous: DataFrame | None = None,
-) -> DataFrame:
-    """One JSON request per package with evidence. `previous` (pair, previous_error) repeats a
-    request with the fault of the last answer."""
+def request_bodies(evidence: DataFrame, items: DataFrame, summary: str, rules: list[str]) -> DataFrame:
+    """Packages with evidence and what a request about them says: n_evidence, body."""
     row = F.struct(
         F.col("idx").alias("index"), "section_id", "file", "path", "page", "text"
     )
     listed = evidence.groupBy(*PAIR).agg(F.array_sort(F.collect_list(row)).alias("evidence"))
-    joined = listed.join(items.select(*ITEM, "name", "max_score", "criteria", "tiers"), ITEM)
-    if previous is None:
-        joined = joined.withColumn("previous_error", F.lit(None).cast("string"))
-    else:
-        joined = joined.join(previous.select(*PAIR, "previous_error"), PAIR, "left")
     body = F.struct(
         F.lit(summary).alias("project_summary"),
         F.array(*[F.lit(r) for r in rules]).cast("array<string>").alias("project_rules"),
@@ -79,9 +71,31 @@ def requests(
             ).alias("tiers"),
         ).alias("scoring_item"),
         "evidence",
-        F.nullif("previous_error", F.lit("")).alias("previous_error"),
     )
-    return joined.select(*PAIR, F.size("evidence").alias("n_evidence"), F.to_json(body).alias("request"))
+    joined = listed.join(items.select(*ITEM, "name", "max_score", "criteria", "tiers"), ITEM)
+    return joined.select(*PAIR, F.size("evidence").alias("n_evidence"), body.alias("body"))
+
+
+def request_json(previous_error: Column) -> Column:
+    """The request of a `body`, with the fault of the last answer where there was one."""
+    return F.to_json(F.struct(
+        "body.project_summary", "body.project_rules", "body.scoring_item", "body.evidence",
+        F.nullif(previous_error, F.lit("")).alias("previous_error"),
+    ))
+
+
+def requests(
+    evidence: DataFrame, items: DataFrame, summary: str, rules: list[str],
+    previous: DataFrame | None = None,
+) -> DataFrame:
+    """One JSON request per package with evidence. `previous` (pair, previous_error) repeats a
+    request with the fault of the last answer."""
+    bodies = request_bodies(evidence, items, summary, rules)
+    if previous is None:
+        bodies = bodies.withColumn("previous_error", F.lit(None).cast("string"))
+    else:
+        bodies = bodies.join(previous.select(*PAIR, "previous_error"), PAIR, "left")
+    return bodies.select(*PAIR, "n_evidence", request_json(F.col("previous_error")).alias("request"))
 
 
 def score_with(
@@ -89,20 +103,23 @@ def score_with(
     attempt_no: int = 1,
 ) -> DataFrame:
     """Run a user's scorer over the requests, `parallel` callers at a time. The scorer gets the
-    request text and returns content and, when it has them, in_tokens, out_tokens, latency_ms; an
-    exception becomes the row's error."""
+    request text and returns content and, when it has them, in_tokens, out_tokens, latency_ms; any
+    exception becomes the row's error, and so does an answer that is no mapping.
+
+    Requests that carry sample_no and attempt_no (those of `review_rounds`) keep them; others are
+    asked `samples` times."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key in batch.itertuples(index=False):
                 try:
-                    answer, error = scorer(key.request), None
-                except (RuntimeError, ValueError, OSError) as exc:
+                    answer, error = dict(scorer(key.request)), None
+                except Exception as exc:  # noqa: BLE001 - one failing call must not end the job
                     answer, error = {}, str(exc) or type(exc).__name__
                 rows.append(
                     (
-                        key.project, key.bidder, key.item_id, key.sample_no, attempt_no,
+                        key.project, key.bidder, key.item_id, key.sample_no, key.attempt_no,
                         answer.get("content"), error, answer.get("in_tokens"),
                         answer.get("out_tokens"), answer.get("latency_ms"),
                     )
@@ -113,36 +130,12 @@ def score_with(
                          "error", "in_tokens", "out_tokens", "latency_ms"],
             )
 
-    spread = request_rows.withColumn(
-        "sample_no", F.explode(F.sequence(F.lit(1), F.lit(samples)))
-    ).select(*PAIR, "sample_no", "request")
-    return spread.repartition(parallel).mapInPandas(call, ATTEMPTS)
-
-
-def stub_scorer(request_rows: DataFrame, items: DataFrame) -> DataFrame:
-    """A deterministic scorer as plain columns: the middle of the middle tier, citing the first
-    piece of evidence. For tests and dry runs."""
-    index = F.floor(F.size("tiers") / 2).cast("int")
-    tier = F.element_at("tiers", index + 1)
-    middle = (tier["min"] + tier["max"]) / 2
-    score = text.round_exact(
-        F.when((index > 0) & (middle >= tier["max"]), tier["max"] - 0.05).otherwise(middle), 1
-    )
-    content = F.to_json(
-        F.struct(
-            score.alias("score"),
-            F.when(F.col("n_evidence") > 0, F.array(F.lit(0)))
-            .otherwise(F.array().cast("array<int>")).alias("cite"),
-            F.lit(STUB_REASON).alias("reason"),
-        )
-    )
-    half = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 2)).cast("long")
-    return request_rows.join(items.select(*ITEM, "tiers"), ITEM).withColumn("content", content).select(
-        *PAIR, F.lit(1).alias("sample_no"), F.lit(1).alias("attempt_no"), "content",
-        F.lit(None).cast("string").alias("error"),
-        half(F.col("request")).alias("in_tokens"), half(F.col("content")).alias("out_tokens"),
-        F.lit(0).cast("long").alias("latency_ms"),
-    )
+    spread = request_rows
+    if "sample_no" not in spread.columns:
+        spread = spread.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    if "attempt_no" not in spread.columns:
+        spread = spread.withColumn("attempt_no", F.lit(attempt_no))
+    return spread.select(*PAIR, "sample_no", "attempt_no", "request").repartition(parallel).mapInPandas(call, ATTEMPTS)
 
 
 def estimate_tokens(content: Column) -> Column:
@@ -177,7 +170,8 @@ def validate_output(attempts: DataFrame, items: DataFrame, evidence_counts: Data
     """Raw answers -> typed columns and the first fault (`fault` NULL = valid).
 
     Types are read from the JSON value itself, because a cast would accept `true` as a number.
-    `evidence_counts` is (pair, n_evidence); the tier in an answer is ignored."""
+    `evidence_counts` is (pair, n_evidence); the tier in an answer is ignored. An answer about an
+    item that is not in `items` is a row with that fault."""
     n = F.coalesce("n_evidence", F.lit(0))
 
     def part(path: str) -> Column:
@@ -188,7 +182,7 @@ def validate_output(attempts: DataFrame, items: DataFrame, evidence_counts: Data
 
     typed = (
         attempts.join(evidence_counts.select(*PAIR, "n_evidence"), PAIR, "left")
-        .join(items.select(*ITEM, "tiers"), ITEM)
+        .join(items.select(*ITEM, "tiers", F.lit(True).alias("_known")), ITEM, "left")
         .withColumn("_answer", answers.parse_answer(F.col("content")))
         .withColumns({"_reason": part("$.reason"), "_cite": part("$.cite"), "_score": part("$.score")})
         .withColumns({"_rk": kind("_reason"), "_ck": kind("_cite"), "_sk": kind("_score"), "_ak": kind("_answer")})
@@ -221,10 +215,11 @@ def validate_output(attempts: DataFrame, items: DataFrame, evidence_counts: Data
         .withColumn("cite", F.when(~F.exists("_cited", lambda c: c.isNull()) & F.col("_ck").startswith("ARRAY"), F.array_distinct("_cited")))
     )
     ranges = F.array_join(
-        F.transform("tiers", lambda t: F.concat(t["tier"], F.lit(" "), t["min"].cast("string"), F.lit("-"), t["max"].cast("string"))), "、"
+        F.transform("tiers", lambda t: F.concat(t["tier"], F.lit(" "), text.float_text(t["min"]), F.lit("-"), text.float_text(t["max"]))), "、"
     )
     fault = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
+        F.when(F.col("_known").isNull(), F.format_string(ERROR_ITEM, "item_id"))
+        .when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("_answer").isNull(), F.lit(ERROR_PARSE))
         .when(~F.col("_ak").startswith("OBJECT"), F.lit(ERROR_NOT_OBJECT))
         .when(F.coalesce(F.length("reason"), F.lit(0)) == 0, F.lit(ERROR_REASON))
@@ -232,7 +227,7 @@ def validate_output(attempts: DataFrame, items: DataFrame, evidence_counts: Data
         .when(F.col("_bad").isNotNull() & F.col("_bad.c").isNull(), F.lit(ERROR_CITE_INT))
         .when(F.col("_bad").isNotNull(), F.format_string(ERROR_CITE_RANGE, F.col("_bad.c").cast("string"), (n - 1).cast("string")))
         .when(F.col("score").isNull(), F.lit(ERROR_SCORE))
-        .when(F.col("tier").isNull(), F.format_string(ERROR_TIER, F.col("score").cast("string"), ranges))
+        .when(F.col("tier").isNull(), F.format_string(ERROR_TIER, text.float_text(F.col("score")), ranges))
     )
     return typed.withColumn("fault", fault).select(
         *PAIR, "sample_no", "attempt_no", "reason", F.col("cite").cast("array<int>").alias("cite"),
@@ -403,6 +398,67 @@ def retry_round(rounds: DataFrame) -> DataFrame:
     )
 
 
+def review_rounds(
+    bodies: DataFrame, packages: DataFrame, items: DataFrame,
+    scorer: Callable[[DataFrame, DataFrame], DataFrame], *, samples: int = 1,
+    max_attempts: int = MAX_ATTEMPTS, retry_rounds: int = MAX_RETRY_ROUNDS,
+) -> tuple[DataFrame, DataFrame]:
+    """(results, attempts): ask until answers are valid, then ask again what stayed unrated.
+
+    `bodies` is `request_bodies`, once per package or, with a column sample_no, once per sample that
+    is wanted. `scorer` maps requests (pair, sample_no, attempt_no, n_evidence, request) and items to
+    attempts with the same pair and sample_no. In a round every sample gets up to `max_attempts`
+    requests; only those whose last answer had a fault are asked again, and the request names that fault.
+    Then up to `retry_rounds` more rounds ask for the packages that are unrated, from the start;
+    their attempts and costs add to the earlier ones. `attempts` has all answers with round_no. A
+    request that gets no row back counts as a failed call.
+
+    The number of steps is bounded by the two limits and ends early when nothing is open. The answers
+    of each step are written before they are read, so that no request is sent twice; between
+    steps only the keys and faults of the open samples move."""
+    if "sample_no" not in bodies.columns:
+        bodies = bodies.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    bodies = stage(bodies)
+    counts = packages.select(*PAIR, F.size("picked").alias("n_evidence"))
+    sample = [*PAIR, "sample_no"]
+    wanted, log, rounds = bodies.select(*sample), [], []
+    for round_no in range(retry_rounds + 1):
+        checked = []
+        open_ = wanted.withColumn("previous_error", F.lit(None).cast("string"))
+        for attempt_no in range(1, max_attempts + 1):
+            asked = bodies.join(open_, sample).select(
+                *sample, F.lit(attempt_no).alias("attempt_no"), "n_evidence",
+                request_json(F.col("previous_error")).alias("request"),
+            )
+            answered = scorer(asked, items).drop("attempt_no").withColumn("_answered", F.lit(True))
+            answers_ = stage(
+                open_.select(*sample, F.lit(attempt_no).alias("attempt_no")).join(answered, sample, "left")
+                .withColumn("error", F.when(F.col("_answered"), F.col("error")).otherwise(F.lit(ERROR_NO_ANSWER)))
+                .drop("_answered")
+            )
+            log.append(answers_.withColumn("round_no", F.lit(round_no)))
+            checked.append(stage(validate_output(answers_, items, counts)))
+            open_ = checked[-1].where("fault IS NOT NULL").select(*sample, F.col("fault").alias("previous_error"))
+            if attempt_no == max_attempts or open_.isEmpty():
+                break
+        medians = median_sample(resolve_attempts(_united(checked), max_attempts))
+        rounds.append(stage(rated_results(packages, medians, max_attempts).withColumn("round_no", F.lit(round_no))))
+        release(*checked)
+        unrated = rounds[-1].where("status = 'unrated'").select(*PAIR)
+        if round_no == retry_rounds or unrated.isEmpty():
+            break
+        wanted = bodies.join(unrated, PAIR, "left_semi").select(*sample)
+    results = retry_round(_united(rounds)).unionByName(miss_results(packages))
+    return with_identity(results, items), _united(log)
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
+
+
 def count_retries(attempts: Column, sampling_n: Column, status: Column) -> Column:
     """Calls beyond those that gave a valid answer."""
     valid = F.coalesce(sampling_n, F.when(status == "rated", 1).otherwise(0))

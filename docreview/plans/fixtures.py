@@ -4,13 +4,16 @@ Every view uses all rows of its table; nothing is sampled. Number of files, bidd
 projects grows with the tables.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docreview.constants import APPROVE, OVERRIDE, PAIR
+from docreview.constants import APPROVE, ITEM, OVERRIDE, PAIR, STUB_REASON
 from docreview.functions import text
 from docreview.operators import review
 from docreview.schemas import PICK, TIERS
+from docreview.session import shared_folder
 
 # Thresholds that give all kinds of outcomes on these tables.
 MIN_SCORE = 4.0
@@ -36,6 +39,17 @@ def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def feed(spark: SparkSession) -> str:
+    """A new folder on shared storage for files that a query writes and reads."""
+    return f"{shared_folder(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+
+
+def write_documents(files: DataFrame, folder: str) -> list[str]:
+    """Write each `value` as a file of its own below project=<project>; the projects, in order."""
+    files.select("project", "value").write.option("maxRecordsPerFile", 1).partitionBy("project").text(folder)
+    return sorted(r.project for r in files.sparkSession.read.text(folder).select(F.col("project").cast("string")).distinct().collect())
+
+
 def _guid(number: Column) -> Column:
     return F.concat(F.lit(_GUID_HEAD), F.lpad(number.cast("string"), 12, "0"))
 
@@ -91,6 +105,14 @@ def numbered_lines(spark, folder) -> DataFrame:
     return lines(spark, folder).withColumn("text", dressed)
 
 
+def styled_lines(spark, folder) -> DataFrame:
+    """The lines with a font: sizes by length, some lines bold."""
+    return lines(spark, folder).withColumns({
+        "font_size": F.when(F.length("text") < 20, 14.04).when(F.length("text") % 3 == 0, 10.55).otherwise(10.52),
+        "bold": F.col("line_no") % 7 == 0,
+    })
+
+
 def sections(spark, folder) -> DataFrame:
     """One section per line; five lines share a parent, the title shows the start of the line."""
     n = F.col("line_no")
@@ -270,6 +292,12 @@ def review_items(spark, folder) -> DataFrame:
     )
 
 
+def review_bidders(spark, folder) -> DataFrame:
+    """The bidders of the pairs, and one per project that has none."""
+    known = _pairs(spark, folder).select("project", "bidder").distinct()
+    return known.unionByName(known.select("project").distinct().withColumn("bidder", F.lit("B99")))
+
+
 def reviews(spark, folder) -> DataFrame:
     """Results resolved from the attempts by the review operators."""
     return review.resolve(
@@ -511,3 +539,33 @@ def versioned_sections(spark, folder) -> DataFrame:
         F.concat_ws("#", F.col("user_id"), e % 5).alias("id"),
         F.when(e % 4 != 0, F.concat_ws("-", "event_type", e)).alias("text"), e.alias("pos"),
     )
+
+
+# ---- a scorer for dry runs ------------------------------------------------------------------
+
+
+def stub_scorer(request_rows: DataFrame, items: DataFrame) -> DataFrame:
+    """A deterministic scorer as plain columns: the middle of the middle tier, citing the first
+    piece of evidence. For tests and dry runs."""
+    index = F.floor(F.size("tiers") / 2).cast("int")
+    tier = F.element_at("tiers", index + 1)
+    middle = (tier["min"] + tier["max"]) / 2
+    score = text.round_exact(
+        F.when((index > 0) & (middle >= tier["max"]), tier["max"] - 0.05).otherwise(middle), 1
+    )
+    content = F.to_json(
+        F.struct(
+            score.alias("score"),
+            F.when(F.col("n_evidence") > 0, F.array(F.lit(0)))
+            .otherwise(F.array().cast("array<int>")).alias("cite"),
+            F.lit(STUB_REASON).alias("reason"),
+        )
+    )
+    half = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 2)).cast("long")
+    sample_no = F.col("sample_no") if "sample_no" in request_rows.columns else F.lit(1).alias("sample_no")
+    return request_rows.join(items.select(*ITEM, "tiers"), ITEM).withColumn("content", content).select(
+        *PAIR, sample_no, F.lit(1).alias("attempt_no"), "content",
+        F.lit(None).cast("string").alias("error"),
+        half(F.col("request")).alias("in_tokens"), half(F.col("content")).alias("out_tokens"),
+        F.lit(0).cast("long").alias("latency_ms"),
+    )

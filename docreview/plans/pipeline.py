@@ -4,18 +4,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from docreview.constants import MAX_ATTEMPTS, MAX_RETRY_ROUNDS
 from docreview.operators import evidence, report, review, sections as sec, sheets
 from docreview.session import stage
 
 
 def review_pipeline(
-    lines: DataFrame, items: DataFrame, scorer: Callable[[DataFrame, DataFrame], DataFrame] = review.stub_scorer,
-    *, summary: str = "", rules: list[str] | None = None, staged: bool = False, **locate_options,
+    lines: DataFrame, items: DataFrame, scorer: Callable[[DataFrame, DataFrame], DataFrame],
+    *, summary: str = "", rules: list[str] | None = None, staged: bool = True, samples: int = 1,
+    max_attempts: int = MAX_ATTEMPTS, retry_rounds: int = MAX_RETRY_ROUNDS, **locate_options,
 ) -> dict[str, DataFrame]:
-    """All tables of a run. `scorer` maps (requests, items) to attempts.
+    """All tables of a run. `scorer` maps (requests, items) to attempts, see `review.review_rounds`;
+    `review.score_with` makes one of a function.
 
-    With `staged`, sections and packages are written once to the shared folder and read back:
-    both are read by several branches. Without it everything stays one lazy plan."""
+    Sections and packages are written once to the shared folder and read back, as both are read by
+    several branches; `staged=False` leaves them lazy. Answers are always written before they are read:
+    no request is sent twice."""
     section_rows = sec.sections(lines)
     if staged:
         section_rows = stage(section_rows, ["project"])
@@ -23,13 +27,13 @@ def review_pipeline(
     if staged:
         packages = stage(packages)
     texts = review.evidence_text(packages, section_rows)
-    requests = review.requests(texts, items, summary, rules or [])
-    attempts = scorer(requests, items)
-    if staged:
-        attempts = stage(attempts)
-    results = review.resolve(attempts, packages, items)
+    bodies = review.request_bodies(texts, items, summary, rules or [])
+    results, attempts = review.review_rounds(
+        bodies, packages, items, scorer, samples=samples, max_attempts=max_attempts, retry_rounds=retry_rounds
+    )
     return {
-        "sections": section_rows, "packages": packages, "requests": requests,
+        "sections": section_rows, "packages": packages,
+        "requests": review.requests(texts, items, summary, rules or []),
         "attempts": attempts, "results": results,
         "totals": report.totals(results, items),
     }

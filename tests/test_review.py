@@ -1,4 +1,6 @@
 import json
+import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from docreview import schemas
 from docreview.functions import answers, text
 from docreview.operators import criteria, quality, review, runs
+from docreview.plans import fixtures
 
 TIERS = [("优", 3.0, 4.0), ("良", 2.0, 3.0), ("一般", 1.0, 2.0)]
 GOOD = '{"score":2.6,"cite":[0],"reason":"依据充分"}'
@@ -143,7 +146,7 @@ def test_requests_stub_and_scorer(spark, items):
     body = json.loads(rows.where("bidder = 'A'").first().request)
     assert body["scoring_item"]["tiers"][0] == {"tier": "优", "min": 3.0, "max": 4.0}
     assert body["evidence"][0]["text"] == "后来的正" and "previous_error" not in body
-    results = review.resolve(review.stub_scorer(rows, items), packages, items).collect()
+    results = review.resolve(fixtures.stub_scorer(rows, items), packages, items).collect()
     assert {(r.score, r.tier) for r in results} == {(2.5, "良")}
 
     def scorer(request):
@@ -155,6 +158,83 @@ def test_requests_stub_and_scorer(spark, items):
     assert called["A", 2].content == GOOD and called["B", 1].error == "boom" and len(called) == 4
 
 
+def ask(spark, tmp_path, items, scorer, *names, **options):
+    """Rounds over packages of one pick each; every call leaves a file, so calls can be counted."""
+    packages = packs(spark, *[(n, 1, 5, False, False) for n in names])
+    evidence = spark.createDataFrame(
+        [("p", n, "T1", 0, "1#1", "f", ["c"], 1, f"text of {n}") for n in names],
+        "project string, bidder string, item_id string, idx int, section_id string, file string, path array<string>, page int, text string")
+    folder = str(tmp_path)
+
+    def counted(request):
+        body = json.loads(request)
+        name, fault = body["evidence"][0]["text"][-1], body.get("previous_error")
+        Path(folder, f"{name}-{uuid.uuid4().hex}").write_text(fault or "")
+        return scorer(name, fault)
+
+    results, log = review.review_rounds(
+        review.request_bodies(evidence, items, "s", ["r"]), packages, items,
+        lambda rows, _: review.score_with(rows, counted, 2), **options)
+    return {r.bidder: r for r in results.collect()}, log, lambda n: sorted(f.read_text() for f in tmp_path.glob(f"{n}-*"))
+
+
+def test_faults_are_asked_again_and_once_each(spark, items, tmp_path):
+    """A is right at once, B when told its fault, C never, D raises what nobody expects, E after it
+    was unrated once; every request is sent once although its answer is read several times."""
+    def scorer(name, fault):
+        if name == "D":
+            raise KeyError("missing")
+        good = {"content": GOOD, "in_tokens": 10, "out_tokens": 1, "latency_ms": 5}
+        bad = {"content": '{"score":2.6,"cite":[7],"reason":"x"}', "in_tokens": 10, "out_tokens": 1, "latency_ms": 5}
+        if name == "E":
+            return good if fault is None and len(list(tmp_path.glob("E-*"))) > 4 else bad
+        return good if name == "A" or (name == "B" and fault) else bad
+
+    got, log, calls = ask(spark, tmp_path, items, scorer, *"ABCDE")
+    log.count()
+    fault = "cite 编号 7 越界，有效范围是 0~0"
+    assert calls("A") == [""] and calls("B") == ["", fault]
+    assert calls("C") == ["", "", *[fault] * 6] and calls("E") == ["", "", *[fault] * 3]
+    assert calls("D") == ["", "", *["'missing'"] * 6]
+    assert [(got[n].status, got[n].attempts, got[n].perf.in_tokens) for n in "ABCDE"] == [
+        ("rated", 1, 10), ("rated", 2, 20), ("unrated", 8, 80), ("unrated", 8, 0), ("rated", 5, 50)]
+    assert (got["C"].last_error, got["D"].last_error) == (fault, "'missing'")
+    assert log.count() == 1 + 2 + 8 + 8 + 5 and log.where("round_no = 1").count() == 4 + 4 + 1
+
+
+def test_rounds_and_samples_are_bounded(spark, items, tmp_path):
+    got, log, calls = ask(
+        spark, tmp_path, items, lambda n, f: {"content": GOOD if n == "A" else "no"}, "A", "B",
+        samples=3, max_attempts=2, retry_rounds=0)
+    assert len(calls("A")) == 3 and len(calls("B")) == 6
+    assert (got["A"].sampling.n, got["A"].confidence, got["B"].status, got["B"].attempts) == (3, 1.0, "unrated", 2)
+
+
+def test_a_request_without_an_answer_is_a_failed_call(spark, items):
+    packages = packs(spark, ("A", 1, 5, False, False), ("B", 0, 0, False, False))
+    evidence = review.explode_picks(packages).withColumn("text", F.lit("t"))
+    bodies = review.request_bodies(evidence, items, "s", [])
+    nothing = lambda rows, _: spark.createDataFrame([], schemas.ATTEMPTS)
+    results, log = review.review_rounds(bodies, packages, items, nothing, max_attempts=2)
+    got = {r.bidder: r for r in results.collect()}
+    assert (got["A"].status, got["A"].attempts, got["A"].last_error) == ("unrated", 4, "no answer")
+    assert got["B"].miss_reason == "no_file" and log.count() == 4
+
+
+def test_unknown_items_are_error_rows(spark, items):
+    counts = packs(spark, ("A", 1, 5, False, False)).select("project", "bidder", "item_id", F.size("picked").alias("n_evidence"))
+    odd = tries(spark, ("A", 1, 1, GOOD, None)).withColumn("item_id", F.lit("T9"))
+    row = review.validate_output(odd, items, counts).first()
+    assert (row.fault, row.tier) == ("证据包评分项 'T9' 在评分表中不存在", None)
+
+
+def test_float_text(spark):
+    values = [0.0004, 1e-4, 9.99e-5, 1e-5, 1.5e-7, 0.1, 2.0, 12345678.0, 1e7, 123456789012345.6, 9999999999999998.0, 1e16,
+              1.5e16, 1e22, 1.25e300, -0.00025, -3.5, 0.0, -1e-10, 1234567.125, 0.001, 0.00123456789, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    assert [r.t for r in df.select(text.float_text(F.col("v")).alias("t")).collect()] == [str(v) for v in values]
+
+
 def test_item_faults(spark):
     def item(criteria="x", tiers=TIERS, name="n"):
         return ("p", 1, "T", "g", name, 4.0, criteria, [], [], tiers)
