@@ -9,6 +9,8 @@ group, and the result is joined back on (keys, chunk). The rows are shuffled onc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docreview.session import stage
+
 
 def chunk_of(position: Column, size: int) -> Column:
     return F.floor(position / F.lit(size)).cast("long")
@@ -55,6 +57,14 @@ def number_rows(
     ).drop("_start")
 
 
+def rank_rows(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """Number the rows of each group from 1 in any order, however large a group is: rows are
+    parted by range and written, and a number is the rank inside a range plus the group's rows in
+    the ranges before."""
+    ranged = stage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    return number_rows(ranged, keys, "_range", order, name).drop("_range")
+
+
 def rank_index(share: float):
     """Index of the discrete order statistic `share` in a sorted list of n values."""
     return lambda n: F.least(F.floor(F.lit(share) * n), n - 1)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from docreview.constants import CHUNK_LINES, ITEM
 from docreview.functions import scan, text
+from docreview.functions.substrings import containing
+from docreview.session import stage
 
 # ---- fixed values -----------------------------------------------------------------------
 # Foreign text between a range and its unit.
@@ -53,30 +55,115 @@ def clean_lines(lines: DataFrame, watermark: str) -> DataFrame:
     )
 
 
+#: Characters of a tender text that one row holds, besides the overlap of its neighbours.
+_STEP = 4096
+
+
+def dense_chunks(source: DataFrame, overlap: int) -> DataFrame:
+    """The text without blanks in rows of _STEP characters: no, start (characters before it), and
+    `_blob`, which goes on for `overlap` characters, so that what is no longer lies in one row."""
+    dense = source.select("project", text.squeeze(F.col("text")).alias("dense"))
+    pieces = F.regexp_extract_all(
+        "dense", F.lit(rf"(?s)(?=(.{{1,{_STEP + max(overlap, 0)}}})).{{1,{_STEP}}}"), F.lit(1)
+    )
+    return dense.select("project", F.posexplode(pieces).alias("no", "_blob")).withColumn(
+        "start", F.col("no") * F.lit(_STEP)
+    )
+
+
+def _longest(strings: DataFrame, column: str) -> int:
+    return strings.agg(F.max(F.char_length(column))).first()[0] or 0
+
+
+def _first_places(source: DataFrame, strings: DataFrame, beyond: int = 0) -> DataFrame:
+    """(project, s, pos, near): the first place (from 1) of each string in its project's text
+    without blanks, and `beyond` characters from there. Strings that do not occur have no row."""
+    chunks = dense_chunks(source, max(_longest(strings, "s"), beyond))
+    found = containing(chunks, strings, ["project"], ["project", "no"])
+    at = F.expr("instr(_blob, s)")
+    near = F.substr("_blob", at, F.lit(beyond)) if beyond else F.lit(None).cast("string")
+    return found.groupBy("project", "s").agg(
+        F.min(F.struct((F.col("start") + at).alias("pos"), near.alias("near"))).alias("_hit")
+    ).select("project", "s", "_hit.*")
+
+
 def locate_names(source: DataFrame, items: DataFrame) -> DataFrame:
     """Position of every item name in the text without blanks (1-based, 0 = absent) and whether
-    the names come in item order."""
-    dense = source.select("project", text.squeeze(F.col("text")).alias("dense"))
+    the names come in item order. Names meet chunks of the text; no item carries it."""
     order = Window.partitionBy("project").orderBy("item_no")
+    places = _first_places(source, items.where("name IS NOT NULL").select("project", F.col("name").alias("s")))
     return (
-        items.select(*ITEM, "item_no", "name").join(dense, "project")
-        .withColumn("pos", F.expr("instr(dense, name)"))
+        items.select(*ITEM, "item_no", "name")
+        .join(source.select("project").distinct(), "project", "left_semi")
+        .join(places.select("project", F.col("s").alias("name"), "pos"), ["project", "name"], "left")
+        .withColumn("pos", F.coalesce("pos", F.lit(0)))
         .withColumn("next_pos", F.lead("pos").over(order))
         .withColumn("in_order", (F.col("pos") > 0) & (F.coalesce(F.lag("pos").over(order), F.lit(0)) <= F.col("pos")))
     )
 
 
+def _covered(first: Column, last: Column) -> Column:
+    """The chunks that the characters from `first` to `last` (from 1) lie in."""
+    return F.sequence(F.floor((first - 1) / _STEP).cast("int"), F.floor((last - 1) / _STEP).cast("int"))
+
+
+def _segments(source: DataFrame, placed: DataFrame) -> DataFrame:
+    """(project, item_id, seg): the text without blanks from each name to the next one's. Segments
+    do not overlap, so every piece of the text is cut out once."""
+    chunks = dense_chunks(source, 0).withColumnRenamed("no", "_no")
+    total = F.coalesce(F.col("next_pos") - 1, F.lit(2**31 - 1 - _STEP))
+    ends = dense_chunks(source, 0).groupBy("project").agg(F.max(F.col("start") + F.char_length("_blob")).alias("_length"))
+    spans = placed.where("pos > 0").join(ends, "project").withColumn(
+        "_last", F.least(total, F.col("_length"))
+    ).where("_last >= pos").select(*ITEM, "pos", "_last", F.explode(_covered(F.col("pos"), F.col("_last"))).alias("_no"))
+    low = F.greatest(F.col("pos") - F.col("start"), F.lit(1))
+    piece = F.substr("_blob", low, F.col("_last") - F.col("start") - low + 1)
+    return spans.join(chunks, ["project", "_no"]).withColumn("_piece", piece).groupBy(*ITEM).agg(
+        scan.ordered_join("_piece", "_no", "").alias("seg")
+    )
+
+
+def _spaced(source: DataFrame, hits: DataFrame) -> DataFrame:
+    """(project, item_id, criteria): the original text of the characters `lo` to `hi` of the text
+    without blanks. Chunks of the original know how many characters lie before them."""
+    solid = F.transform(F.col("_raws"), lambda r: F.char_length(text.squeeze(r)))
+    before = F.aggregate("_sizes", F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    raw = (
+        source.select("project", F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{_STEP}}}"), F.lit(0)).alias("_raws"))
+        .withColumn("_sizes", solid).withColumn("_before", before)
+        .select("project", F.inline(F.transform("_raws", lambda r, i: F.struct(
+            i.alias("_no"), r.alias("_raw"), F.get("_before", i).alias("_dense"), F.get("_sizes", i).alias("_size"),
+        ))))
+    )
+    # a chunk without anything but blanks stands at the character before it
+    first = F.greatest(F.col("_dense") + F.when(F.col("_size") > 0, 1).otherwise(0), F.lit(1))
+    spread = raw.withColumn("_part", F.explode(_covered(first, F.greatest(F.col("_dense") + F.col("_size"), first))))
+    wanted = hits.select(*ITEM, "lo", "hi", F.explode(_covered(F.col("lo"), F.col("hi"))).alias("_part"))
+    met = wanted.join(spread, ["project", "_part"]).where("_dense < hi AND _dense + _size >= lo").dropDuplicates(
+        [*ITEM, "_no"]
+    )
+    solid_at = F.array_compact(
+        F.transform(F.split("_raw", ""), lambda c, i: F.when(F.length(text.squeeze(c)) > 0, i + 1))
+    )
+    start = F.when(F.col("lo") > F.col("_dense"), F.get("_at", F.col("lo") - F.col("_dense") - 1)).otherwise(1)
+    stop = F.when(
+        F.col("hi") <= F.col("_dense") + F.col("_size"), F.get("_at", F.col("hi") - F.col("_dense") - 1)
+    ).otherwise(F.char_length("_raw"))
+    cut = met.withColumn("_at", solid_at).withColumn("_piece", F.substr("_raw", start, stop - start + 1))
+    return cut.groupBy(*ITEM).agg(scan.ordered_join("_piece", "_no", "").alias("criteria"))
+
+
 def segment_criteria(source: DataFrame, items: DataFrame) -> DataFrame:
     """Cut the criteria of every item out of the tender text, with its original spacing.
 
     The segment runs to the next item's name. Inside it the last occurrence of the name counts
     that is followed by the closing sentence with the basis phrase before its end. `ok` is false
-    for all items of a project when a name is missing or out of order."""
+    for all items of a project when a name is missing or out of order; their criteria are NULL.
+
+    The text is searched and cut in chunks; an item holds its own segment only."""
     placed = locate_names(source, items)
     sound = placed.groupBy("project").agg(F.bool_and("in_order").alias("ok"))
-    segment = F.when(
-        F.col("next_pos").isNull(), F.expr("substring(dense, pos)")
-    ).otherwise(F.expr("substring(dense, pos, next_pos - pos)"))
+    judged = stage(placed.join(sound, "project"))
     # Every occurrence of the name in the segment, as the offset of its first character.
     starts = F.expr(
         "transform(sequence(1, greatest(size(split(seg, concat('\\\\Q', name, '\\\\E'), -1)) - 1, 1)),"
@@ -92,40 +179,28 @@ def segment_criteria(source: DataFrame, items: DataFrame) -> DataFrame:
         ),
     )
     good = F.filter(F.col("tails"), lambda t: F.contains(t["body"], F.lit(_BASIS)))
-    found = (
-        placed.join(sound, "project")
-        .withColumn("seg", segment)
+    hits = (
+        judged.where("ok").join(_segments(source, judged.where("ok")), ITEM)
         .withColumn("starts", starts)
         .withColumn("tails", tails)
         .withColumn("hit", F.element_at(F.when(F.size(good) > 0, good), -1))
-        .withColumn("lo", F.col("pos") + F.col("hit.start"))
-        .withColumn("n", F.length("hit.body"))
-    )
-    # Back to the spaced text: the place of every character that is not blank.
-    offsets = source.select(
-        "project", F.col("text").alias("_text"),
-        F.array_compact(
-            F.transform(
-                F.split("text", ""), lambda c, i: F.when(F.length(text.squeeze(c)) > 0, i + 1)
-            )
-        ).alias("_at"),
-    )
-    first = F.try_element_at("_at", F.col("lo").cast("int"))
-    last = F.try_element_at("_at", (F.col("lo") + F.col("n") - 1).cast("int"))
-    return found.join(offsets, "project").select(
-        *ITEM, "item_no", "name", "ok",
-        F.when(
-            F.col("ok") & (F.col("n") > 0), F.substring(F.col("_text"), first, last - first + 1)
-        ).alias("criteria"),
+        .where(F.length("hit.body") > 0)
+        .select(*ITEM, (F.col("pos") + F.col("hit.start")).alias("lo"), F.length("hit.body").alias("n"))
+        .withColumn("hi", F.col("lo") + F.col("n") - 1)
     )
+    return judged.select(*ITEM, "item_no", "name", "ok").join(_spaced(source, hits), ITEM, "left")
 
 
 def verify_verbatim(criteria: DataFrame, source: DataFrame) -> DataFrame:
     """Is the criteria text, without blanks, a part of the source without blanks?"""
-    dense = source.select("project", text.squeeze(F.col("text")).alias("dense"))
-    return criteria.join(dense, "project").select(
-        *ITEM,
-        F.contains("dense", text.squeeze(F.coalesce("criteria", F.lit("")))).alias("verbatim"),
+    dense = stage(
+        criteria.select(*ITEM, text.squeeze(F.coalesce("criteria", F.lit(""))).alias("s")).join(
+            source.select("project").distinct(), "project", "left_semi"
+        )
+    )
+    found = _first_places(source, dense.where("s <> ''").select("project", "s")).select("project", "s", "pos")
+    return dense.join(found, ["project", "s"], "left").select(
+        *ITEM, ((F.col("s") == "") | F.col("pos").isNotNull()).alias("verbatim")
     )
 
 
@@ -152,22 +227,20 @@ def reconcile_sources(source: DataFrame, external: DataFrame, items: DataFrame)
     """Tender text against the second source, per GUID: is the name found, and do the first three
     ranges after it equal those of the second source? The configured tiers stand beside them,
     lowest first."""
-    dense = source.select("project", text.squeeze(F.col("text")).alias("dense"))
     configured = items.select(
         "project", "guid", "item_id", "max_score",
         F.array_sort(
             F.transform("tiers", lambda t: F.struct(t["min"].alias("min"), t["max"].alias("max"), t["tier"].alias("tier")))
         ).alias("system_tiers"),
     )
+    named = first_external(external).join(source.select("project").distinct(), "project", "left_semi").withColumn(
+        "s", text.squeeze(F.col("name"))
+    )
+    places = _first_places(source, named.where("s IS NOT NULL").select("project", "s"), _RANGE_WINDOW)
     rows = (
-        first_external(external).join(dense, "project")
-        .withColumn("_name", text.squeeze(F.col("name")))
-        .withColumn("_pos", F.expr("instr(dense, _name)"))
-        .withColumn(
-            "_near",
-            F.when(F.col("_pos") > 0, F.expr(f"substring(dense, _pos, {_RANGE_WINDOW})")).otherwise(""),
-        )
-        .withColumn("source_ranges", text.range_texts(F.col("_near")))
+        named.join(places, ["project", "s"], "left")
+        .withColumn("_pos", F.when(F.col("s").isNotNull(), F.coalesce("pos", F.lit(0))))
+        .withColumn("source_ranges", text.range_texts(F.coalesce("near", F.lit(""))))
         .withColumn("external_ranges", text.range_texts(text.squeeze(F.coalesce("desc", F.lit("")))))
     )
     return rows.join(configured, ["project", "guid"], "left").select(

@@ -28,14 +28,38 @@ def bidders(results: DataFrame) -> DataFrame:
 
 def score_matrix(results: DataFrame, items: DataFrame) -> DataFrame:
     """Long form: one cell per bidder and item of the project; NULL = not rated or missing. The
-    declared cells are the result itself."""
-    cells = bidders(results).join(items.select(*ITEM, "name", "max_score"), "project")
-    scores = results.select(*PAIR, F.when(_rated(), F.col("score")).alias("score"))
-    return cells.join(scores, PAIR, "left").select(*PAIR, "name", "max_score", "score")
+    declared cells are the result itself. One pass: the results of a bidder, as many as the
+    scoring table has items, meet the items in one row."""
+    score = F.struct("item_id", F.when(_rated(), F.col("score")).alias("score"))
+    own = results.groupBy(*BIDDER).agg(F.collect_list(score).alias("_own"))
+    mine = F.transform(F.filter("_own", lambda r: r["item_id"] == F.col("item_id")), lambda r: r["score"])
+    return own.join(items.select(*ITEM, "name", "max_score"), "project").select(
+        *PAIR, "name", "max_score", F.explode_outer(mine).alias("score")
+    )
+
+
+def matrix_rows(results: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per item with `scores`, (bidder, score) of all bidders of the project in bidder order;
+    a NULL score is not rated or missing. There is no limit on the number of bidders."""
+    cell = F.struct("bidder", "score")
+    return score_matrix(results, items).groupBy(*ITEM).agg(
+        F.first("name").alias("name"), F.first("max_score").alias("max_score"),
+        F.array_sort(F.collect_list(cell)).alias("scores"),
+    )
+
+
+#: Columns of a wide matrix; more bidders are listed by `matrix_rows`.
+MAX_COLUMNS = 2_000
 
 
-def wide_matrix(results: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per item, one column per bidder in `columns`. NULL stays apart from 0."""
+def wide_matrix(results: DataFrame, items: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per item, one column per bidder. NULL stays apart from 0. The columns are the
+    bidders that have results, in order, unless they are given; more than MAX_COLUMNS are refused."""
+    if columns is None:
+        names = results.select("bidder").where("bidder IS NOT NULL").distinct()
+        columns = sorted(r.bidder for r in names.limit(MAX_COLUMNS + 1).collect())
+        if len(columns) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} bidders; use matrix_rows")
     scores = results.join(items.select(*ITEM), ITEM, "left_semi").select(
         *PAIR, F.when(_rated(), F.col("score")).alias("score")
     )
@@ -58,10 +82,12 @@ def totals(results: DataFrame, items: DataFrame, expert: DataFrame | None = None
 
     The expert total takes the expert's score where the latest record is an override, also for an
     item the system could not rate; the system score never changes."""
-    own = results.join(items.select(*ITEM), ITEM, "left_semi").select(
-        *PAIR,
-        F.when(_rated(), 1).otherwise(0).alias("rated"),
-        F.when(_rated(), F.coalesce("score", F.lit(0.0))).otherwise(0.0).alias("system"),
+    known = items.select(*ITEM, F.lit(True).alias("_known"))
+    counts = _rated() & F.coalesce("_known", F.lit(False))
+    own = results.join(known, ITEM, "left").select(
+        *PAIR, F.lit(1).alias("_has"),
+        F.when(counts, 1).otherwise(0).alias("rated"),
+        F.when(counts, F.coalesce("score", F.lit(0.0))).otherwise(0.0).alias("system"),
     )
     if expert is None:
         merged = own.withColumns({"override": F.lit(0), "expert": F.col("system")})
@@ -69,34 +95,28 @@ def totals(results: DataFrame, items: DataFrame, expert: DataFrame | None = None
         overrides = (
             latest_expert(expert).where(F.col("action") == OVERRIDE)
             .join(items.select(*ITEM), ITEM, "left_semi")
-            .join(bidders(results), BIDDER, "left_semi")
             .select(*PAIR, F.coalesce("expert_score", F.lit(0.0)).alias("_score"), F.lit(1).alias("override"))
         )
         zero = F.lit(0)
         merged = own.join(overrides, PAIR, "full").select(
-            *PAIR,
+            *PAIR, "_has",
             F.coalesce("rated", zero).alias("rated"),
             F.coalesce("system", F.lit(0.0)).alias("system"),
             F.coalesce("override", zero).alias("override"),
-            F.when(F.col("override") == 1, F.col("_score")).otherwise(F.col("system")).alias("expert"),
+            F.when(F.col("override") == 1, F.col("_score")).otherwise(F.coalesce("system", F.lit(0.0))).alias("expert"),
         )
+    # A bidder whose results are all for unknown items still has a line, one without results has none.
     sums = merged.groupBy(*BIDDER).agg(
+        F.max("_has").alias("_has"),
         F.sum("rated").alias("rated"),
         text.round_exact(F.sum("system"), 1).alias("score"),
         text.round_exact(F.sum("expert"), 1).alias("expert_score"),
-        F.sum("override").alias("expert_overrides"),
-    )
-    counts = items.groupBy("project").agg(F.count("*").alias("n_items"))
-    # A bidder whose results are all for unknown items still has a line.
-    return (
-        bidders(results).join(counts, "project").join(sums, BIDDER, "left")
-        .select(
-            *BIDDER,
-            F.coalesce("score", F.lit(0.0)).alias("score"),
-            (F.col("n_items") - F.coalesce("rated", F.lit(0))).alias("unrated"),
-            F.coalesce("expert_score", F.lit(0.0)).alias("expert_score"),
-            F.coalesce("expert_overrides", F.lit(0)).cast("long").alias("expert_overrides"),
-        )
+        F.sum("override").cast("long").alias("expert_overrides"),
+    ).where("_has = 1")
+    n_items = items.groupBy("project").agg(F.count("*").alias("n_items"))
+    return sums.join(n_items, "project", "left").select(
+        *BIDDER, "score", (F.coalesce("n_items", F.lit(0)) - F.col("rated")).alias("unrated"),
+        "expert_score", "expert_overrides",
     )
 
 
@@ -142,20 +162,26 @@ def audit(results: DataFrame, items: DataFrame, any_zero: bool = False) -> DataF
 
     The group is the tier, or the miss group where there is none. With `any_zero` every score of
     0 is a group of its own, shown in the distribution even when it is empty."""
-    n = bidders(results).groupBy("project").agg(F.count("*").alias("n_bidders"))
     group = (
         F.when(F.col("score") == 0, ZERO_GROUP).otherwise(F.col("tier")) if any_zero
         else F.coalesce("tier", F.lit(MISS_GROUP))
     )
     label = ZERO_GROUP if any_zero else MISS_GROUP
-    rated = results.where(_rated()).withColumn("grp", group)
+    # One pass counts for items and for bidders; a project's few sums then meet in a window.
+    marks = F.array(
+        F.struct(F.lit(True).alias("of_item"), F.col("item_id").alias("key"),
+                 F.when(_rated(), 1).alias("rated"), F.when(_rated(), group).alias("grp")),
+        F.struct(F.lit(False).alias("of_item"), F.col("bidder").alias("key"), F.lit(None).cast("int").alias("rated"),
+                 F.lit(None).cast("string").alias("grp")),
+    )
+    sums = results.select("project", F.inline(marks)).groupBy("project", "of_item", "key").agg(
+        F.count("rated").alias("n_rated"), F.min("grp").alias("low"), F.max("grp").alias("high"),
+        F.count("grp").alias("n_grouped"),
+    )
     uniform = (
-        rated.groupBy(*ITEM)
-        .agg(F.count("*").alias("n_rated"), F.min("grp").alias("low"), F.max("grp").alias("high"),
-             F.count("grp").alias("n_grouped"))
-        .where("low = high and n_rated = n_grouped")
-        .join(n, "project")
-        .where("n_rated = n_bidders")
+        sums.withColumn("n_bidders", F.count_if(~F.col("of_item")).over(Window.partitionBy("project")))
+        .where("of_item and low = high and n_rated = n_grouped and n_rated = n_bidders")
+        .withColumnRenamed("key", "item_id")
         .join(items.select(*ITEM, "tiers"), ITEM)
     )
     is_label = F.col("low") == label
@@ -191,30 +217,31 @@ def dist_text(tier_dist: Column, separator: str = "，") -> Column:
 def perf(results: DataFrame, items: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Coverage (bidders x items), retries, tokens and the wall clock of the run, per project.
     Wall clock and concurrency are shown as not collected when no run was recorded."""
-    sums = results.groupBy("project").agg(
+    sums = results.groupBy(*BIDDER).agg(
         F.sum(F.coalesce("attempts", F.lit(0))).alias("_attempts"),
         F.count_if(F.coalesce("attempts", F.lit(0)) >= 1).alias("_first"),
         F.sum(F.coalesce("perf.in_tokens", F.lit(0))).alias("in_tokens"),
         F.sum(F.coalesce("perf.out_tokens", F.lit(0))).alias("out_tokens"),
         F.sum(F.coalesce("perf.latency_ms", F.lit(0))).alias("latency_ms"),
     )
-    n_bidders = bidders(results).groupBy("project").agg(F.count("*").alias("_b"))
+    names = ["_attempts", "_first", "in_tokens", "out_tokens", "latency_ms"]
+    whole = sums.groupBy("project").agg(F.count("*").alias("_b"), *[F.sum(c).alias(c) for c in names])
     n_items = items.groupBy("project").agg(F.count("*").alias("_i"))
-    rows = sums.join(n_bidders, "project").join(n_items, "project")
+    rows = whole.join(n_items, "project", "left").withColumn("_i", F.coalesce("_i", F.lit(0)))
     if runs is None:
         rows = rows.withColumns(
             {"wall_clock_sec": F.lit(None).cast("double"), "concurrency": F.lit(None).cast("int")}
         )
     else:
         rows = rows.join(runs.select("project", "wall_clock_sec", "concurrency"), "project", "left")
-    seconds = text.round_exact(F.col("latency_ms") / 1000, 1).cast("string")
+    seconds = text.float_text(text.round_exact(F.col("latency_ms") / 1000, 1))
     note = F.when(
         F.col("wall_clock_sec").isNull(),
         F.concat(
             F.lit("未采集（调度器未落盘墙钟耗时；逐项 latency 之和为 "), seconds,
             F.lit(" 秒，并发下实际墙钟低于该值）"),
         ),
-    ).otherwise(F.concat(F.lit("调度器落盘墙钟耗时："), F.col("wall_clock_sec").cast("string"), F.lit(" 秒")))
+    ).otherwise(F.concat(F.lit("调度器落盘墙钟耗时："), text.float_text(F.col("wall_clock_sec")), F.lit(" 秒")))
     return rows.select(
         "project", "wall_clock_sec", note.alias("wall_clock_note"),
         F.coalesce(F.col("concurrency").cast("string"), F.lit(NOT_COLLECTED)).alias("concurrency"),

@@ -101,18 +101,24 @@ def assign_lines(marked: DataFrame) -> DataFrame:
     )
 
 
-def block_texts(lines: DataFrame, body: DataFrame, chunk_lines: int) -> DataFrame:
-    """Text of every block. Lines are joined chunk by chunk first, so an array never holds more
-    than one chunk."""
-    cut = lines.select(
-        *FILE, scan.chunk_of(F.col("line_no"), chunk_lines).alias("chunk"), "line_no", "text"
+def _texts(lines: DataFrame, blocks: DataFrame, chunk_lines: int) -> DataFrame:
+    """The text of blocks that lie in one chunk, or of the parts in a chunk of those that do not.
+
+    `blocks` gives each part's place in its chunk (`at`, `n`, from 1). The lines of a chunk become one
+    row, the only time that text is shuffled, and every part is cut out of that row."""
+    rows = lines.select(
+        *FILE, scan.chunk_of(F.col("line_no"), chunk_lines).alias("chunk"), F.struct("line_no", "text").alias("row")
+    ).groupBy(*FILE, "chunk").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    facts = [c for c in blocks.columns if c not in (*FILE, "chunk", "at", "n")]
+    listed = blocks.groupBy(*FILE, "chunk").agg(F.collect_list(F.struct("at", "n", *facts)).alias("parts"))
+    cut = F.transform(
+        "parts",
+        lambda p: F.struct(
+            *[p[c].alias(c) for c in facts],
+            F.array_join(F.transform(F.slice("rows", p["at"], p["n"]), lambda r: r["text"]), "\n").alias("text"),
+        ),
     )
-    partial = (
-        cut.join(body.select(*FILE, "chunk", "line_no", "block"), [*FILE, "chunk", "line_no"])
-        .groupBy(*FILE, "chunk", "block")
-        .agg(scan.ordered_join("text", "line_no", "\n").alias("text"))
-    )
-    return partial.groupBy(*FILE, "block").agg(scan.ordered_join("text", "chunk", "\n").alias("text"))
+    return rows.join(listed, [*FILE, "chunk"]).select(*FILE, "chunk", F.inline(cut))
 
 
 def build_sections(
@@ -120,27 +126,43 @@ def build_sections(
 ) -> DataFrame:
     """Blocks with text become sections; blank blocks vanish and take no number.
 
-    Which blocks there are, their numbers and their paths come from the narrow `marked` rows; the
-    text itself is shuffled only to be joined into its block."""
-    body = assign_lines(marked).where(~F.col("is_heading"))
+    Which blocks there are, their numbers, paths and places come from the narrow `marked` rows; the
+    text itself is shuffled once, by (file, chunk). Only blocks that reach over the end of a chunk
+    are put together by a second exchange."""
+    inside = Window.partitionBy(*FILE, "chunk").orderBy("line_no")
+    placed = marked.withColumn("_at", F.row_number().over(inside))
+    parts = (
+        assign_lines(placed).where(~F.col("is_heading"))
+        .groupBy(*FILE, "chunk", "block")
+        .agg(
+            F.min("_at").alias("at"), F.count("*").cast("int").alias("n"), F.bool_or("filled").alias("_filled"),
+            F.first("file").alias("file"), F.min_by("page", "line_no").alias("first_page"),
+        )
+    )
     blocks = (
-        body.groupBy(*FILE, "block")
+        parts.groupBy(*FILE, "block")
         .agg(
-            F.bool_or("filled").alias("_filled"), F.first("file").alias("file"),
-            F.min_by("page", "line_no").alias("first_page"),
+            F.bool_or("_filled").alias("_filled"), F.first("file").alias("file"),
+            F.min_by("first_page", "chunk").alias("first_page"), F.count("*").alias("n_parts"),
         )
         .where("_filled")
         .withColumn("_chunk", scan.chunk_of(F.col("block"), chunk_lines))
     )
-    numbered = scan.number_rows(blocks, FILE, "_chunk", ["block"], "seq")
+    numbered = scan.number_rows(blocks, FILE, "_chunk", ["block"], "seq").drop("_chunk", "_filled")
     paths = heading_paths(marked, levels).select(
         *FILE, F.col("line_no").alias("block"), "level", F.col("page").alias("heading_page"), "path"
     )
+    named = parts.select(*FILE, "chunk", "block", "at", "n").join(
+        numbered.join(paths, [*FILE, "block"], "left"), [*FILE, "block"]
+    )
+    single = _texts(lines, named.where("n_parts = 1").drop("n_parts"), chunk_lines).drop("chunk")
+    facts = [c for c in single.columns if c not in (*FILE, "text")]
+    spread = _texts(lines, named.where("n_parts > 1").drop("n_parts"), chunk_lines).groupBy(*FILE, *facts).agg(
+        scan.ordered_join("text", "chunk", "\n").alias("text")
+    )
     is_preface = F.col("block") == _PREFACE_BLOCK
     return (
-        block_texts(lines, body, chunk_lines)
-        .join(numbered, [*FILE, "block"])
-        .join(paths, [*FILE, "block"], "left")
+        single.unionByName(spread)
         .withColumn("text", text.strip(F.col("text")))
         .select(
             "project", "bidder",
@@ -281,17 +303,24 @@ def structure_profile(lines: DataFrame, samples: int = 3, sample_chars: int = 38
 
 
 def font_profile(lines: DataFrame, min_share: float = 0.01) -> DataFrame:
-    """Share of lines per font size (those above `min_share`) and share of bold lines, for lines
-    that carry `font_size` and `bold`."""
-    totals = lines.groupBy(*FILE).agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("bold")).alias("bold_lines")
-    )
-    sizes = lines.groupBy(*FILE, F.round("font_size", 1).alias("font_size")).agg(
-        F.count("*").alias("size_lines")
-    )
+    """Font sizes per file, for lines that carry `font_size` and `bold`: lines of each size (one
+    decimal) and their share, the rank by that number, the size that most lines have, and the lines
+    and share of bold ones. Blank lines do not count; sizes with up to `min_share` are not shown.
+
+    Lines are counted by size first; the windows hold a file's sizes, not its lines. Of equally
+    frequent sizes the smaller one comes first."""
+    counts = lines.where(~text.is_blank(F.col("text"))).groupBy(
+        *FILE, text.round_exact(F.col("font_size"), 1).alias("font_size")
+    ).agg(F.count("*").alias("size_lines"), F.count_if(F.col("bold")).alias("_bold"))
+    whole = Window.partitionBy(*FILE)
+    common = whole.orderBy(F.desc("size_lines"), "font_size")
     return (
-        sizes.join(totals, FILE)
-        .withColumn("size_share", F.col("size_lines") / F.col("n_lines"))
-        .withColumn("bold_share", F.col("bold_lines") / F.col("n_lines"))
-        .where(F.col("size_share") > min_share)
+        counts.withColumns({
+            "n_lines": F.sum("size_lines").over(whole), "bold_lines": F.sum("_bold").over(whole),
+            "size_rank": F.row_number().over(common), "body_size": F.first("font_size").over(common),
+        })
+        .withColumns({
+            "size_share": F.col("size_lines") / F.col("n_lines"), "bold_share": F.col("bold_lines") / F.col("n_lines"),
+        })
+        .where(F.col("size_share") > min_share).drop("_bold")
     )

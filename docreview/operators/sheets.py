@@ -124,8 +124,8 @@ def perf_sheet(perf_rows: DataFrame) -> DataFrame:
     wall = F.when(
         F.coalesce("wall_clock_sec", F.lit(0.0)) > 0,
         F.concat(
-            F.col("wall_clock_sec").cast("string"), F.lit(" 秒（约 "),
-            F.round(F.col("wall_clock_sec") / 60, 1).cast("string"), F.lit(" 分钟）"),
+            text.float_text(F.col("wall_clock_sec")), F.lit(" 秒（约 "),
+            text.float_text(text.round_exact(F.col("wall_clock_sec") / 60, 1)), F.lit(" 分钟）"),
         ),
     ).otherwise(NOT_COLLECTED)
     rows = [

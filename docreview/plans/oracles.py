@@ -2,7 +2,7 @@
 from the Spark plans: stacks are self-joins, first and best rows are ranked windows."""
 
 from docreview.constants import (
-    ERROR_CITE_RANGE, ERROR_PARSE, ERROR_REASON, ERROR_TIER, FLAG_FALLBACK, FLAG_NOT_FOUND,
+    ERROR_CITE_RANGE, ERROR_ITEM, ERROR_PARSE, ERROR_REASON, ERROR_TIER, FLAG_FALLBACK, FLAG_NOT_FOUND,
     MISS_LABEL_NOT_FOUND, MISS_LABEL_NO_FILE, REASON_NOT_FOUND, REASON_NO_FILE, REASON_UNRATED,
     RETRY_MESSAGE,
 )
@@ -10,6 +10,9 @@ from docreview.constants import (
 PAIR = "project, bidder, item_id"
 _GUID = "'00000000-0000-0000-0000-' || lpad(({})::VARCHAR, 12, '0')"
 
+# A score as a cell shows it.
+_CELL = "coalesce(CASE WHEN score = 0 THEN '0' ELSE regexp_replace(score::VARCHAR, '\\.0$', '') END, '—')"
+
 # ---- shared views --------------------------------------------------------------------------
 
 DOCS = f"""
@@ -497,6 +500,18 @@ FROM split WHERE trim(t) <> ''"""),
     "page_counts": _with(LINES, "SELECT project, bidder, file_no, max(page) AS pages FROM fx_lines GROUP BY ALL"),
     "single_bidder_gate": _with(DOCS, """SELECT project, count(*) AS bidders, array_to_string(list(bidder ORDER BY bidder)[1:3], '、') AS first_names, count(*) < 2 AS ok
 FROM (SELECT DISTINCT project, bidder FROM docs) GROUP BY ALL"""),
+    "font_profile": _with(LINES + """,
+fonts AS (SELECT project, bidder, file_no, CASE WHEN length(text) < 20 THEN 14.0::DOUBLE WHEN length(text) % 3 = 0 THEN 10.6::DOUBLE ELSE 10.5::DOUBLE END AS font_size,
+    line_no % 7 = 0 AS bold FROM fx_lines WHERE regexp_matches(text, '[^\\s]')),
+counts AS (SELECT project, bidder, file_no, font_size, count(*) AS size_lines, count(*) FILTER (WHERE bold) AS b FROM fonts GROUP BY ALL),
+whole AS (SELECT *, (sum(size_lines) OVER f)::BIGINT AS n_lines, (sum(b) OVER f)::BIGINT AS bold_lines,
+    row_number() OVER (PARTITION BY project, bidder, file_no ORDER BY size_lines DESC, font_size) AS size_rank,
+    first_value(font_size) OVER (PARTITION BY project, bidder, file_no ORDER BY size_lines DESC, font_size) AS body_size
+  FROM counts WINDOW f AS (PARTITION BY project, bidder, file_no))""",
+        """SELECT project, bidder, file_no, font_size, size_lines, n_lines, bold_lines, size_rank, body_size,
+  round(size_lines / n_lines::DOUBLE, 6) AS size_share, round(bold_lines / n_lines::DOUBLE, 6) AS bold_share FROM whole WHERE size_lines / n_lines::DOUBLE > 0.01"""),
+    "extract_lines": _with(LINES, """SELECT project, bidder, file_no, (row_number() OVER (PARTITION BY project, bidder, file_no ORDER BY line_no) - 1)::INTEGER AS line_no,
+  page, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM fx_lines WHERE regexp_matches(text, '[^\\s]')"""),
     "structure_profile": _with(NUMBERED + """,
 classed AS (SELECT *, CASE
     WHEN regexp_matches(text, '^第[一二三四五六七八九十百\\d]+[章节篇部分]') THEN '第N章/节'
@@ -591,7 +606,8 @@ FROM (SELECT *, phrase AS p FROM dims WHERE dim_no >= 0)"""),
     "generic_terms": _with(LOCATE, "SELECT project, bidder, term, df FROM freq WHERE df > n * 0.22::DOUBLE"),
     "anchors": _with(LOCATE, "SELECT project, bidder, item_id, dim_no, anchor, anchor_df FROM weighed"),
     "section_scores": _with(LOCATE, "SELECT project, bidder, item_id, dim_no, id, round(score, 6) AS score, array_to_string(hits, '|') AS hits FROM scores"),
-    "rank_sections": _with(LOCATE, "SELECT project, bidder, item_id, dim_no, id, round(score, 6) AS score FROM passing"),
+    "rank_sections": _with(LOCATE, """SELECT project, bidder, item_id, dim_no, id, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY project, bidder, item_id, dim_no ORDER BY score DESC, file_no, seq) AS rank FROM passing"""),
     "best_units": _with(LOCATE, """SELECT project, bidder, item_id, fallback, file, array_to_string(unit, ' > ') AS unit_path, round(score, 6) AS score,
   CASE WHEN NOT fallback THEN candidates END AS candidates FROM unit_best"""),
     "top_units": _with(LOCATE, "SELECT project, bidder, item_id, unit_no, file, array_to_string(unit, ' > ') AS unit_path FROM tops"),
@@ -634,6 +650,9 @@ sums AS (SELECT project, bidder, count(*) AS n, bool_and(evidence_chars <= budge
     bool_and(budget = greatest(1500, least(9000, floor(855 * max_score)))) AS formula FROM packages GROUP BY ALL)""",
         _checks("SELECT * FROM sums", item_count="true", fields="true", item_guid="true", within_budget="within", budget_formula="formula",
                 pick_fields="true", pick_page="true", guid_as_table="true", name_as_table="true", coverage="true")),
+    "coverage_gaps": _with(ATTEMPTS, """SELECT project, bidder, item_id, false AS score_field, true AS renamed_field
+FROM (SELECT DISTINCT project, bidder FROM pkg UNION ALL SELECT DISTINCT project, 'B99' FROM pkg) JOIN items USING (project)
+WHERE (project, bidder, item_id) NOT IN (SELECT (project, bidder, item_id) FROM pkg WHERE item_id <> 'T-04')"""),
     "package_summary": _with(LOCATE, """SELECT project, bidder, count(*) AS packages, count(*) FILTER (WHERE picks > 0 AND NOT fallback) AS direct,
   count(*) FILTER (WHERE fallback) AS fallback, count(*) FILTER (WHERE picks = 0) AS miss, sum(evidence_chars)::BIGINT AS evidence_chars,
   sum(budget)::BIGINT AS budget, count(*) FILTER (WHERE picks = 0) = count(*) AS all_missed, sum(evidence_chars) > sum(budget) AS over_budget
@@ -646,8 +665,10 @@ FROM picks p JOIN packages k USING (project, bidder, item_id) JOIN sections s ON
     "stub_scores": _with(ATTEMPTS, "SELECT project, bidder, item_id, 2.5::DOUBLE AS score, 1 AS in_tokens FROM pkg WHERE NOT empty"),
     "estimate_tokens": "SELECT doc_id, greatest(1, round_even(length(text) / 1.5::DOUBLE, 0))::INTEGER AS tokens FROM documents",
     "usage_check": """SELECT event_id, CASE WHEN event_id % 5 IN (0, 3) OR (event_id % 5 = 2 AND event_id > 0) THEN 'prompt_tokens 不是非负整数' END AS fault FROM events""",
-    "validate_output": _with(ATTEMPTS, """SELECT project, bidder, item_id, sample_no, attempt_no, fault, tier,
-  CASE WHEN failed OR e % 8 = 6 THEN NULL ELSE round(s, 6) END AS score, CASE WHEN failed OR e % 8 = 6 THEN NULL ELSE c::VARCHAR END AS cite FROM checked"""),
+    "validate_output": _with(ATTEMPTS, f"""SELECT project, bidder, item_id, sample_no, attempt_no,
+  CASE WHEN i = 18 THEN printf('{ERROR_ITEM.replace("'", "''")}', item_id) ELSE fault END AS fault, CASE WHEN i <> 18 THEN tier END AS tier,
+  CASE WHEN failed OR e % 8 = 6 THEN NULL ELSE round(s, 6) END AS score, CASE WHEN failed OR e % 8 = 6 THEN NULL ELSE c::VARCHAR END AS cite,
+  CASE WHEN NOT failed AND e % 8 < 6 THEN 'r' || e END AS reason, NOT failed AS answered, in_tokens, out_tokens, latency_ms FROM checked"""),
     "tier_of_score": """WITH v AS (SELECT event_id, round(value % 5, 1) AS s FROM events)
 SELECT event_id, CASE WHEN s >= 3 AND s <= 4 THEN '优' WHEN s >= 2 AND s < 3 THEN '良' WHEN s >= 1 AND s < 2 THEN '一般' END AS tier FROM v""",
     "resolve_attempts": _with(ATTEMPTS, """SELECT project, bidder, item_id, sample_no, valid, attempts, last_error, tier, round(score, 6) AS score, in_tokens, out_tokens, latency_ms FROM samples"""),
@@ -655,6 +676,13 @@ SELECT event_id, CASE WHEN s >= 3 AND s <= 4 THEN '优' WHEN s >= 2 AND s < 3 TH
     "reviews": _with(ATTEMPTS, """SELECT project, bidder, item_id, item_guid, status, tier, round(score, 6) AS score, miss_reason, confidence, attempts, last_error, sample_count, in_tokens FROM reviews"""),
     "retry_round": _with(ATTEMPTS, """SELECT project, bidder, item_id, 'rated' AS status, attempts + CASE WHEN status = 'unrated' THEN 2 ELSE 0 END AS attempts,
   in_tokens * CASE WHEN status = 'unrated' THEN 2 ELSE 1 END AS in_tokens FROM reviews"""),
+    "review_rounds": _with(ATTEMPTS, """SELECT r.project, r.bidder, r.item_id, r.status, r.tier, round(r.score, 6) AS score,
+  r.attempts * CASE WHEN r.status = 'unrated' THEN 2 ELSE 1 END AS attempts, r.last_error,
+  r.in_tokens * CASE WHEN r.status = 'unrated' THEN 2 ELSE 1 END AS in_tokens,
+  r.latency_ms * CASE WHEN r.status = 'unrated' THEN 2 ELSE 1 END AS latency_ms,
+  CASE WHEN r.miss_reason IS NULL THEN m.calls ELSE 0 END * CASE WHEN r.status = 'unrated' THEN 2 ELSE 1 END AS calls,
+  CASE WHEN r.miss_reason IS NULL THEN m.calls ELSE 0 END * CASE WHEN r.status = 'unrated' THEN 2 ELSE 1 END AS requests
+FROM reviews r JOIN medians m USING (project, bidder, item_id)"""),
     "retry_counts": _with(ATTEMPTS, """SELECT project, bidder, item_id, greatest(attempts - coalesce(sample_count, CASE WHEN status = 'rated' THEN 1 ELSE 0 END), 0) AS retries FROM reviews"""),
     "review_totals": _with(ATTEMPTS, """SELECT project, count(*) AS calls, sum(greatest(attempts - coalesce(sample_count, CASE WHEN status = 'rated' THEN 1 ELSE 0 END), 0))::BIGINT AS retries,
   sum(in_tokens)::BIGINT AS in_tokens, sum(out_tokens)::BIGINT AS out_tokens, sum(latency_ms)::BIGINT AS latency_ms FROM reviews GROUP BY ALL"""),
@@ -682,6 +710,11 @@ FROM log LEFT JOIN faults USING (project) GROUP BY project"""),
     "score_matrix": _with(ATTEMPTS, "SELECT project, bidder, item_id, name, max_score, round(score, 6) AS score FROM grid"),
     "wide_matrix": _with(ATTEMPTS, "SELECT project, item_id, " + ", ".join(
         f"round(max(score) FILTER (WHERE bidder = 'B{b:02d}'), 6) AS \"B{b:02d}\"" for b in range(12)) + " FROM grid GROUP BY ALL"),
+    "matrix_rows": _with(ATTEMPTS, f"""SELECT project, item_id, name, max_score, count(*) AS bidders,
+  string_agg(bidder || '=' || {_CELL}, '|' ORDER BY bidder) AS scores FROM grid GROUP BY project, item_id, name, max_score"""),
+    "cell_texts": _with(ATTEMPTS, f"SELECT project, bidder, item_id, {_CELL} AS cell FROM grid"),
+    "details": _with(ATTEMPTS, """SELECT project, bidder, item_id, row_number() OVER (PARTITION BY project, bidder ORDER BY item_id) AS place, item_guid, status, tier,
+  round(score, 6) AS score, miss_reason, reason, attempts, last_error, in_tokens, out_tokens, latency_ms FROM reviews"""),
     "latest_expert": _with(EXPERT, "SELECT project, bidder, item_id, action, expert_score, reviewed_at, pos FROM latest"),
     "expert_totals": _with(TOTALS, "SELECT project, bidder, score, unrated, expert_score, expert_overrides FROM totals"),
     "unrated_list": _with(ATTEMPTS, "SELECT project, bidder, item_id, attempts, last_error FROM reviews WHERE status = 'unrated'"),
@@ -703,15 +736,18 @@ groups AS (SELECT project, item_id, min(CASE WHEN score = 0 THEN '0分' ELSE tie
 FROM reviews JOIN n_items USING (project) JOIN n_bidders USING (project) GROUP BY project"""),
     "cite_sources": _with(ATTEMPTS, """SELECT project, bidder, item_id, '[' || cite || '] file' || i || '.pdf · ' || CASE WHEN i % 4 <> 0 THEN 'p.' || (cite + 1) ELSE '页码未采集' END
   || ' · 第一章 > 节' || cite AS sources FROM reviews WHERE cite IS NOT NULL"""),
-    "evidence_sheet": _with(ATTEMPTS, f"""SELECT project, bidder, item_id, '项' || i AS item_name, coalesce(tier, '—') AS tier,
+    "evidence_sheet": _with(ATTEMPTS, f"""SELECT project, bidder, item_id, '项' || i AS item_name, 4.0::DOUBLE AS max_score,
+  CASE WHEN status = 'rated' THEN {_CELL} ELSE '—' END AS score, coalesce(tier, '—') AS tier,
   CASE WHEN status = 'rated' THEN reason ELSE '未评定：' || last_error END AS reason,
   CASE WHEN cite IS NULL THEN '' ELSE '[' || cite || '] file' || i || '.pdf · ' || CASE WHEN i % 4 <> 0 THEN 'p.' || (cite + 1) ELSE '页码未采集' END || ' · 第一章 > 节' || cite END AS sources,
   CASE miss_reason WHEN 'no_file' THEN '{MISS_LABEL_NO_FILE}' WHEN 'not_found' THEN '{MISS_LABEL_NOT_FOUND}' ELSE '' END AS miss_label, confidence, attempts FROM reviews"""),
     "summary_sheet": _with(ATTEMPTS + """,
 sums AS (SELECT project, bidder, round(coalesce(sum(round(score, 1)), 0), 1) AS score, count(*) FILTER (WHERE score IS NULL) AS unrated, sum(max_score) AS max_score FROM grid GROUP BY ALL)""",
-        """SELECT project, bidder, 'B' AS short_name, 1 AS part, '合计（未评定项不计入）' AS label, max_score,
+        """SELECT project, bidder, 'B' AS short_name, 1 AS part, '' AS item_id, '合计（未评定项不计入）' AS label, max_score,
   CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR ELSE score::VARCHAR END AS value FROM sums
-UNION ALL SELECT project, bidder, 'B', 2, '其中未评定项数', NULL, unrated::VARCHAR FROM sums"""),
+UNION ALL SELECT project, bidder, 'B', 2, '', '其中未评定项数', NULL, unrated::VARCHAR FROM sums
+UNION ALL SELECT project, bidder, 'B', 0, item_id, name, max_score,
+  coalesce(regexp_replace(round(score, 1)::VARCHAR, '\\.0$', ''), '—') FROM grid"""),
     "audit_sheet": _with(ATTEMPTS + """,
 groups AS (SELECT project, item_id, min(coalesce(tier, '未命中')) AS g, count(DISTINCT coalesce(tier, '未命中')) AS kinds, count(*) AS n FROM reviews WHERE status = 'rated' GROUP BY ALL)""",
         """SELECT project, item_id, '优 ' || CASE WHEN g = '优' THEN n ELSE 0 END || '　良 ' || CASE WHEN g = '良' THEN n ELSE 0 END || '　一般 ' || CASE WHEN g = '一般' THEN n ELSE 0 END
@@ -720,9 +756,12 @@ groups AS (SELECT project, item_id, min(coalesce(tier, '未命中')) AS g, count
 FROM groups JOIN n_bidders USING (project) WHERE kinds = 1 AND n = n_bidders"""),
     "perf_sheet": _with(ATTEMPTS + """,
 p AS (SELECT project, any_value(n_bidders) * any_value(n_items) AS calls, (sum(attempts) - count(*) FILTER (WHERE attempts >= 1))::BIGINT AS retries,
-  sum(in_tokens)::BIGINT AS a, sum(out_tokens)::BIGINT AS b FROM reviews JOIN n_items USING (project) JOIN n_bidders USING (project) GROUP BY project)""",
-        """SELECT project, unnest([1, 2, 3, 4, 5]) AS line, unnest(['并发路数', '评审项次数', '重试次数', '输入 tokens', '输出 tokens']) AS label,
-  unnest(['未采集', calls::VARCHAR, retries::VARCHAR, a::VARCHAR, b::VARCHAR]) AS value FROM p"""),
+  sum(in_tokens)::BIGINT AS a, sum(out_tokens)::BIGINT AS b, sum(latency_ms) / 1000::DOUBLE AS seconds
+  FROM reviews JOIN n_items USING (project) JOIN n_bidders USING (project) GROUP BY project)""",
+        """SELECT project, unnest([0, 1, 2, 3, 4, 5]) AS line, unnest(['总耗时', '并发路数', '评审项次数', '重试次数', '输入 tokens', '输出 tokens']) AS label,
+  unnest(['未采集', '未采集', calls::VARCHAR, retries::VARCHAR, a::VARCHAR, b::VARCHAR]) AS value,
+  unnest(['未采集（调度器未落盘墙钟耗时；逐项 latency 之和为 ' || printf('%.1f', seconds) || ' 秒，并发下实际墙钟低于该值）', '逐项评审的并发数',
+    '覆盖度校验位 = 投标人数 × 评分项数', '调用失败后的额外重试，不是失败项数', '**本地估算**：端点不返回 token 计数，按中文约 1.5 字/token 估算', '同上，为估算值']) AS note FROM p"""),
     "valid_citations": _with(ATTEMPTS, "SELECT project, bidder, item_id, 0 AS pos, cite AS idx, i || '#' || (cite + 1) AS section_id FROM reviews WHERE cite IS NOT NULL"),
     "normalised_results": _with(ATTEMPTS, """SELECT project, bidder, item_id, CASE WHEN status = 'rated' AND attempts <> 4 THEN 'rated' ELSE 'unrated' END AS status,
   CASE WHEN status = 'rated' AND attempts <> 4 THEN round(score, 6) END AS score,
@@ -787,6 +826,39 @@ steps AS (SELECT *, greatest(attempts, 1) AS n, unnest(range(1, greatest(attempt
     "event_gaps": _with(RUN_EVENTS + """,
 g AS (SELECT project, seq, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY project ORDER BY seq) AS gap FROM run_events)""",
         "SELECT project, seq, coalesce(gap >= 600000000, false) AS stalled, round(gap / 1000000, 6) AS gap_sec FROM g"),
+    "stall_stream": _with(RUN_EVENTS + """,
+mark AS (SELECT epoch_us(max(ts)) // 1000 - 7200000 AS w FROM run_events),
+passed AS (SELECT project, seq, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER f AS nxt, row_number() OVER f AS pending
+  FROM run_events WINDOW f AS (PARTITION BY project ORDER BY seq))""",
+        """SELECT project, seq, us AS since_us, pending FROM passed, mark
+WHERE us // 1000 < w AND (nxt IS NULL OR nxt - us >= 600000000) AND (coalesce(nxt // 1000 < w, false) OR (us + 600000000) // 1000 < w)"""),
+    "watch_results": _with(ATTEMPTS, "SELECT project, bidder, item_id, status, tier, round(score, 6) AS score, attempts, last_error FROM reviews"),
+    "live_matrix": _with(TOTALS, """SELECT project, bidder, item_id, coalesce(regexp_replace(round(score, 1)::VARCHAR, '\\.0$', ''), '—') AS value FROM grid
+UNION ALL SELECT project, bidder, NULL, regexp_replace(score::VARCHAR, '\\.0$', '') FROM totals"""),
+    "stored_results": _with(ATTEMPTS, """SELECT project, bidder, item_id, mode, CASE WHEN status = 'unrated' OR attempts > 8 THEN 2 ELSE 1 END AS run_no, 'rated' AS status,
+  CASE WHEN status = 'unrated' OR attempts > 8 THEN 2.0::DOUBLE ELSE round(score, 6) END AS score FROM reviews, (SELECT unnest(['versions', 'compacted']) AS mode)"""),
+    "section_files": _with(LINE_SECTIONS, """SELECT project, bidder, id, file, guid AS item_guid, array_to_string(path, ' > ') AS path, level, page, text, char_len::INTEGER AS char_len,
+  file_no, seq::INTEGER AS seq FROM sections"""),
+    "package_files": _with(ATTEMPTS, """SELECT project, bidder, item_id, item_guid, name, CASE WHEN empty THEN 0 ELSE 3 END AS candidates, CASE WHEN empty THEN 0 ELSE 1 END AS units,
+  fallback, CASE WHEN empty THEN 0 ELSE 300 END AS evidence_chars, 3420 AS budget, pool_sections,
+  CASE WHEN empty THEN '' ELSE array_to_string(list_transform([1, 2, 3], lambda n: i || '#' || n || '@' || CASE WHEN i % 4 <> 0 THEN n::VARCHAR ELSE '-' END), '|') END AS picks FROM pkg"""),
+    "review_files": _with(TOTALS, "SELECT project, bidder, score, unrated, expert_score, expert_overrides FROM totals"),
+    "project_manifest": _with(LINE_SECTIONS, "SELECT project, bidder, bidder AS name, count(*) AS sections, sum(char_len)::BIGINT AS chars FROM sections GROUP BY ALL"),
+    "report_files": _with(ATTEMPTS + """,
+groups AS (SELECT project, item_id, count(DISTINCT coalesce(tier, '未命中')) AS kinds, count(*) AS n FROM reviews WHERE status = 'rated' GROUP BY ALL),
+sizes AS (
+  SELECT project, count(DISTINCT bidder) AS b, count(*) AS r, count(*) FILTER (WHERE status = 'unrated') AS u,
+    count(*) FILTER (WHERE status <> 'unrated' AND confidence < 0.85::DOUBLE) AS f FROM reviews GROUP BY ALL),
+audits AS (SELECT project, count(*) AS a FROM groups JOIN n_bidders USING (project) WHERE kinds = 1 AND n = n_bidders GROUP BY ALL),
+counted AS (
+  SELECT project, unnest([
+    {'k': 'blocks', 'm': 'bidders', 'n': b}, {'k': 'blocks', 'm': 'matrix', 'n': b * n_items}, {'k': 'blocks', 'm': 'totals', 'n': b},
+    {'k': 'blocks', 'm': 'ranking', 'n': b}, {'k': 'blocks', 'm': 'details', 'n': r}, {'k': 'blocks', 'm': 'unrated', 'n': u},
+    {'k': 'blocks', 'm': 'review_flags', 'n': f}, {'k': 'blocks', 'm': 'audit', 'n': coalesce(a, 0)}, {'k': 'blocks', 'm': 'perf', 'n': 1},
+    {'k': 'sheets', 'm': 'evidence', 'n': r}, {'k': 'sheets', 'm': 'summary', 'n': b * (n_items + 2)}, {'k': 'sheets', 'm': 'unrated', 'n': u},
+    {'k': 'sheets', 'm': 'flags', 'n': f}, {'k': 'sheets', 'm': 'audit', 'n': coalesce(a, 0)}, {'k': 'sheets', 'm': 'perf', 'n': 6}]) AS e
+  FROM sizes JOIN n_items USING (project) LEFT JOIN audits USING (project))""",
+        "SELECT e.k AS kind, e.m AS name, project, e.n AS n FROM counted WHERE e.n > 0"),
     "active_time": _with(RUN_EVENTS + """,
 c AS (SELECT project, seq, epoch_us(ts) AS t, paused FROM run_events WHERE type = 'control'),
 ends AS (SELECT project, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM run_events GROUP BY ALL),

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docreview.constants import BIDDER, FILE, ITEM, PAIR, SECTION
-from docreview.functions import text
+from docreview import schemas
+from docreview.functions import scan, text
 from docreview.operators import (
     binding, criteria, evidence as ev, merge, quality, report, review, runs, sections as sec, sheets,
 )
 from docreview.plans import fixtures as fx
-from docreview.plans.pipeline import review_pipeline
+from docreview.plans.pipeline import report_blocks, report_sheets, review_pipeline
 from docreview.session import stage
-from docreview.sources import readers
+from docreview.sources import readers, writers
+from docreview.sources.store import ResultStore
 from docreview.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +125,23 @@ def single_bidder_gate(spark, d):
     return sec.check_single_bidder(fx.lines(spark, d))
 
 
+@query
+def font_profile(spark, d):
+    return sec.font_profile(fx.styled_lines(spark, d)).select(
+        *FILE, "font_size", "size_lines", "n_lines", "bold_lines", "size_rank", "body_size", *_six("size_share", "bold_share")
+    )
+
+
+@query
+def extract_lines(spark, d):
+    """An extractor over the bytes of every file: a page ends at a line that says so."""
+    def pages(data):
+        return [(1 + n // 40, line) for n, line in enumerate(data.decode().split("\n"))]
+
+    files = fx.documents(spark, d).withColumn("content", F.encode("text", "UTF-8"))
+    return readers.extract_lines(files, pages).select(*FILE, "line_no", "page", "text")
+
+
 @query
 def structure_profile(spark, d):
     return sec.structure_profile(fx.numbered_lines(spark, d)).select(
@@ -324,7 +343,7 @@ def _dims(spark, d):
 
 def _frequencies(spark, d):
     rows, vocab = fx.sections(spark, d), ev.vocabulary(_dims(spark, d))
-    return ev.doc_freq(ev.section_matches(rows, vocab), vocab, ev.corpus_size(rows))
+    return ev.doc_freq(stage(ev.corpus_counts(rows, vocab)), vocab)
 
 
 def _scores(spark, d):
@@ -378,7 +397,7 @@ def section_scores(spark, d):
 
 @query
 def rank_sections(spark, d):
-    return ev.rank_sections(_scores(spark, d), fx.MIN_SCORE).select(*PAIR, "dim_no", "id", *_six("score"))
+    return ev.rank_sections(_scores(spark, d), fx.MIN_SCORE).select(*PAIR, "dim_no", "id", *_six("score"), "rank")
 
 
 @query
@@ -473,6 +492,17 @@ def package_checks(spark, d):
     return quality.check_packages(_packages(spark, d), fx.items(spark, d))
 
 
+@query
+def coverage_gaps(spark, d):
+    """Pairs without a package, where packages of one item are left out and a bidder has none; and
+    whether the picks carry a field called score."""
+    packages = fx.review_packages(spark, d).where("item_id <> 'T-04'")
+    named = quality.has_score_field(ev.explode_picks(packages))
+    wrong = quality.has_score_field(ev.explode_picks(packages).withColumnRenamed("match_score", "score"))
+    gaps = quality.coverage_gaps(packages, fx.review_items(spark, d), fx.review_bidders(spark, d))
+    return gaps.select(*PAIR, F.lit(named).alias("score_field"), F.lit(wrong).alias("renamed_field"))
+
+
 @query
 def package_summary(spark, d):
     return quality.package_summary(_packages(spark, d))
@@ -516,7 +546,7 @@ def stub_scores(spark, d):
     rows = fx.review_packages(spark, d).where(F.size("picked") > 0).select(
         *PAIR, F.size("picked").alias("n_evidence"), F.lit("x").alias("request")
     )
-    scored = review.stub_scorer(rows, fx.review_items(spark, d))
+    scored = fx.stub_scorer(rows, fx.review_items(spark, d))
     return scored.select(*PAIR, F.get_json_object("content", "$.score").cast("double").alias("score"), "in_tokens")
 
 
@@ -538,7 +568,13 @@ def usage_check(spark, d):
 
 @query
 def validate_output(spark, d):
-    return _checked(spark, d).select(*PAIR, "sample_no", "attempt_no", "fault", "tier", *_six("score"), _joined("cite"))
+    """Answers about item 18 are about an item that the scoring table does not have."""
+    counts = fx.review_packages(spark, d).select(*PAIR, F.size("picked").alias("n_evidence"))
+    known = fx.review_items(spark, d).where("item_no <> 18")
+    return review.validate_output(fx.attempts(spark, d), known, counts).select(
+        *PAIR, "sample_no", "attempt_no", "fault", "tier", *_six("score"), _joined("cite"), "reason", "answered",
+        "in_tokens", "out_tokens", "latency_ms",
+    )
 
 
 @query
@@ -583,6 +619,25 @@ def retry_round(spark, d):
     return review.retry_round(both).select(*PAIR, "status", "attempts", F.col("perf.in_tokens").alias("in_tokens"))
 
 
+@query
+def review_rounds(spark, d):
+    """The stored answers as a scorer: it fails first where they do, and again in the second round."""
+    stored, packages = fx.attempts(spark, d), fx.review_packages(spark, d)
+    step = [*PAIR, "sample_no", "attempt_no"]
+    wanted = stored.select(*PAIR, "sample_no").distinct()
+    picks = ev.explode_picks(packages).withColumn("text", F.col("file"))
+    bodies = review.request_bodies(picks, fx.review_items(spark, d), "summary", ["rule"]).join(wanted, PAIR)
+    results, log = review.review_rounds(
+        bodies, packages, fx.review_items(spark, d), lambda asked, _: stored.join(asked.select(*step), step)
+    )
+    calls = log.groupBy(*PAIR).agg(F.count("*").alias("calls"), F.countDistinct("sample_no", "attempt_no", "round_no").alias("requests"))
+    return results.join(calls, PAIR, "left").select(
+        *PAIR, "status", "tier", *_six("score"), "attempts", "last_error", F.col("perf.in_tokens").alias("in_tokens"),
+        F.col("perf.latency_ms").alias("latency_ms"), F.coalesce("calls", F.lit(0)).alias("calls"),
+        F.coalesce("requests", F.lit(0)).alias("requests"),
+    )
+
+
 @query
 def retry_counts(spark, d):
     retries = review.count_retries(F.col("attempts"), F.col("sampling.n"), F.col("status"))
@@ -683,9 +738,6 @@ def _completed(spark, d):
     return fx.reviews(spark, d).where("attempts > 3").select(*PAIR)
 
 
-_TWELVE = [f"B{b:02d}" for b in range(12)]
-
-
 @query
 def ranked_totals(spark, d):
     return report.ranking(report.totals(*_report(spark, d)))
@@ -698,8 +750,32 @@ def score_matrix(spark, d):
 
 @query
 def wide_matrix(spark, d):
-    wide = report.wide_matrix(*_report(spark, d), _TWELVE)
-    return wide.select(*ITEM, *_six(*_TWELVE))
+    wide = report.wide_matrix(*_report(spark, d))
+    return wide.select(*ITEM, *_six(*[c for c in wide.columns if c not in (*ITEM, "name", "max_score")]))
+
+
+@query
+def matrix_rows(spark, d):
+    cells = F.transform("scores", lambda c: F.concat(c["bidder"], F.lit("="), report.cell_text(c["score"])))
+    return report.matrix_rows(*_report(spark, d)).select(
+        *ITEM, "name", "max_score", F.size("scores").alias("bidders"), F.array_join(cells, "|").alias("scores")
+    )
+
+
+@query
+def cell_texts(spark, d):
+    return report.score_matrix(*_report(spark, d)).select(*PAIR, report.cell_text(F.col("score")).alias("cell"))
+
+
+@query
+def details(spark, d):
+    """All results in order; the order is shown as the place in a bidder's list."""
+    rows = report.details(fx.reviews(spark, d))
+    return scan.rank_rows(rows, BIDDER, ["item_id"], "place").select(
+        *PAIR, "place", "item_guid", "status", "tier", *_six("score"), "miss_reason", "reason", "attempts", "last_error",
+        F.col("perf.in_tokens").alias("in_tokens"), F.col("perf.out_tokens").alias("out_tokens"),
+        F.col("perf.latency_ms").alias("latency_ms"),
+    )
 
 
 @query
@@ -752,7 +828,7 @@ def cite_sources(spark, d):
 def evidence_sheet(spark, d):
     results, items = _report(spark, d)
     return sheets.evidence_sheet(results, items, fx.review_packages(spark, d)).select(
-        *PAIR, "item_name", "tier", "reason", "sources", "miss_label", "confidence", "attempts"
+        *PAIR, "item_name", "max_score", "score", "tier", "reason", "sources", "miss_label", "confidence", "attempts"
     )
 
 
@@ -760,9 +836,9 @@ def evidence_sheet(spark, d):
 def summary_sheet(spark, d):
     results, items = _report(spark, d)
     results = results.withColumn("score", F.round("score", 1))
-    return sheets.summary_sheet(report.score_matrix(results, items), report.totals(results, items)).where(
-        "part > 0"
-    ).select("project", "bidder", "short_name", "part", "label", "max_score", "value")
+    return sheets.summary_sheet(report.score_matrix(results, items), report.totals(results, items)).select(
+        "project", "bidder", "short_name", "part", "item_id", "label", "max_score", "value"
+    )
 
 
 @query
@@ -772,7 +848,7 @@ def audit_sheet(spark, d):
 
 @query
 def perf_sheet(spark, d):
-    return sheets.perf_sheet(report.perf(*_report(spark, d))).where("line > 0").select("project", "line", "label", "value")
+    return sheets.perf_sheet(report.perf(*_report(spark, d))).select("project", "line", "label", "value", "note")
 
 
 @query
@@ -936,12 +1012,169 @@ def run_log(spark, d):
     return live.run_log(fx.run_events(spark, d)).select("seq", "type", "kind", "result")
 
 
+@query
+def stall_stream(spark, d):
+    """The event log as a stream in two runs of one query; some events of the first half come with
+    the second. The second run goes on from the checkpoint of the first."""
+    events = fx.run_events(spark, d).select("project", "seq", F.col("ts").cast("timestamp").alias("ts"))
+    folder = fx.feed(spark)
+    late = (F.col("seq") % 2 == 0) & (F.col("ts") >= F.expr("half - INTERVAL 1 HOUR"))
+    half = events.agg(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("long")).alias("half"))
+    second = F.coalesce((F.col("ts") >= F.col("half")) | late, F.lit(False))
+    tagged = stage(events.join(F.broadcast(half)).withColumn("second", second).drop("half"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    for part in (False, True):
+        tagged.where(F.col("second") == part).drop("second").write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        live.stall_stream(rows, 600, "2 hours").writeStream.option("checkpointLocation", f"{folder}/check").trigger(
+            availableNow=True
+        ).outputMode("append").format("parquet").start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("project", "seq", F.unix_micros("since").alias("since_us"), "pending")
+
+
+def _watched(spark, d):
+    """Result files that come in two portions, watched by two runs of one query. The second portion
+    repeats the pairs of the first with other figures."""
+    results, folder = stage(fx.reviews(spark, d).withColumn("ts", F.lit(None).cast("timestamp"))), fx.feed(spark)
+    first = F.pmod(F.xxhash64(*PAIR), F.lit(2)) == 0
+    again = results.where(first).withColumn("attempts", F.col("attempts") + 100)
+    for rows in (results.where(first), results.where(~first).unionByName(again)):
+        rows.write.mode("append").json(f"{folder}/in")
+        live.store_results(live.watch_results(spark, f"{folder}/in"), f"{folder}/store", f"{folder}/check").awaitTermination()
+    return ResultStore(spark, f"{folder}/store").read()
+
+
+@query
+def watch_results(spark, d):
+    return _watched(spark, d).select(*PAIR, "status", "tier", *_six("score"), "attempts", "last_error")
+
+
+@query
+def live_matrix(spark, d):
+    """Matrix cells and totals over what a stream has stored."""
+    blocks = live.live_matrix(stage(_watched(spark, d)), fx.review_items(spark, d))
+    none = F.lit(None).cast("string")
+    return blocks["matrix"].select(*PAIR, report.cell_text(F.round("score", 1)).alias("value")).unionByName(
+        blocks["totals"].select(*BIDDER, none.alias("item_id"), report.cell_text(F.col("score")).alias("value"))
+    )
+
+
+@query
+def stored_results(spark, d):
+    """A store of two runs. A run is killed before its commit and comes again, one is replayed
+    after it; then the store is compacted."""
+    first, second = _split_runs(spark, d)
+    first, second = stage(first.drop("run_no")), stage(second.drop("run_no"))
+    store = ResultStore(spark, f"{fx.feed(spark)}/store")
+    store.write(first, 1)
+    first.withColumn("score", F.lit(99.0)).write.parquet(f"{store.path}/version=2")
+    store.write(second, 2)
+    store.write(first.withColumn("score", F.lit(98.0)), 1)
+    before = stage(store.read())
+    store.compact()
+    store.write(second.withColumn("score", F.lit(97.0)), 2)
+    both = before.withColumn("mode", F.lit("versions")).unionByName(store.read().withColumn("mode", F.lit("compacted")))
+    return both.select(*PAIR, "mode", "run_no", "status", *_six("score"))
+
+
+# ---- hand-over files ----------------------------------------------------------------------------
+
+
+@query
+def section_files(spark, d):
+    """The section index written, and section files (arrays and wrapped ones) read back from it."""
+    folder = fx.feed(spark)
+    writers.write_sections(fx.sections(spark, d), f"{folder}/index")
+    index = spark.read.parquet(f"{folder}/index").withColumn("part", F.floor(F.col("file_no") / 64))
+    row = F.struct(*schemas.SECTION_FIELDS, "bidder")
+    body = F.collect_list(row)
+    files = index.groupBy("project", "bidder", "part").agg(
+        F.when(F.first("part") % 2 == 0, F.to_json(body)).otherwise(F.to_json(F.struct(body.alias("sections")))).alias("value")
+    )
+    whole = None
+    for project in fx.write_documents(files, f"{folder}/files"):
+        rows = readers.read_sections(spark, f"{folder}/files/project={project}", project, glob="*.txt")
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole.select(
+        *SECTION, "file", "item_guid", _joined("path", " > "), "level", "page", "text", "char_len", "file_no", "seq"
+    )
+
+
+@query
+def package_files(spark, d):
+    """Evidence packages written as wrapped files and read back, with their manifest."""
+    packages, folder = fx.review_packages(spark, d), fx.feed(spark)
+    files = packages.groupBy("project", F.col("bidder").alias("part")).agg(
+        F.to_json(F.struct(F.collect_list(F.struct(*[c for c in packages.columns if c != "project"])).alias("evidence_packages"))).alias("value")
+    )
+    whole = None
+    for project in fx.write_documents(files, folder):
+        rows = readers.read_packages(spark, f"{folder}/project={project}", project, glob="*.txt")
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole.select(
+        *PAIR, "item_guid", "name", "candidates", "units", "fallback", "evidence_chars", "budget", "pool_sections",
+        F.array_join(F.transform("picked", lambda p: F.concat(p["section_id"], F.lit("@"), F.coalesce(p["page"].cast("string"), F.lit("-")))), "|").alias("picks"),
+    )
+
+
+@query
+def review_files(spark, d):
+    """Results written as collected files and read back; expert records from arrays; the scoring
+    table; each with what the report makes of them."""
+    folder = fx.feed(spark)
+    results, expert, items = fx.reviews(spark, d), fx.expert(spark, d), fx.review_items(spark, d)
+    body = lambda df: F.struct(*[c for c in df.columns if c != "project"])
+    fx.write_documents(results.groupBy("project").agg(F.to_json(F.struct(F.collect_list(body(results)).alias("review_results"))).alias("value")), f"{folder}/r")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", body(expert).alias("r")))), lambda x: x["r"])
+    fx.write_documents(expert.groupBy("project").agg(F.to_json(in_order).alias("value")), f"{folder}/e")
+    table = F.struct("project", F.collect_list(F.struct(F.col("item_id").alias("id"), F.upper("guid").alias("guid"), "name", "max_score", "criteria", "tiers")).alias("items"))
+    names = fx.write_documents(items.groupBy("project").agg(F.to_json(table).alias("value")), f"{folder}/t")
+    whole = None
+    for project in names:
+        own = readers.read_review_file(spark, f"{folder}/r/project={project}", project)
+        records = readers.read_expert_reviews(spark, f"{folder}/e/project={project}", project)
+        read = readers.read_scoring_table(spark, f"{folder}/t/project={project}").drop("item_no")
+        rows = report.totals(own, read, records)
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
+@query
+def project_manifest(spark, d):
+    """The manifest as first written; a second one does not replace it."""
+    rows, path = fx.sections(spark, d), f"{fx.feed(spark)}/manifest"
+    writers.write_manifest_if_absent(rows, path)
+    writers.write_manifest_if_absent(rows.unionByName(rows), path)
+    return spark.read.parquet(path).select(*BIDDER, "name", "sections", "chars")
+
+
+@query
+def report_files(spark, d):
+    """Rows of every report block and sheet that was written and read back."""
+    folder = fx.feed(spark)
+    results, items = stage(fx.reviews(spark, d)), fx.review_items(spark, d)
+    blocks = report_blocks(results, items)
+    tables = report_sheets(results, items, fx.review_packages(spark, d))
+    writers.write_report_blocks(blocks, f"{folder}/blocks")
+    writers.write_sheets(tables, f"{folder}/sheets")
+    out = None
+    for kind, names in (("blocks", blocks), ("sheets", tables)):
+        for name in names:
+            at = f"{folder}/{kind}/{name}"
+            read = spark.read.parquet(at) if kind == "blocks" else spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(at)
+            rows = read.groupBy("project").agg(F.count("*").alias("n")).select(
+                F.lit(kind).alias("kind"), F.lit(name).alias("name"), "project", "n"
+            )
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---- the whole way --------------------------------------------------------------------------------
 
 
 @query
 def pipeline_ranking(spark, d):
     tables = review_pipeline(
-        fx.numbered_lines(spark, d), fx.items(spark, d), staged=True, **_locate_options()
+        fx.numbered_lines(spark, d), fx.items(spark, d), fx.stub_scorer, **_locate_options()
     )
     return report.ranking(tables["totals"])

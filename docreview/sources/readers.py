@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docreview import schemas
 from docreview.constants import FILE
 from docreview.functions import scan, text
+from docreview.session import stage
 
 # ---- fixed values -----------------------------------------------------------------------
 TENDER_MARK = "招标文件"
@@ -21,29 +22,35 @@ _HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')
 # ---- files ------------------------------------------------------------------------------
 
 
+#: Files' names and keys of so many bytes at most are broadcast to the contents.
+BROADCAST_BYTES = 64 << 20
+
+
+def _binary(spark: SparkSession, roots: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+
+
 def list_files(spark: SparkSession, root: str, project: str) -> DataFrame:
-    """Files below <root>/<bidder>/…: (project, bidder, rel, name, path, size). Contents are not
-    read unless a later step selects them."""
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    )
+    """Files below <root>/<bidder>/…: (project, bidder, rel, name, path, size, root). Contents are
+    not read here; `extract_lines` reads them where they lie."""
     base = root.rstrip("/") + "/"
     rel = F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), base, -1)
-    return found.select(
+    return _binary(spark, [root]).select(
         F.lit(project).alias("project"), rel.alias("_rel"), "path", F.col("length").alias("size"),
-        "content",
     ).select(
         "project",
         F.split_part("_rel", F.lit("/"), F.lit(1)).alias("bidder"),
         F.regexp_replace("_rel", r"^[^/]*/", "").alias("rel"),
         F.element_at(F.split("_rel", "/"), -1).alias("name"),
-        "path", "size", "content",
+        "path", "size", F.lit(root).alias("root"),
     )
 
 
 def discover_files(listing: DataFrame) -> DataFrame:
     """The files of every bidder that are to be read, numbered from 1 in path order. PDFs, without
-    tender files and lock files; only a bidder without any PDF gets its word-processor files."""
+    tender files and lock files; only a bidder without any PDF gets its word-processor files.
+
+    Only paths and names move; a bidder with very many files is in many tasks."""
     lock = F.startswith("name", F.lit(_LOCK_PREFIX))
     is_pdf = F.endswith("name", F.lit(".pdf")) & ~F.contains("name", F.lit(TENDER_MARK)) & ~lock
     parts = F.split("rel", "/")
@@ -51,10 +58,9 @@ def discover_files(listing: DataFrame) -> DataFrame:
     tagged = listing.withColumns({"_pdf": is_pdf, "_doc": is_doc}).where("_pdf or _doc")
     has_pdf = tagged.groupBy("project", "bidder").agg(F.max("_pdf").alias("_has_pdf"))
     chosen = tagged.join(has_pdf, ["project", "bidder"]).where("_pdf = _has_pdf")
-    # Paths sort by their parts; the first characters of the first part grow with that order.
-    ordered = chosen.withColumns({"_parts": parts, "_head": F.substring(parts[0], 1, 3)})
-    numbered = scan.number_rows(ordered, ["project", "bidder"], "_head", ["_parts"], "file_no")
-    return numbered.drop("_pdf", "_doc", "_has_pdf", "_parts", "_head").withColumnRenamed("name", "file")
+    ordered = chosen.drop("_pdf", "_doc", "_has_pdf").withColumn("_parts", parts)
+    numbered = scan.rank_rows(ordered, ["project", "bidder"], ["_parts"], "file_no")
+    return numbered.drop("_parts").withColumnRenamed("name", "file")
 
 
 def discover_bidders(listing: DataFrame) -> DataFrame:
@@ -70,23 +76,43 @@ def discover_bidders(listing: DataFrame) -> DataFrame:
     )
 
 
+def _narrow(files: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Contents by path, names and keys by path, and whether the latter are small enough to send."""
+    names = stage(files.select(*FILE, "file", "path", "root"))
+    roots = [r.root for r in names.select("root").distinct().collect()]
+    size = names.agg(F.coalesce(F.sum(F.octet_length("path") + F.octet_length("file") + 100), F.lit(0))).first()[0]
+    names = names.drop("root")
+    contents = _binary(files.sparkSession, roots) if roots else files.sparkSession.createDataFrame([], "path string, content binary")
+    return contents.select("path", "content"), names, size <= BROADCAST_BYTES
+
+
 def extract_lines(files: DataFrame, extractor: Callable[[bytes], list[tuple[int, str]]]) -> DataFrame:
-    """Run a user's extractor (bytes -> [(page, text), …]) over discovered files with `content`.
-    Lines are stripped, blank ones dropped and the rest numbered from 0."""
+    """Run a user's extractor (bytes -> [(page, text), …]) over discovered files.
+    Lines are stripped, blank ones dropped and the rest numbered from 0.
+
+    Files that come with a column `content` are taken as they are. Else contents are read from the
+    files' roots and go through the extractor in the task that reads them: names meet them by a
+    broadcast, or, where there are too many, meet the lines by their path. No content is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                kept = [(p, t.strip()) for p, t in extractor(row.content) if t.strip()]
+            keys = [c for c in batch.columns if c != "content"]
+            for row in batch.to_dict("records"):
+                kept = [(p, t.strip()) for p, t in extractor(row["content"]) if t.strip()]
                 yield pd.DataFrame(
                     {
-                        "project": row.project, "bidder": row.bidder, "file_no": row.file_no,
-                        "file": row.file, "line_no": range(len(kept)),
+                        **{k: row[k] for k in keys}, "line_no": range(len(kept)),
                         "page": [p for p, _ in kept], "text": [t for _, t in kept],
                     }
                 )
 
-    return files.select(*FILE, "file", "content").mapInPandas(run, schemas.LINES)
+    if "content" in files.columns:
+        return files.select(*FILE, "file", "content").mapInPandas(run, schemas.LINES)
+    contents, names, small = _narrow(files)
+    if small:
+        return contents.join(F.broadcast(names), "path").select(*FILE, "file", "content").mapInPandas(run, schemas.LINES)
+    lines = contents.mapInPandas(run, "path string, line_no int, page int, text string")
+    return lines.join(names, "path").select(*FILE, "file", "line_no", "page", "text")
 
 
 def text_lines(documents: DataFrame) -> DataFrame:

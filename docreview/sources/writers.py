@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreview.constants import BIDDER, PAIR
+from docreview.constants import BIDDER
+from docreview.sources.store import ResultStore
 
 
 def write_sections(section_rows: DataFrame, path: str) -> None:
@@ -17,16 +18,13 @@ def write_sections(section_rows: DataFrame, path: str) -> None:
 
 
 def write_results(results: DataFrame, path: str, run_no: int) -> None:
-    """Append one run's results. Readers take the newest row per pair (`runs.merge_runs`), so a
-    result is durable as soon as its file is committed and nothing is rewritten."""
-    results.withColumn("run_no", F.lit(run_no)).write.mode("append").partitionBy(*BIDDER).parquet(path)
+    """One run's results into the store at `path`; see `sources.store`."""
+    ResultStore(results.sparkSession, path).write(results, run_no)
 
 
 def upsert_results(batch: DataFrame, batch_id: int, path: str) -> None:
-    """`foreachBatch` body: one folder per batch, overwritten when the batch is replayed, so a
-    restart writes nothing twice."""
-    newest = batch.dropDuplicates(PAIR).withColumn("run_no", F.lit(batch_id))
-    newest.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+    """`foreachBatch` body: one version per batch, written anew when the batch is replayed."""
+    ResultStore(batch.sparkSession, path).write(batch, batch_id)
 
 
 def project_manifest(section_rows: DataFrame) -> DataFrame:

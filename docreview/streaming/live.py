@@ -1,11 +1,13 @@
 """Run events and live progress. Every operator takes a batch or a streaming DataFrame unless it
 says otherwise."""
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docreview.constants import PAIR, RETRY_MESSAGE
@@ -236,6 +238,82 @@ def stall_alerts(events: DataFrame, stall_seconds: int = STALL_SECONDS) -> DataF
     )
 
 
+STALLS = "project string, seq bigint, since timestamp, pending bigint"
+#: The state store that timers and lists need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class StallProcessor(StatefulProcessor):
+    """Per project: the last event passed, and events that the watermark has not passed yet.
+
+    Events are passed in the order of their time once the watermark is beyond them, so it does not
+    matter in which file or batch they came. A timer stands at the first waiting event, and where
+    the stall limit after the last one ends. A stall is reported once: by the timer if nothing came,
+    or by the next event if that comes first."""
+
+    def __init__(self, stall_us: int) -> None:
+        self.stall_us = stall_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint, seq bigint, n bigint, told boolean")
+        self.waiting = handle.getListState("waiting", "us bigint, seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        came = [(r.us, r.seq) for r in rows]
+        self.waiting.appendList(came)
+        return self._pass(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._pass(key, timerValues)
+
+    def _pass(self, key, timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        us, seq, n, told = self.last.get() if self.last.exists() else (None, None, 0, True)
+        waiting, out = sorted(tuple(e) for e in self.waiting.get()), []
+
+        def tell() -> None:
+            out.append(Row(project=key[0], seq=seq, since=dt.datetime.fromtimestamp(us / 1e6, dt.timezone.utc), pending=n))
+
+        passed = [e for e in waiting if e[0] // 1000 < watermark]
+        for event in passed:
+            if not told and event[0] - us >= self.stall_us:
+                tell()
+            (us, seq), n, told = event, n + 1, False
+        if not told and (us + self.stall_us) // 1000 < watermark and (
+            len(passed) == len(waiting) or waiting[len(passed)][0] - us >= self.stall_us
+        ):
+            tell()
+            told = True
+        if passed:
+            self.waiting.clear()
+        if 0 < len(passed) < len(waiting):
+            self.waiting.put(waiting[len(passed):])
+        if us is not None:
+            self.last.update((us, seq, n, told))
+        if len(passed) < len(waiting):
+            self.handle.registerTimer(waiting[len(passed)][0] // 1000)
+        if not told:
+            self.handle.registerTimer((us + self.stall_us) // 1000)
+        return iter(out)
+
+
+def stall_stream(events: DataFrame, stall_seconds: int = STALL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Stream of stalls in event time: the last event (seq, since) of a project before a pause of
+    `stall_seconds` or more, and the events of the project up to there. Each stall comes once.
+
+    `delay` is how late an event may be; later ones are left out. The state of a project is its last event
+    and those of the last `delay`. It lives in the checkpoint of the query, so a restart goes on
+    where the query ended. Needs the RocksDB state store (ROCKSDB). As time is that of the events,
+    a run without any events stands still; `stall_alerts` goes by the clock."""
+    timed = events.select(
+        "project", F.col("ts").cast("timestamp").alias("ts"), _micros("ts").alias("us"), "seq"
+    ).withWatermark("ts", delay)
+    return timed.groupBy("project").transformWithState(
+        StallProcessor(stall_seconds * 1_000_000), STALLS, "append", "eventTime"
+    )
+
+
 # ---- texts and live report ----------------------------------------------------------------
 
 
