@@ -23,6 +23,8 @@ COMPONENTS = 32
 LARGEST = 2.0**40
 #: Residuals and singular values below this share of the largest singular value count as zero.
 TOLERANCE = 1e-13
+#: A vector that keeps less than this share of its square is made orthogonal a second time.
+AGAIN = 0.5
 #: Rows whose products are made at a time, which bounds the memory of a task.
 BLOCK = 4096
 
@@ -98,13 +100,14 @@ def bidiagonalise(
 
     v, beta = fresh(), 0.0
     while True:
-        # u = X v - beta u', made orthogonal to all of U; the second pass measures what is left
+        # u = X v - beta u', made orthogonal to all of U; where that takes much away, once more
         p = v - (beta * a_basis[:, -1] if beta else 0)
-        for _ in range(2):
-            gram, along, square = product(p, a_basis)
+        gram, along, square = product(p, a_basis)
+        if square - along @ along < AGAIN * square:
             p = p - a_basis @ along
-        gram, along, square = gram - z_basis @ along, None, max(square - along @ along, 0.0)
-        alpha = np.sqrt(square)
+            gram, along, square = product(p, a_basis)
+        p, gram = p - a_basis @ along, gram - z_basis @ along
+        alpha = np.sqrt(max(square - along @ along, 0.0))
         scale = max(scale, alpha)
         v_basis = np.column_stack([v_basis, v])
         if alpha > TOLERANCE * scale and alpha > 0:
