@@ -26,8 +26,6 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores=cores, partitions=cores, memory="16g")
-    # The tables are small for their work per row; let AQE keep them spread over the cores.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     warm = str(Path(folder).parent / "sf0.001")
 
     def run(name: str, where: str) -> float:
