@@ -49,6 +49,6 @@ def containing(rows: DataFrame, strings: DataFrame, by: list[str], key: list[str
     narrow = rows.select(*by, row.alias("_row"), F.explode(grams).alias("gram")).withColumn(
         "_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))
     )
-    parts = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    parts = index.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     found = narrow.join(parts, [*by, "gram", "_salt"]).select("_row", "s").distinct()
     return rows.withColumn("_row", row).join(found, "_row").where(F.contains("_blob", "s")).drop("_row")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docreview import schemas
-from docreview.functions import text
+from docreview.functions import substrings, text
 from docreview.operators import evidence as ev
 
 COLUMNS = "project string, bidder string, id string, file string, item_guid string, path array<string>, level int, page int, text string, char_len int, file_no int, seq int"
@@ -56,6 +56,39 @@ def test_matches_of_awkward_strings(spark):
     assert got == want and ("c a", False, False) in got["1#1"]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_strings_beyond_the_broadcast(spark, monkeypatch, limit):
+    """The index sent to the sections and the index met by a shuffle find the same: against a loop, with
+    a pair of characters that every section has, repeated sections, and strings of every length."""
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", limit)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc 基坑😀") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    rows = [("A" if i % 3 else "B", 1, i, "f", None, ["ab"], "ab" + "".join(rng.choice(words) for _ in range(6))) for i in range(120)]
+    sections = sections_of(spark, [*rows, rows[0]])
+    vocab = spark.createDataFrame([("p", w) for w in {*words, "", "ab", "zz"}], "project string, s string")
+    got = sorted((r.id, r.s) for r in ev.section_hits(sections, vocab).select("id", "s").collect())
+    want = []
+    for r in sections.collect():
+        want += [(r.id, w) for w in {*words, "", "ab", "zz"} if w in f"{r.text} ab"]
+    assert got == sorted(want)
+
+
+def test_counts_of_sections_without_any_term(spark):
+    """Every section counts for the number of sections, also those that hold nothing searched for."""
+    rows = sections_of(spark, [("A", 1, i, "f", None, [], "" if i else "needle") for i in range(5)])
+    vocab = spark.createDataFrame([("p", "needle", True), ("p", "absent", True)], "project string, s string, is_term boolean")
+    got = {r.term: (r.n, r.df) for r in ev.doc_freq(ev.corpus_counts(rows, vocab), vocab).collect()}
+    assert got == {"needle": (5, 1), "absent": (5, 0)}
+
+
+def test_rank_inside_a_dimension(spark):
+    scores = spark.createDataFrame(
+        [("p", "A", "T", 0, f"{i}", 9.0 + i % 3, 1, i) for i in range(9)] + [("p", "A", "T", 1, "x", 7.9, 1, 1)],
+        "project string, bidder string, item_id string, dim_no int, id string, score double, file_no int, seq int")
+    got = sorted((r["rank"], r.id) for r in ev.rank_sections(scores).collect())
+    assert [i for _, i in got] == ["2", "5", "8", "1", "4", "7", "0", "3", "6"] and [r for r, _ in got] == list(range(1, 10))
+
+
 def test_statistics_over_all_files(spark):
     """The rare word is in 50 of 1,000 sections: 5 % is still an anchor, counted over all files."""
     rows = [("A", 1, i + 1, "aaa", "g1", ["x", f"n{i}"], "深基坑支护" * 4) for i in range(50)]

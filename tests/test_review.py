@@ -274,6 +274,22 @@ def test_criteria_with_spaces_and_phrases(spark):
     assert spark.range(1).select(text.match_key(F.lit("Ａ-b（１）甲")).alias("k")).first().k == "ab1甲"
 
 
+@pytest.mark.parametrize("step", [1, 7, 50, 4096])
+def test_criteria_over_the_edges_of_chunks(spark, monkeypatch, step):
+    """Names, segments and blanks that lie over the edges of a text's chunks."""
+    monkeypatch.setattr(criteria, "_STEP", step)
+    body = "、".join(f"{n}：评委根据 方案\n  打 {n}0-{n}4 分。　相关标书内容在{n}中体现。" + " " * (9 * n) for n in range(1, 6))
+    names = [f"{n}：评" for n in range(1, 6)]
+    source = spark.createDataFrame([("p", "  前 言 " + body), ("q", "")], "project string, text string")
+    items = spark.createDataFrame([("p", f"T{n}", n, names[n - 1]) for n in range(1, 6)] + [("q", "T1", 1, "x")], "project string, item_id string, item_no int, name string")
+    got = {(r.project, r.item_id): r for r in criteria.segment_criteria(source, items).collect()}
+    for n in range(1, 6):
+        assert got["p", f"T{n}"].criteria == f"{n}：评委根据 方案\n  打 {n}0-{n}4 分。　相关标书内容在{n}中体现。"
+    assert not got["q", "T1"].ok and got["q", "T1"].criteria is None
+    asked = spark.createDataFrame([("p", "a", "方案打 10-14分"), ("p", "b", "方案 11"), ("p", "c", None), ("q", "d", "x")], "project string, item_id string, criteria string")
+    assert {r.item_id: r.verbatim for r in criteria.verify_verbatim(asked, source).collect()} == {"a": True, "b": False, "c": True, "d": False}
+
+
 def test_exact_rounding(spark):
     values = [4.25, 0.15, 2.675, 1.005, 0.25, 0.35, -0.25, -4.35, 2.5, 0.05, 83.25, 83.35, 0.0, 1e9 + 0.05, 7.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")

@@ -115,9 +115,9 @@ def test_text_rules(spark):
         [("x-0A1B2C3D-0000-4000-8000-00000000000F.PDF", "　\xa0a b\t")], "f string, t string"
     ).select(text.item_guid(F.col("f")).alias("g"), text.strip(F.col("t")).alias("s"),
              text.bigrams(F.lit("abc")).alias("b"), text.bigrams(F.lit("a")).alias("b1"),
-             text.short_name(F.lit("中冶8010")).alias("n"), text.short_name(F.lit("123")).alias("n2")).first()
+             text.short_name(F.lit("青山8010")).alias("n"), text.short_name(F.lit("123")).alias("n2")).first()
     assert rows.g == "0a1b2c3d-0000-4000-8000-00000000000f" and rows.s == "a b"
-    assert rows.b == ["ab", "bc"] and rows.b1 == [] and (rows.n, rows.n2) == ("中冶", "123")
+    assert rows.b == ["ab", "bc"] and rows.b1 == [] and (rows.n, rows.n2) == ("青山", "123")
 
 
 def test_styled_sections_and_tables(spark):
@@ -158,3 +158,25 @@ def test_checks_and_gates(spark):
     twice = rows.unionByName(rows)
     assert merge.duplicate_report(twice).first().detail == "1#1 x2、2#1 x2"
     assert sec.check_single_bidder(lines).first().ok
+
+
+def test_font_profile(spark):
+    rows = [("p", "A", 1, "f", i, 1, "正文" if i % 10 else " ", 10.5 if i % 3 else 16.04, i % 4 == 0) for i in range(400)]
+    rows += [("p", "A", 1, "f", 400, 1, "x", 30.0, False)]
+    df = spark.createDataFrame(rows, schemas.LINES + ", font_size double, bold boolean")
+    got = {r.font_size: r for r in sec.font_profile(df).collect()}
+    plain = [(round(r[7], 1), r[8]) for r in rows if r[6].strip()]
+    assert set(got) == {10.5, 16.0}  # 30 points is one line in 361
+    for size, r in got.items():
+        assert r.size_lines == sum(s == size for s, _ in plain) and r.n_lines == len(plain)
+        assert r.bold_lines == sum(b for _, b in plain) and r.body_size == 10.5
+        assert r.size_rank == (1 if size == 10.5 else 2)
+
+
+def test_ranks_of_a_hot_group(spark):
+    """One group holds nearly all rows; ties go by the second column."""
+    rows = [("a", i % 7, i) for i in range(3000)] + [("b", 1, 1), (None, 2, 2)]
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(8)
+    got = scan.rank_rows(df, ["k"], [F.desc("v"), "id"], "rank").where("k = 'a'").collect()
+    order = sorted((r for r in rows if r[0] == "a"), key=lambda r: (-r[1], r[2]))
+    assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == [r[2] for r in order]
