@@ -24,6 +24,8 @@ TARGET_ROWS = 20_000
 #: Words whose hash a task remembers.
 REMEMBERED = 100_000
 BINS = 1024
+#: What the copies of a text weigh together, in whole numbers, so that sums are the same in any order.
+WHOLE = 1 << 16
 #: Words and pairs that are added to those of a text before its weight is averaged.
 DAMPING = 200
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -49,11 +51,12 @@ def buckets_of(text: str, hashes: dict, buckets: int) -> np.ndarray:
 
 def fit(
     df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-    target_rows: int = TARGET_ROWS, buckets: int = BUCKETS,
+    target_rows: int = TARGET_ROWS, buckets: int = BUCKETS, once: bool = False,
 ) -> tuple[np.ndarray, float]:
     """Log ratios of the target to the raw model by bucket, and the share of good rows.
 
-    Raw counts are over all rows of `df`. The target model is fitted on at most `target_rows`
+    Raw counts are over all rows of `df`; with `once` the n copies of a text count 1/n each, so that
+    every text counts once, however often it is there. The target model is fitted on at most `target_rows`
     labelled good rows, which bounds what is broadcast. Every task sends one count per bucket; only
     the sums reach the driver. With no good row both models are the same and all ratios are 0."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
@@ -64,13 +67,21 @@ def fit(
     rows = df.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).join(
         F.broadcast(target.withColumn("_good", F.lit(True))), "_key", "left"
     ).select("_text", F.coalesce("_good", F.lit(False)).alias("_good"))
+    if once:
+        same = [F.xxhash64("_text").alias("_hash"), F.octet_length("_text").alias("_length")]
+        copies = stage(rows.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1"))
+        rows = rows.withColumns({"_hash": same[0], "_length": same[1]}).join(bounded(copies), ["_hash", "_length"], "left").select(
+            "_text", "_good", F.floor(F.lit(WHOLE) / F.coalesce("_n", F.lit(1))).cast("long").alias("_weight")
+        )
+    else:
+        rows = rows.withColumn("_weight", F.lit(1).cast("long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sums = _Hashes(), np.zeros((2, buckets), np.int64)
         for batch in batches:
-            for t, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for t, good, weight in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = np.bincount(buckets_of(t.as_py(), hashes, buckets), minlength=buckets)
-                sums[0] += found
+                sums[0] += weight * found
                 if good:
                     sums[1] += found
         seen = np.flatnonzero(sums[0])
@@ -81,7 +92,7 @@ def fit(
     ).collect()  # one row per bucket at most
     counts = np.zeros((2, buckets))
     for bucket, raw, good in sums:
-        counts[:, bucket] = raw, good
+        counts[:, bucket] = raw / (WHOLE if once else 1), good
     if not counts[1].any():
         return np.zeros(buckets), 1.0 if share is None else share
     logs = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + buckets))
@@ -171,9 +182,13 @@ def keep_good(
 
     There is no noise and no share of rows: the weight of a text is divided by its words and pairs
     plus DAMPING, so that long texts are judged by their average and few words decide little. The
-    threshold is the weight that all labelled good rows reach, but for a share `lost` of them.
-    Numbers of copies do not move it. Without a labelled good row all rows stay."""
-    ratios, _ = fit(df, labels, key, text, label, target_rows)
+    threshold is the weight that all labelled good rows reach, but for a share `lost` of them. The raw
+    model counts every text once, so copies do not move weights or threshold; near copies do. Texts
+    without words weigh 0, and short ones little, so that they stay unless the threshold is
+    above 0. A null text is empty; a null key is no labelled row. Rows that tie with the threshold stay.
+    Repeated rows stay or go together. Without a labelled good row all rows stay; an empty table
+    gives no rows."""
+    ratios, _ = fit(df, labels, key, text, label, target_rows, once=True)
     weight, value = log_weight(ratios, text_or_empty(text), DAMPING), free_names(df, "_weight")[0]
     good = stage(labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct())
     weights = stage(df.select(F.col(key).alias("_key"), weight.alias("_weight")).join(bounded(good), "_key", "left_semi"))
