@@ -7,6 +7,7 @@ the document is trained on. Sorting by that time, by range, gives the order of t
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,3 +184,22 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .orderBy(time, key)
         .select(*df.columns)
     )
+
+
+def with_positions(df: DataFrame, name: str = "position") -> DataFrame:
+    """The rows of a written table, numbered from 0 in the order in which they were written.
+
+    What `mixed` sorted by range and a writer put into files is in the order of the files' names
+    and of the rows in each; reading gives the rows in another order. One row per file is summed
+    up, never the rows. Rows that do not come from files are numbered as they come."""
+    file, row, before = free_names(df, "_file", "_row", "_before")
+    try:
+        placed = df.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        placed = df.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row))
+    earlier = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage(
+        placed.groupBy(file).agg(F.count("*").alias(before))
+        .select(file, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    )
+    return placed.join(bounded(starts), file).withColumn(name, (F.col(row) + F.col(before)).cast("long")).drop(file, row, before)
