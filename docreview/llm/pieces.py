@@ -7,6 +7,7 @@ word are grouped and folded into its best segmentation (Viterbi) with a higher-o
 Tasks look the words of their texts up there; for a word that is not in the dictionary they fold
 the same recurrence over its own edges, so every word gets the same pieces either way."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -31,8 +32,8 @@ CROSSING = re.compile(r"[\t\n]|[^▁]▁|[^\W\d_²][!-@\[-^`{-~]")
 #: Words in the dictionary and their longest length: with their ids under 30 MB in a task.
 DICTIONARY = 100_000
 LONGEST = 64
-#: Further parts of texts that a task remembers, and parts that it counts before it sends the counts.
-REMEMBERED = 100_000
+#: Further parts of texts that a task remembers, and parts that a task counts before it sends the counts.
+REMEMBERED = 300_000
 COUNTED = 200_000
 #: Rows that a task encodes or decodes at a time.
 ROWS = 200
@@ -288,6 +289,26 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
+def _encoder(df: DataFrame, text: str, pieces: Pieces, limit: int):
+    """What `_Encoded` needs, as a broadcast: the dictionary of the whole table and the pieces."""
+    words = frequent_words(stage(word_counts(df, text)), limit)
+    known = {
+        r["word"]: np.array(r["ids"], np.int32).tobytes() for r in stage(encode_words(words, pieces)).toLocalIterator()
+    }
+    return df.sparkSession.sparkContext.broadcast((known, pieces.endings, pieces.bytes))
+
+
+def _lists(blobs: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(b) // 4 for b in blobs]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
+
+
+def _spell(codes: np.ndarray, parts: np.ndarray) -> bytes:
+    """What pieces spell, without the blank that `escape` puts in front."""
+    whole = b"".join(parts[codes].tolist())
+    return whole[1:] if whole.startswith(b" ") else whole
+
+
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL, limit: int = DICTIONARY) -> DataFrame:
     """`df` with a column `ids` (array of int): the pieces of the whole text, in sequence.
 
@@ -296,13 +317,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MOD
     are; repeated rows give repeated rows; an empty table gives no rows. The texts are read twice
     and shuffled nowhere: first words are counted, over the whole table. The dictionary is bounded,
     so it is collected and broadcast; other words are exact too."""
-    spark = df.sparkSession
-    pieces = Pieces(model)
-    words = frequent_words(stage(word_counts(df, text)), limit)
-    known = {
-        r["word"]: np.array(r["ids"], np.int32).tobytes() for r in stage(encode_words(words, pieces)).toLocalIterator()
-    }
-    shared = spark.sparkContext.broadcast((known, pieces.endings, pieces.bytes))
+    shared = _encoder(df, text, Pieces(model), limit)
     rest = [c for c in df.columns if c != ids]
     schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
@@ -310,16 +325,50 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MOD
         encoded = _Encoded(*shared.value)
         for batch in _portions(batches):
             blobs = [encoded.text(t.as_py()) for t in batch.column(len(rest))]
-            ends = np.cumsum([0, *[len(b) // 4 for b in blobs]], dtype=np.int32)
-            flat = pa.array(np.frombuffer(b"".join(blobs), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema.names
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], _lists(blobs)], schema.names)
 
     (whole,) = free_names(df, "_text")
     return df.select(*rest, text_or_empty(text).alias(whole)).mapInArrow(run, schema)
 
 
+def encode_and_check(
+    df: DataFrame, keep: list[str], text: str = "text", model: str = MODEL, limit: int = DICTIONARY
+) -> DataFrame:
+    """The columns `keep`, then ids as `encode` gives them, decoded_sha256 (of what `decode` gives
+    for these ids, in UTF-8) and round_trip: whether that is the text with blanks for U+2581.
+
+    One pass encodes, decodes the ids through the piece table and compares; texts do not come back
+    from it. Null and empty texts have no pieces and agree. Names of `keep` must not be those of
+    the new columns; repeated rows give repeated rows, an empty table none."""
+    pieces = Pieces(model)
+    shared = _encoder(df, text, pieces, limit)
+    spelled = df.sparkSession.sparkContext.broadcast(pieces.spelled)
+    schema = T.StructType([
+        *[df.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded, parts = _Encoded(*shared.value), np.array(spelled.value, object)
+        for batch in _portions(batches):
+            blobs, digests, agree = [], [], []
+            for scalar in batch.column(len(keep)):
+                t = scalar.as_py()
+                blobs.append(encoded.text(t))
+                whole = _spell(np.frombuffer(blobs[-1], np.int32), parts)
+                wanted = t.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+                agree.append(whole == wanted)
+                if not agree[-1]:
+                    whole = whole.decode("utf-8", "replace").encode()
+                digests.append(hashlib.sha256(whole).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep)], _lists(blobs), pa.array(digests, pa.string()), pa.array(agree, pa.bool_())],
+                schema.names,
+            )
+
+    return df.select(*keep, text_or_empty(text).alias("_text")).mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """`df` with a column `text`: what the pieces in `ids` spell.
 
@@ -342,8 +391,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str =
                 codes = row.values.to_numpy(zero_copy_only=False)
                 if len(codes) and codes.min() < 0:
                     raise ValueError("an id below 0")
-                whole = b"".join(parts[codes].tolist())
-                texts.append((whole[1:] if whole.startswith(b" ") else whole).decode("utf-8", "replace"))
+                texts.append(_spell(codes, parts).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
     return df.select(*rest).mapInArrow(run, schema)

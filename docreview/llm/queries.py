@@ -26,11 +26,9 @@ def op1_quality_rules(spark, d):
 
 @query
 def op2_sentencepiece(spark, d):
-    encoded = pieces.encode(table(spark, d, "documents").select("doc_id", "text"))
-    return pieces.decode(encoded).select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.col("decoded") == F.replace(pieces.text_or_empty(), F.lit(pieces.SPACE), F.lit(" ")), F.lit(False)).alias("round_trip"),
+    encoded = pieces.encode_and_check(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256", "round_trip"
     )
 
 
