@@ -74,14 +74,20 @@ def exact_groups(
             F.count("*").alias("_size"),
         ).where("_size > 1")
     )
+    # rows without a copy meet nothing; they would all have one key
+    alone = found.where("_group is null").select(
+        F.col("_key").alias(key), F.col("_key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"), "text_sha256",
+    )
     grouped = F.col("_best").isNotNull()
-    result = found.join(groups, "_group", "left").select(
+    several = found.where("_group is not null").join(groups, "_group", "left").select(
         F.col("_key").alias(key),
         F.when(grouped, F.col("_best.k")).otherwise(F.col("_key")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("_best.r") == F.col("_row"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
+    result = several.unionByName(alone)
     return result if digests else result.drop("text_sha256")
 
 

@@ -43,7 +43,7 @@ SELECT doc_id, text_sha256,
   count(*) OVER (PARTITION BY text_sha256) AS group_size,
   row_number() OVER g = 1 AS kept
 FROM bare
-WINDOW g AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+WINDOW g AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS FIRST)
 """
 
 ORACLES["op10_curriculum"] = r"""
