@@ -30,23 +30,32 @@ DROPPED_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts that an open paragraph ends at.
 ENDS_PARAGRAPH = BLOCK_TAGS - {"html", "body", "head", "option", "optgroup"}
-#: Words of class, id, role and label attributes that mark parts outside the article.
-#: A whole word of the value counts: a name of the list, with other pieces before it ("main-menu")
-#: or pieces behind it that say what holds it ("share-buttons"). States of a page as a whole
-#: ("has-sidebar", "nav-open", "tag-politics") do not.
-DROPPED_WORDS = re.compile(
-    r"(?!(?:has|with|without|no|is|not|hide|show|page|post|type|category|tag)[-_])(?:[^\W_]+[-_]+)*?"
-    r"(?:ads?|advert\w*|adsense|adslot|banner\w*|sponsor\w*|promo\w*|affiliate|menu\w*|nav\w*|breadcrumb\w*|"
-    r"side-?bar\w*|rail|widget\w*|footer\w*|site-?(?:footer|header)|page-?header|masthead|toolbar|topbar|"
-    r"comments?|commentlist|disqus\w*|respon[ds]e?|replies|reply|cookie\w*|consent\w*|gdpr|notices?|alert|notification\w*|"
-    r"popup|modal|overlay|newsletter\w*|subscri\w*|signup|sign-?up|login|share\w*|sharing|social\w*|related\w*|"
-    r"recommend\w*|popular|trending|pagination|pager|paging|search\w*|form|skip|copyright|legal|disclaimer|"
-    r"contentinfo|navigation|complementary|dialog|tags?|tag-?cloud|(?:page|post)-(?:nav|navigation|footer|tags|comments|sidebar|share|related))"
-    r"(?:[-_]+(?:\d+|lists?|items?|links?|posts?|articles?|buttons?|icons?|bars?|box|boxes|wrap|wrapper|container|areas?|"
-    r"sections?|blocks?|forms?|widgets?|menus?|inner|outer|header|footer|text|body|author|meta|top|bottom|left|right|"
-    r"primary|secondary|main|mobile|desktop|slot|unit|banner|notice|policy-notice|media|stories|news|content|to-content|link-to-content))*",
-    re.I,
+#: Names of class, id, role and label attributes are cut into words at signs, digits and changes of
+#: case. What a name is about is its last word, less words that only say what holds it; if that is one of
+#: these, the element is outside the article.
+OUTSIDE_WORD = re.compile(
+    r"ads?|advert\w*|adsense|adslot|banner\w*|sponsor\w*|promo\w*|affiliate|menus?|navs?|navbar|navigation|breadcrumbs?|"
+    r"side|sidebar\w*|rail|widgets?|footer\w*|siteheader|pageheader|masthead|toolbar|topbar|comment(?!ar)\w*|\w+comments?|"
+    r"disqus\w*|respon[ds]e?|replies|reply|cookies?|cookie(?:bar|banner|consent|notice|law)|consent\w*|gdpr|notices?|alert|notifications?|"
+    r"popup|modal|overlay|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|socials?|related\w*|recommend\w*|popular|"
+    r"trending|pagination|pager|paging|search\w*|forms?|skip|copyright|legal|disclaimer|contentinfo|complementary|dialog|tags?|tagcloud"
 )
+#: Of these, parts that are never the main text, however much of the page they hold.
+NEVER_MAIN = re.compile(
+    r"comment\w*|\w+comments?|disqus\w*|respon[ds]e?|replies|reply|forms?|search\w*|menus?|navs?|navbar|navigation|breadcrumbs?|"
+    r"cookie\w*|consent\w*|gdpr|newsletter\w*|subscri\w*|signup|login|share\w*|sharing|socials?|related\w*|ads?|advert\w*|"
+    r"pagination|pager|paging|footer\w*|siteheader|pageheader|masthead|legal|copyright|disclaimer"
+)
+#: Words behind the one that a name is about, which say what holds it.
+HOLDERS = frozenset(
+    "list lists item items link links post posts article articles button buttons icon icons bar bars box boxes wrap wrapper "
+    "wrappers container containers area areas section sections block blocks form forms widget widgets menu menus inner outer "
+    "header footer text body author meta top bottom left right primary secondary main mobile desktop slot unit banner notice media stories "
+    "news content to thread threads holder panel panels group row col column cloud feed stream title heading".split()
+)
+#: Words in front that make a name a state of the page ("has-sidebar").
+STATES = frozenset("has have with without no non is not hide hidden show hides shows".split())
+NAME_WORD = re.compile(r"[A-Z]?[a-z\u00df-\u00ff]+|[A-Z]+(?![a-z])")
 #: The root and the article itself are never dropped for their class or id.
 NEVER_DROPPED = frozenset("html body main article h1".split())
 
@@ -67,30 +76,56 @@ NAMING = frozenset("class id role aria-label".split())
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def named_outside(name: str) -> str:
+    """What one name of an element says: "never" if it is no main text whatever it holds, "name" if
+    it stands outside the article, else ""."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    if not words or words[0] in STATES:
+        return ""
+    while words:
+        pair = "".join(words[-2:]) if len(words) > 1 else ""
+        about = next((w for w in (pair, words[-1]) if w and OUTSIDE_WORD.fullmatch(w)), "")
+        # the pieces of one word, "side-bar", or the header of a page and not of an article
+        if about == pair and pair and words[-2:] not in (["site", "header"], ["page", "header"], ["side", "bar"], ["sign", "up"], ["tag", "cloud"]):
+            about = words[-1] if OUTSIDE_WORD.fullmatch(words[-1]) else ""
+        if about:
+            return "never" if NEVER_MAIN.fullmatch(about) else "name"
+        if words.pop() not in HOLDERS:
+            return ""
+    return ""
+
+
 def outside(tag: str, rest: str, in_article: bool) -> str:
-    """"tag" if the tag or a hidden state puts an element outside the article, "name" if only its
-    class, id, role or label does, else ""."""
+    """"tag" if the tag, a hidden state or a name puts an element outside the article for certain,
+    "name" if its class, id, role or label does unless it holds the article, else ""."""
     if tag in DROPPED_TAGS and not (tag == "header" and in_article):
         return "tag"
-    if tag in NEVER_DROPPED or not rest.strip():
+    if not rest.strip():
         return ""
     named = ""
     for name, *values in ATTRIBUTES.findall(rest):
         value, name = "".join(values), name.lower()
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if tag not in NEVER_DROPPED and (name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return "tag"
-        if name in NAMING and any(DROPPED_WORDS.fullmatch(word) for word in value.split()):
-            named = "name"
+        if name in NAMING:
+            said = [named_outside(word) for word in value.split()]
+            # an article element may be a comment; the root and the headline are what they are
+            if "never" in said and (tag not in NEVER_DROPPED or tag == "article"):
+                return "tag"
+            if "name" in said and tag not in NEVER_DROPPED:
+                named = "name"
     return named
 
 
 def blocks_of(page: str) -> list[tuple[str, float, str, bool]]:
     """(text, share of it in links, tag, outside the article) of the blocks in page order.
 
-    An element that only its name puts outside stays if it holds most of the text in good blocks."""
+    An element that only its name puts outside stays if it holds most of the text in good blocks and
+    the headline or the article element, or nearly all of that text."""
     found: list[tuple[str, float, str, bool]] = []
     inside: list[int] = []  # the innermost named part around each block
     parents = [0]  # of the named parts; 0 is the page
+    central = [True]  # whether a headline or an article starts inside
     open_tags: list[tuple[str, bool, int]] = []  # (tag, starts a dropped part, named part around it)
     part = 0
     opened: Counter[str] = Counter()  # how many of each are open
@@ -165,7 +200,12 @@ def blocks_of(page: str) -> list[tuple[str, float, str, bool]]:
             dropped += why == "tag"
             if why == "name":
                 parents.append(part)
+                central.append(False)
                 part = len(parents) - 1
+            elif tag in ("h1", "article", "main") and not dropped:
+                up = part
+                while not central[up]:
+                    central[up], up = True, parents[up]
             in_link += tag == "a"
     close()
 
@@ -177,7 +217,7 @@ def blocks_of(page: str) -> list[tuple[str, float, str, bool]]:
         held[parents[k]] += held[k]
     drops = [False] * len(parents)
     for k in range(1, len(parents)):
-        drops[k] = drops[parents[k]] or 2 * held[k] <= held[0]
+        drops[k] = drops[parents[k]] or (2 * held[k] <= held[0] if central[k] else 10 * held[k] <= 9 * held[0])
     return [(text, links, tag, out or drops[k]) for (text, links, tag, out), k in zip(found, inside, strict=True)]
 
 

@@ -151,6 +151,26 @@ def test_named_wrapper_of_the_article_stays(name):
     assert (html_blocks.main_text(two).count("first") == 12) == (name not in ("sidebar", "widget-area"))
 
 
+@pytest.mark.parametrize("name", [
+    "comments", "post-comments", "userComments", "commentSection", "comment-thread", "c-comment-thread", "comment-list", "replies",
+    "page-footer", "page-header", "page-sidebar", "page__sidebar", "post-tags", "tag-cloud", "mainNav", "main-menu", "side-bar",
+    "adSlot", "share-buttons", "cookie-notice", "related-stories", "disqus_thread",
+])
+def test_parts_longer_than_their_article_go(name):
+    """Whatever stands in comments, sidebars and menus, and however much, is no main text."""
+    short = "It was the first of the days that the river is in the town and on the hills as it was by the old road. " * 2
+    page = f"<body><article><h1>The title</h1><p>{short}</p></article><div class='{name}'>" + f"<p>{ARTICLE}</p>" * 3 + "</div></body>"
+    assert html_blocks.main_text(page) == "The title\n\n" + " ".join(short.split())
+    page = f"<body><h1>The title</h1><p>{short}</p><section id='{name}'><article class=comment><p>{ARTICLE}</p></article></section></body>"
+    assert html_blocks.main_text(page) == "The title\n\n" + " ".join(short.split())
+
+
+@pytest.mark.parametrize("name", ["entry-header", "article-body", "commentary", "no-comments", "has-sidebar", "category-news", "post-header"])
+def test_names_of_the_article_itself_stay(name):
+    page = f"<body><article><div class='{name}'><p>{ARTICLE}</p></div><p>{ARTICLE}</p></article></body>"
+    assert html_blocks.main_text(page).count("first") == 8
+
+
 def test_attributes_and_quotes():
     assert html_blocks.main_text(f'<div title="the hidden truth"><p>{ARTICLE}</p></div>') == " ".join(ARTICLE.split())
     assert html_blocks.main_text(f"<div hidden><p>{ARTICLE}</p></div><p>{ARTICLE}</p>") == " ".join(ARTICLE.split())
