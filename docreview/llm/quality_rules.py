@@ -3,10 +3,13 @@
 Every document gives two histograms, one of character classes and one of the common words of its
 language. A language's reference is the sum of the histograms of all its documents that pass the
 base rules. A document is rejected when the Jensen-Shannon distance of either histogram from the
-reference is too large and the document is long enough for that histogram to be trusted."""
+reference is too large and the document is long enough for that histogram to be trusted. A language
+needs support, a number of different texts and of words, to be a norm; documents without such a
+language are held to the character classes of all documents."""
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -44,6 +47,11 @@ MAX_CLASS_DISTANCE = 0.09
 CLASS_SLACK = 2.4
 MAX_WORD_DISTANCE = 0.1
 WORD_SLACK = 2.4
+#: Different texts, and words in them, that a language needs to be a norm of its own.
+SUPPORT_TEXTS = 20
+SUPPORT_WORDS = 1_000
+#: The name under which all documents are a norm together.
+ALL = "*"
 #: By so much more the limits give way in the first round, whose reference holds junk.
 FIRST_SLACK = 0.05
 #: Code points that are classified at a time, which bounds the memory of a long text.
@@ -52,7 +60,7 @@ BLOCK = 1 << 20
 _FIELDS = [
     ("n_chars", T.LongType()), ("n_words", T.LongType()), ("word_chars", T.LongType()),
     ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()),
-    ("language", T.StringType()), ("classes", T.ArrayType(T.LongType())), ("common", T.ArrayType(T.LongType())),
+    ("_hash", T.LongType()), ("language", T.StringType()), ("classes", T.ArrayType(T.LongType())), ("common", T.ArrayType(T.LongType())),
 ]
 _WORD_BINS = 1 + max(map(len, COMMON_WORDS.values()))
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -112,7 +120,7 @@ def _features(text: str, lang: str | None, numbers: dict[str, dict[str, int]]) -
         points = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)
         classes += np.bincount(table[points], minlength=len(CLASSES))
     plain = _PLAIN.findall(text.lower())
-    if lang is None:
+    if lang not in numbers:
         hits = {name: sum(w in of for w in plain) for name, of in numbers.items()}
         lang = max(sorted(hits), key=hits.get) if any(hits.values()) else None
     common = [0] * _WORD_BINS
@@ -125,7 +133,7 @@ def _features(text: str, lang: str | None, numbers: dict[str, dict[str, int]]) -
     blanks = sum(raw.count(b) for b in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
     return (
         len(text), len(words), len(text) - blanks, sum(raw.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS))),
-        len(lines) - len(set(lines)), repeated_words(words), lang, classes.tolist(), common,
+        len(lines) - len(set(lines)), repeated_words(words), zlib.crc32(raw) | len(raw) << 32, lang, classes.tolist(), common,
     )
 
 
@@ -136,7 +144,8 @@ def language_name(lang: str) -> Column:
 
 
 def learned_words(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """The words that are in most texts of each language that COMMON_WORDS does not have.
+    """The words that are in most texts of each language that COMMON_WORDS does not have and that
+    has SUPPORT_TEXTS different texts.
 
     A text counts a word once, so a text that repeats one does not make it common."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +157,11 @@ def learned_words(df: DataFrame, text: str = "text", lang: str = "lang") -> dict
     others = df.select(language_name(lang).alias("language"), text_or_empty(text).alias("_text")).where(
         F.col("language").isNotNull() & ~F.col("language").isin(*COMMON_WORDS)
     )
-    counts = others.mapInArrow(run, "language string, word string").groupBy("language", "word").count()
+    several = stage(
+        others.groupBy("language").agg(F.count_distinct(F.xxhash64("_text")).alias("_texts")).where(F.col("_texts") >= SUPPORT_TEXTS)
+    )
+    supported = others.join(bounded(several.select("language")), "language", "left_semi")
+    counts = supported.mapInArrow(run, "language string, word string").groupBy("language", "word").count()
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("count"), "word"))
     top = counts.withColumn("rank", rank).where(F.col("rank") < _WORD_BINS)
     found: dict[str, list[str]] = {}
@@ -161,7 +174,7 @@ def text_features(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """key and the counts of every row, from its whole text, in batches where it is read."""
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), *[T.StructField(n, t) for n, t in _FIELDS]])
     lists = COMMON_WORDS | learned_words(df, text, lang)
-    types = [pa.int64()] * 6 + [pa.string()] + [pa.list_(pa.int64())] * 2
+    types = [pa.int64()] * 7 + [pa.string()] + [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = {name: {w: i for i, w in enumerate(words)} for name, words in lists.items()}
@@ -195,29 +208,47 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 
 def language_references(features: DataFrame) -> DataFrame:
-    """language, class_reference, word_reference: one row per language at most.
+    """language, class_reference, word_reference: one row per language with support, and one of all
+    documents, named ALL, without words.
 
     Summed over all documents that pass the base rules; then once more over those that are within
     the limits of this first reference, so that junk does not become part of the norm."""
     def summed(column, bins):
-        return F.array(*[F.sum(F.col(column)[i]).cast("double") for i in range(bins)])
+        return F.array(*[F.sum(F.col(column)[i] / F.col("_copies")) for i in range(bins)])
 
     def reference(rows):
-        sums = rows.groupBy("language").agg(
+        both = rows.where("language IS NOT NULL").unionByName(rows.withColumn("language", F.lit(ALL)))
+        sums = both.groupBy("language").agg(
             summed("classes", len(CLASSES)).alias("c"), summed("common", _WORD_BINS).alias("w")
         )
-        return sums.select(
-            "language", shares(F.col("c")).alias("class_reference"), shares(F.col("w")).alias("word_reference")
+        return sums.join(support, "language").select(
+            "language", shares(F.col("c")).alias("class_reference"),
+            F.when(F.col("language") != ALL, shares(F.col("w"))).alias("word_reference"),
         )
 
-    sound = features.where("NOT base_failed AND language IS NOT NULL")
+    sound = features.where("NOT base_failed")
+    # The copies of a text count as one.
+    copies = stage(sound.groupBy("_hash").agg(F.count("*").alias("_copies")).where("_copies > 1"))
+    sound = sound.join(bounded(copies), "_hash", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    texts = sound.groupBy("language", "_hash").agg(F.max("n_words").alias("n_words")).groupBy("language").agg(
+        F.count("*").alias("texts"), F.sum("n_words").alias("words")
+    )
+    own = texts.where((F.col("language").isNotNull()) & (F.col("texts") >= SUPPORT_TEXTS) & (F.col("words") >= SUPPORT_WORDS))
+    support = stage(own.select("language").union(features.sparkSession.createDataFrame([(ALL,)], "language string")))
     within = with_distances(sound, stage(reference(sound))).where(~strays(FIRST_SLACK))
-    return stage(reference(within))
+    return stage(reference(within.select(*sound.columns)))
 
 
 def with_distances(features: DataFrame, references: DataFrame) -> DataFrame:
-    """The references are one row per language, so they are broadcast unless `lang` has very many values."""
-    return features.join(bounded(references), "language", "left").withColumns({
+    """The references are one row per language, so they are broadcast unless `lang` has very many
+    values. A document whose language has none is compared with the classes of all documents."""
+    whole = references.where(F.col("language") == ALL).select("class_reference").collect()
+    shared = F.array(*[F.lit(float(x)) for x in whole[0][0]]) if whole and whole[0][0] and None not in whole[0][0] else F.lit(None)
+    own = references.where(F.col("language") != ALL)
+    joined = features.join(bounded(own), "language", "left").withColumn(
+        "class_reference", F.coalesce("class_reference", shared.cast("array<double>"))
+    )
+    return joined.withColumns({
         "class_distance": F.when(
             F.col("n_chars") >= MIN_CHARS, jensen_shannon(shares(F.col("classes")), F.col("class_reference"))
         ),
@@ -242,11 +273,13 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     The base rules reject fewer than 10 words and more than 20 % repeated words. Words are parted
     by ASCII white space; a line repeats when it has a word and equals an earlier line. `language`
-    is `lang` without its region; only where that is null, it is guessed as the language most of
-    whose common words occur. Common words of languages that COMMON_WORDS does not have are counted
-    in all their documents. Distances are null without a language, without a reference (no document of
-    the language passes the base rules) and below the guards of 100 characters or 50 words; a null
-    distance does not reject. Null texts count as empty and fail the base rules. Repeated rows give
+    is `lang` without its region; where that is null, or a language that neither COMMON_WORDS has nor
+    SUPPORT_TEXTS different texts name, it is guessed as the language most of whose common words occur,
+    null if none do. Common words of languages that COMMON_WORDS does not have are counted
+    in all their documents. A language is a norm if SUPPORT_TEXTS different texts with SUPPORT_WORDS words
+    in all pass the base rules; without one a document is held to the character classes of all
+    documents, and its word distance is null. Distances are null where no document passes the base
+    rules and below the guards of 100 characters or 50 words; a null distance does not reject. Null texts count as empty and fail the base rules. Repeated rows give
     repeated rows. Other columns are not read. An empty table gives no rows.
 
     The texts are read once (those of languages whose words are counted, twice) and shuffled

@@ -76,6 +76,18 @@ def test_languages_without_a_list(spark):
     assert {got[i].language for i in range(60)} == {"sv"} and got[70].language == "zh" and got[102].language == "en"
 
 
+def test_junk_is_no_norm_of_its_own(spark):
+    """Whatever language junk names, or none, it is not judged by itself; nor do its copies make it one."""
+    rng = random.Random(4)
+    words = SENTENCE.split() + ["river", "stone", "window", "garden", "letter", "winter"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120)).capitalize() + ".", "en") for i in range(60)]
+    junk = " ".join("".join(rng.choice("abcxyzQRS0189#") for _ in range(6)) for _ in range(200))
+    rows += [(100 + k, junk, lang) for k, lang in enumerate(["en", "en-us", "xx", None])]
+    rows += [(200 + k, junk + "!", "yy") for k in range(40)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(60)) and not any(v for i, v in got.items() if i >= 100)
+
+
 def test_kth_largest(spark):
     rng = random.Random(2)
     values = [rng.gauss(0, 1) for _ in range(500)] + [3.5] * 20 + [-1e9, 1e9, 1e-300]
