@@ -5,15 +5,21 @@ suffix array of a whole collection would take many times its size, so suffixes a
 every string of 50 bytes, the 26-byte gram of least hash is an anchor. Equal strings have equal
 anchors at equal places, so only suffixes near a common anchor need to be compared:
 
-1. Grams of anchors are hashed into buckets, once per batch of texts, to learn which of them occur
-   in two documents; a bit map of fixed size carries that to the second scan. It may let too many
-   pass, never too few.
-2. Anchors that pass go to the bucket of their gram with the bytes around them. There the suffixes
-   that start up to 24 bytes before an anchor are put in suffix order. A suffix has a longest
-   previous factor of 50 or more exactly if the previous or the next suffix of a smaller document
-   in that order shares its first 50 bytes.
-3. The covered intervals meet the texts again by document.
-"""
+1. Whole copies of an earlier text are told by their digest and go as a whole.
+2. Hashes first: anchors of the other texts go to the bucket of their gram with a hash of the 74
+   bytes around them, no bytes. Where these agree all strings around the anchor agree, so whatever
+   is in a later document than the first of them is covered. Grams with several surroundings are
+   noted in a bit map.
+3. Only anchors of those grams send the bytes around them. There the suffixes that start up to 24
+   bytes before an anchor are put in suffix order. A suffix has a longest previous factor of 50 or
+   more exactly if the previous or the next suffix of a smaller document in that order shares its
+   first 50 bytes.
+4. The covered intervals meet the texts again by document.
+
+Grams that are frequent in a sample of the texts, those of common lines, are not gathered by gram:
+in step 2 they are by surroundings, in step 3 by the 12 bytes before the anchor and again by the 12
+behind its gram. A string around an anchor holds one or the other, so equal strings still meet.
+The sample decides where anchors go, never what is found."""
 
 import hashlib
 import struct
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docreview.llm.common import text_or_empty
+from docreview.llm.common import bounded, text_or_empty
 from docreview.session import stage
 
 LENGTH = 50
@@ -35,11 +41,22 @@ GRAM = 26
 SPAN = LENGTH - GRAM + 1
 BEFORE = SPAN - 1
 CONTEXT = BEFORE + LENGTH
-#: Bits of the map of repeated grams (16 MB). If very many grams repeat it lets all of them pass.
-MAP_BITS = 1 << 27
+#: The map of grams with several surroundings: bits for each, up to so many in all (64 MB). Beyond that
+#: it lets more anchors send their bytes than need to.
+GRAM_BITS = 16
+MAP_BITS = 1 << 29
+#: Bytes of text that are sampled for frequent grams, in how many of the sampled texts such a gram is
+#: (one in so many, and at least), and how many are remembered.
+SAMPLE_BYTES, FREQUENT, FREQUENT_TEXTS, MOST_FREQUENT = 32 << 20, 500, 20, 100_000
+#: Bytes beside a frequent gram by which its anchors are parted: half of those that a string has there.
+SIDE = (LENGTH - GRAM) // 2
 #: Bytes of text per bucket, and bytes that are hashed at a time.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 BLOCK = 1 << 17
+#: Suffixes that are put in order at a time, by whole grams.
+SUFFIXES = 1 << 18
+#: Anchors whose surroundings are hashed at a time.
+ANCHORS = 1 << 16
 #: Bytes of text whose anchors a task holds at a time.
 PORTION = 8 << 20
 LAST = (1 << 63) - 1
@@ -180,89 +197,176 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-# ---- the first scan: repeated grams ------------------------------------------------------------
+# ---- hashes: surroundings of anchors --------------------------------------------------------------
 
 
-def _gram_batches(buckets: int):
+def _mix(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    h = np.full(len(rows), np.uint64(len(rows[0]) if len(rows) else 0))
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    for column in padded.view(np.uint64).T:
+        h = (h ^ column) * np.uint64(_ODD)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _surroundings(place: np.ndarray, data: np.ndarray, ends: np.ndarray):
+    """For each anchor its text, how many bytes of the text stand before and from it on (BEFORE and
+    LENGTH at most), these bytes, and a hash of all that."""
+    text = np.searchsorted(ends, place, "right") - 1
+    left = np.minimum(place - ends[text], BEFORE)
+    right = np.minimum(ends[text + 1] - place, LENGTH)
+    columns = np.arange(-BEFORE, LENGTH, dtype=np.int8)
+    margin = np.zeros(LENGTH, np.uint8)
+    first, last = int(place.min()), int(place.max()) + 1
+    # the stretch that the anchors need; beyond the ends of the data there is nothing
+    low, high = max(first - BEFORE, int(ends[0])), min(last + LENGTH, int(ends[-1]))
+    stretch = np.concatenate([margin[: low - (first - BEFORE)], data[low:high], margin[: last + LENGTH - high]])
+    around = np.lib.stride_tricks.sliding_window_view(stretch, CONTEXT)[place - first]
+    around[(columns < -left.astype(np.int8)[:, None]) | (columns >= right.astype(np.int8)[:, None])] = 0
+    left, right = left.astype(np.uint8), right.astype(np.uint8)
+    return text, left, right, around, _mix(np.column_stack([around, left, right]))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the ascending array `known`."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _portions(batches):
+        _, _, data, ends = _columns(batch)
+        place, grams = anchors(data, ends)
+        text = np.searchsorted(ends, place, "right") - 1
+        by = np.lexsort((text, grams))
+        grams = grams[by][_starts(grams[by], text[by])]
+        at = _starts(grams)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(grams[at].view(np.int64)), pa.array(np.diff(np.append(at, len(grams))))], ["gram", "n"]
+        )
+
+
+def frequent_grams(rows: DataFrame, total: int) -> np.ndarray:
+    """Grams of anchors in many texts of a sample, ascending."""
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    spread = F.pmod(F.xxhash64("order", "mark"), F.lit(1 << 20))
+    drawn = rows.where(spread < F.lit(int(share * (1 << 20))))
+    counts = drawn.mapInArrow(_sampled, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    least = max(FREQUENT_TEXTS, drawn.count() // FREQUENT)
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
+
+
+def _class_batches(buckets: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches):
-            order, _, data, ends = _columns(batch)
+            order, mark, data, ends = _columns(batch)
             place, grams = anchors(data, ends)
             if not len(place):
                 continue
-            doc = order[np.searchsorted(ends, place, "right") - 1]
-            by = np.argsort(grams)
-            grams, doc = grams[by], doc[by]
-            at = _starts(grams)
-            low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-            grams = grams[at]
-            packed = []
-            for bucket, s in _slices(_bucket_of(grams, buckets)):
-                base = low[s].min()
-                packed.append((bucket, _pack(
-                    np.diff(grams[s] & _LOW, prepend=np.uint64(0)), np.array([base]), low[s] - base, high[s] != low[s]
-                )))
-            yield _rows(packed)
+            hashed = []
+            for at in range(0, len(place), ANCHORS):
+                text, left, right, _, content = _surroundings(place[at : at + ANCHORS], data, ends)
+                hashed.append((text, left, right, content))
+            text, left, right, content = (np.concatenate(c) for c in zip(*hashed, strict=True))
+            often = _among(grams, frequent.value)
+            bucket = _bucket_of(np.where(often, content, grams), buckets)
+            by = np.lexsort((content, grams, bucket))
+            place, grams, text, left, right, content, bucket = (x[by] for x in (place, grams, text, left, right, content, bucket))
+            yield _rows([
+                (k, _pack(
+                    np.diff(grams[m], prepend=np.uint64(0)), content[m], left[m], right[m],
+                    order[text[m]], mark[text[m]], place[m] - ends[text[m]],
+                ))
+                for k, m in _slices(bucket)
+            ])
 
     return run
 
 
-def _repeated(bits: int):
+def _classes(buckets: int, frequent):
+    """The intervals of one bucket's anchors whose surroundings a smaller document has too, and the
+    map of its grams with several surroundings."""
+    most = MAP_BITS // buckets // 8 * 8
+
     def run(table: pa.Table) -> pa.Table:
-        grams, docs, many = [], [], []
-        for blob in table.column("blob").to_pylist():
-            steps, base, doc, more = _unpack(blob)
-            grams.append(np.cumsum(steps))
-            docs.append(doc + base[0])
-            many.append(more)
-        gram, doc, more = map(np.concatenate, (grams, docs, many))
-        by = np.argsort(gram)
-        gram, doc, more = gram[by], doc[by], more[by]
-        at = _starts(gram)
-        twice = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | np.logical_or.reduceat(more, at)
+        parts = [_unpack(b) for b in table.column("blob").to_pylist()]
+        parts = [[np.cumsum(p[0], dtype=np.uint64), *p[1:]] for p in parts]
+        gram, content, left, right, order, mark, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        by = np.lexsort((content, gram))
+        gram, content, left, right, order, mark, place = (x[by] for x in (gram, content, left, right, order, mark, place))
+        first = _starts(gram, content)
+        sizes = np.diff(np.append(first, len(gram)))
+        least = np.repeat(np.minimum.reduceat(order, first), sizes)
+        early, late = left.astype(np.int64), np.maximum(LENGTH - right.astype(np.int64), 0)
+        hit = (order > least) & (early >= late)  # strings start from `early` to `late` before the anchor
+        covered = _joined(order[hit], mark[hit], (place - early)[hit], (place - late)[hit] + LENGTH)
+        kinds = gram[first]
+        at = _starts(kinds)
+        several = kinds[at][np.diff(np.append(at, len(kinds))) > 1]
+        several = several[~_among(several, frequent.value)]
+        bits = int(np.clip(len(several) * GRAM_BITS // 8 * 8, 8, max(8, most)))
         flags = np.zeros(bits, bool)
-        flags[gram[at][twice] % np.uint64(bits)] = True
-        return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+        flags[(several & _LOW) % np.uint64(bits)] = True
+        n = covered.num_rows
+        return pa.table({
+            "bucket": pa.array([int(table.column("bucket")[0].as_py())] + [None] * n, pa.int64()),
+            "bits": pa.array([np.packbits(flags).tobytes()] + [None] * n, pa.binary()),
+            **{c: pa.concat_arrays([pa.array([None], pa.int64()), covered.column(c).combine_chunks()]) for c in covered.column_names},
+        })
 
     return run
 
 
-# ---- the second scan: suffixes around repeated grams -----------------------------------------------
+def _joined(order: np.ndarray, mark: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Table:
+    """Intervals (order, mark, start, stop), joined where they follow each other."""
+    if len(order):
+        by = np.lexsort((stop, start, mark, order))
+        order, mark, start, stop = order[by], mark[by], start[by], stop[by]
+        own = np.zeros(len(order), bool)
+        own[_starts(order, mark)] = True
+        # the reach so far inside a document: texts are numbered so that their reaches do not mix
+        text = np.cumsum(own) - 1
+        width = int(stop.max()) + 1
+        reach = np.maximum.accumulate(stop + text * width) - text * width
+        new = own.copy()
+        new[1:] |= start[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        order, mark, start, stop = order[at], mark[at], start[at], np.maximum.reduceat(stop, at)
+    return pa.table({"order": order, "mark": mark.astype(np.int64), "start": start, "stop": stop})
 
 
-def _mix(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of bytes."""
-    h = np.full(len(rows), np.uint64(len(rows[0]) if len(rows) else 0))
-    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    padded[:, : rows.shape[1]] = rows
-    for column in padded.view(np.uint64).T:
-        h = (h ^ column) * np.uint64(_ODD)
-        h ^= h >> np.uint64(32)
-    return h
+# ---- bytes: suffixes around grams with several surroundings ------------------------------------------
 
 
-def _suffix_batches(buckets: int, bits: int, maps):
+def _suffix_batches(buckets: int, maps, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = maps.value
+        flags, starts, bits = maps.value
         for batch in _portions(batches):
             order, mark, data, ends = _columns(batch)
             place, grams = anchors(data, ends)
-            bit = (grams & _LOW) % np.uint64(bits)
-            index = (_bucket_of(grams, buckets) * np.uint64(bits // 8) + (bit >> np.uint64(3))).astype(np.int64)
-            hit = (flags[index] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1 > 0
-            place, grams = place[hit], grams[hit]
+            bucket = _bucket_of(grams, buckets).astype(np.int64)
+            bit = (grams & _LOW) % bits[bucket]
+            hit = (flags[starts[bucket] + (bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1 > 0
+            often = _among(grams, frequent.value)
+            place, grams, often = (x[hit | often] for x in (place, grams, often))
             if not len(place):
                 continue
-            text = np.searchsorted(ends, place, "right") - 1
-            left = np.minimum(place - ends[text], BEFORE)
-            right = np.minimum(ends[text + 1] - place, LENGTH)
-            columns = np.arange(-BEFORE, LENGTH, dtype=np.int8)
-            margin = np.zeros(LENGTH, np.uint8)
-            around = np.lib.stride_tricks.sliding_window_view(
-                np.concatenate([margin[:BEFORE], data[ends[0] : ends[-1]], margin]), CONTEXT
-            )[place - ends[0]]
-            around[(columns < -left.astype(np.int8)[:, None]) | (columns >= right.astype(np.int8)[:, None])] = 0
-            content = _mix(np.column_stack([around, left.astype(np.uint8), right.astype(np.uint8)]))
+            text, left, right, around, content = _surroundings(place, data, ends)
+            if often.any():
+                # a frequent gram goes by what is before it, and once more by what is behind
+                sides = [
+                    _mix(np.column_stack([around[often][:, cut], grams[often].view(np.uint8).reshape(-1, 8)])) ^ np.uint64(k)
+                    for k, cut in enumerate((slice(BEFORE - SIDE, BEFORE), slice(BEFORE + GRAM, BEFORE + GRAM + SIDE)))
+                ]
+                grams = np.concatenate([grams[~often], *sides])
+                place, text, left, right, around, content = (
+                    np.concatenate([x[~often], x[often], x[often]]) for x in (place, text, left, right, around, content)
+                )
             by = np.lexsort((content, grams))
             place, grams, text, content = place[by], grams[by], text[by], content[by]
             first = _starts(grams, content)
@@ -270,11 +374,11 @@ def _suffix_batches(buckets: int, bits: int, maps):
             chosen = by[first]
             upto = np.append(first, len(by))
             packed = []
-            for bucket, s in _slices(_bucket_of(grams[first], buckets)):
+            for k, s in _slices(_bucket_of(grams[first], buckets)):
                 m = slice(int(upto[s.start]), int(upto[s.stop]))
-                packed.append((bucket, _pack(
-                    grams[first[s]] & _LOW, around[chosen[s]], left[chosen[s]].astype(np.uint8),
-                    right[chosen[s]].astype(np.uint8), counts[s], order[text[m]], mark[text[m]], (place - ends[text])[m],
+                packed.append((k, _pack(
+                    grams[first[s]], around[chosen[s]], left[chosen[s]], right[chosen[s]],
+                    counts[s], order[text[m]], mark[text[m]], (place - ends[text])[m],
                 )))
             yield _rows(packed)
 
@@ -315,7 +419,7 @@ def _previous_factors(keyed: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _covered(table: pa.Table) -> pa.Table:
     """(order, mark, start, stop): the strings around one bucket's anchors that start in a smaller
-    document too, joined where they follow each other."""
+    document with other surroundings, joined where they follow each other."""
     parts = [_unpack(b) for b in table.column("blob").to_pylist()]
     gram, around, left, right, counts, order, mark, place = (np.concatenate(c) for c in zip(*parts, strict=True))
     left, right = left.astype(np.int64), right.astype(np.int64)
@@ -331,11 +435,8 @@ def _covered(table: pa.Table) -> pa.Table:
     least = np.full(len(first), LAST)
     np.minimum.at(least, member, order)
     early, late = left, np.maximum(LENGTH - right, 0)  # strings start from `early` to `late` before the anchor
-    # Members of a class whose least document is another one: all strings are covered.
-    found = []
-    hit = (order > least[member]) & (early >= late)[member]
-    k = member[hit]
-    found.append((order[hit], mark[hit], place[hit] - early[k], place[hit] - late[k] + LENGTH))
+    nothing = np.zeros(0, np.int64)
+    found = [(nothing, nothing, nothing, nothing)]
     # Grams with several classes: strings may be shared by some of the offsets only.
     group_at = _starts(gram)
     sizes = np.diff(np.append(group_at, len(gram)))
@@ -347,36 +448,35 @@ def _covered(table: pa.Table) -> pa.Table:
         high = np.minimum(early[several], behind)
         low = np.maximum(late[several], LENGTH - ahead)
         several, high, low = (x[high >= low] for x in (several, high, low))
-    if len(several):
-        spread = high - low + 1
-        who = np.repeat(several, spread)
-        offset = np.repeat(low, spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
+    # Members of a class follow each other here.
+    by = np.argsort(member, kind="stable")
+    upto = np.searchsorted(member[by], np.arange(len(first) + 1))
+    total = np.cumsum(high - low + 1) if len(several) else nothing
+    a = 0
+    while a < len(several):
+        # whole groups, until their suffixes fill a portion
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + SUFFIXES, "right"))
+        b = int(np.searchsorted(group[several], group[several[max(b, a + 1) - 1]], "right"))
+        spread = high[a:b] - low[a:b] + 1
+        who = np.repeat(several[a:b], spread)
+        offset = np.repeat(low[a:b], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
         keyed = np.empty((len(who), 4 + LENGTH), np.uint8)
         keyed[:, :4] = group[who].astype(">u4").view(np.uint8).reshape(-1, 4)
-        step = 1 << 18
-        for a in range(0, len(who), step):
-            w, o = who[a : a + step], offset[a : a + step]
-            keyed[a : a + step, 4:] = around[w[:, None], (BEFORE - o)[:, None] + np.arange(LENGTH)]
+        step = 1 << 16
+        for c in range(0, len(who), step):
+            w, o = who[c : c + step], offset[c : c + step]
+            keyed[c : c + step, 4:] = around[w[:, None], (BEFORE - o)[:, None] + np.arange(LENGTH)]
         factor = _previous_factors(keyed, least[who])
-        news = factor < least[who]  # else the class itself has it above
-        who, offset, factor = who[news], offset[news], factor[news]
+        news = factor < least[who]  # else the hashes have found it
+        who, offset = who[news], offset[news]
         # Every member of the class is later than that document.
-        by = np.argsort(member, kind="stable")
-        at = np.searchsorted(member[by], np.arange(len(first) + 1))
-        times = at[who + 1] - at[who]
-        row = by[np.repeat(at[who], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        times = upto[who + 1] - upto[who]
+        row = by[np.repeat(upto[who], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
         start = place[row] - np.repeat(offset, times)
-        found.append((order[row], mark[row], start, start + LENGTH))
-    order, mark, start, stop = (np.concatenate(c) for c in zip(*found, strict=True))
-    if len(order):
-        by = np.lexsort((start, mark, order))
-        order, mark, start, stop = order[by], mark[by], start[by], stop[by]
-        new = np.zeros(len(order), bool)
-        new[_starts(order, mark)] = True
-        new[1:] |= start[1:] > stop[:-1]  # strings of one length follow each other in the order of their ends
-        at = np.flatnonzero(new)
-        order, mark, start, stop = order[at], mark[at], start[at], np.maximum.reduceat(stop, at)
-    return pa.table({"order": order, "mark": mark.astype(np.int64), "start": start, "stop": stop})
+        part = _joined(order[row], mark[row], start, start + LENGTH)
+        found.append(tuple(part.column(k).to_numpy() for k in range(4)))
+        a = b
+    return _joined(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
 # ---- the texts without what is covered -----------------------------------------------------------
@@ -413,22 +513,30 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+INTERVAL = "order long, mark long, start long, stop long"
+
+
 def covered_intervals(rows: DataFrame) -> DataFrame:
     """(order, mark, text) -> (order, mark, start, stop) of covered bytes; they may overlap."""
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
-    bits = max(8, MAP_BITS // buckets // 8 * 8)
-    maps = np.zeros(buckets * bits // 8, np.uint8)
-    repeated = rows.mapInArrow(_gram_batches(buckets), "bucket long, blob binary").groupBy("bucket").applyInArrow(
-        _repeated(bits), "bucket long, bits binary"
+    frequent = spark.sparkContext.broadcast(frequent_grams(rows, total))
+    classes = stage(
+        rows.mapInArrow(_class_batches(buckets, frequent), "bucket long, blob binary").groupBy("bucket")
+        .applyInArrow(_classes(buckets, frequent), f"bucket long, bits binary, {INTERVAL}")
     )
-    for r in repeated.toLocalIterator():  # a map of fixed size in all
-        maps[r["bucket"] * (bits // 8) : (r["bucket"] + 1) * (bits // 8)] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(maps)
-    return rows.mapInArrow(_suffix_batches(buckets, bits, shared), "bucket long, blob binary").groupBy("bucket").applyInArrow(
-        _covered, "order long, mark long, start long, stop long"
+    # The map: for each bucket where its bytes start and how many bits it has.
+    starts, bits, parts, at = np.zeros(buckets, np.int64), np.full(buckets, 8, np.uint64), [b"\0"], 1
+    for r in classes.where("bits IS NOT NULL").select("bucket", "bits").toLocalIterator():  # MAP_BITS in all
+        starts[r["bucket"]], bits[r["bucket"]] = at, 8 * len(r["bits"])
+        parts.append(bytes(r["bits"]))
+        at += len(r["bits"])
+    maps = spark.sparkContext.broadcast((np.frombuffer(b"".join(parts), np.uint8), starts, bits))
+    partly = rows.mapInArrow(_suffix_batches(buckets, maps, frequent), "bucket long, blob binary").groupBy("bucket").applyInArrow(
+        _covered, INTERVAL
     )
+    return classes.where("bits IS NULL").select("order", "mark", "start", "stop").unionByName(partly)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -442,24 +550,36 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     the same row each. A null text is empty. Other columns are not read. An empty table gives no
     rows. A text that is copied as a whole goes as a whole if it has 50 bytes.
 
-    What is shuffled: about 6 bytes per anchor (one in 13 bytes of text), once per batch and gram;
-    anchors of repeated grams with 74 bytes around them, once per batch and content; the intervals;
-    and the texts once, to meet their intervals. A gram that is in very many texts is reduced to
-    its contents in each batch before the shuffle; 12 bytes per text remain and meet in one task."""
-    mark = F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1)).alias("mark")
+    What is shuffled: digests of texts; about 16 bytes per anchor (one in 13 bytes of text) of texts that
+    are no whole copies; 74 bytes around anchors whose gram has several surroundings, once per batch and
+    surroundings; the intervals; and the texts that are no whole copies once, to meet theirs."""
+    order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     rows = df.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("order"), F.col(key).alias("_key"),
-        text_or_empty(text).cast("binary").alias("text"),
+        order.alias("order"), F.col(key).alias("_key"), text_or_empty(text).cast("binary").alias("text"),
+        F.md5(text_or_empty(text)).alias("_digest"),
     )
-    found = stage(covered_intervals(rows.select("order", mark, "text")))
+    copies = stage(
+        rows.groupBy("_digest").agg(F.min("order").alias("_least"), F.max("order").alias("_most")).where("_least < _most").drop("_most")
+    )
+    # A mark tells texts of one key apart; where no key repeats it is 0, which packs to nothing.
+    again = not rows.groupBy("order").count().where("count > 1").isEmpty()
+    mark = F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1)) if again else F.lit(0).cast("long")
+    marked = rows.withColumn("mark", mark).join(bounded(copies), "_digest", "left")
+    copied = F.coalesce(F.col("_least") < F.col("order"), F.lit(False))
+    first = marked.where(~copied).select("order", "mark", "_key", "text")
+    found = stage(covered_intervals(first.select("order", "mark", "text")))
     intervals = found.groupBy("order", "mark").agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
     )
-    joined = rows.select("order", mark, "_key", "text").join(intervals, ["order", "mark"], "left")
+    size = F.octet_length("text").cast("long")
+    whole = lambda c: F.when(size >= LENGTH, F.array(c))
+    judged = first.join(intervals, ["order", "mark"], "left").select("_key", "text", "starts", "stops").unionByName(
+        marked.where(copied).select("_key", "text", whole(F.lit(0).cast("long")).alias("starts"), whole(size).alias("stops"))
+    )
     schema = T.StructType([
         T.StructField("_key", df.schema[key].dataType), T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
         T.StructField("kept_sha256", T.StringType()), T.StructField("starts", T.ArrayType(T.LongType())),
         T.StructField("stops", T.ArrayType(T.LongType())),
     ])
-    return joined.select("_key", "text", "starts", "stops").mapInArrow(_finish, schema).withColumnRenamed("_key", key)
+    return judged.mapInArrow(_finish, schema).withColumnRenamed("_key", key)

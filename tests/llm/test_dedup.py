@@ -156,6 +156,28 @@ def test_repeats_of_random_texts(spark, monkeypatch):
     same_repeats(spark, rows)
 
 
+@pytest.mark.parametrize("least", [2, 10**9])
+def test_repeats_around_a_common_line(spark, monkeypatch, least):
+    """A line of 30 bytes in a third of the texts, mostly with unlike surroundings; some share what is
+    before it, some what is behind, and some both in part. Frequent or not, the same is found."""
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "FREQUENT_TEXTS", least)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    line = "This line is in many, many texts"[:30]
+    before, behind = noise(40), noise(40)
+    rows = []
+    for i in range(150):
+        if i % 3:
+            rows.append((i, noise(rng.randint(0, 200))))
+        else:
+            head = noise(rng.randint(0, 60)) + (before[rng.randint(0, 40) :] if rng.random() < 0.3 else "")
+            tail = (behind[: rng.randint(0, 40)] if rng.random() < 0.3 else "") + noise(rng.randint(0, 60))
+            rows.append((i, head + line + tail))
+    rows += [(200 + i, rows[3 * i][1]) for i in range(5)] + [(3, rows[6][1]), (3, rows[6][1]), (None, rows[9][1] + "x")]
+    same_repeats(spark, rows)
+
+
 def test_anchors_across_blocks(monkeypatch):
     """Cutting the work into blocks does not change the anchors, and every string has one."""
     rng = np.random.default_rng(3)
