@@ -9,6 +9,8 @@ from docreview.session import stage
 BROADCAST_BYTES = 32 << 20
 #: Parts into which a shuffle cuts each pair of characters, as a third of all sections may have it.
 SALTS = 32
+#: Rows of one group that meet the strings in one such part.
+SALT_ROWS = 4_096
 
 
 def character_pairs(value: Column) -> Column:
@@ -23,7 +25,7 @@ def file_strings(strings: DataFrame, by: list[str]) -> DataFrame:
     grams = F.when(short, F.array("s")).otherwise(character_pairs(F.col("s")))
     spread = strings.select(*by, "s").distinct().withColumn("gram", F.explode(grams))
     common = spread.groupBy("gram").agg(F.count("*").alias("_n"))
-    return spread.join(common, "gram").groupBy(*by, "s").agg(F.min(F.struct("_n", "gram"))["gram"].alias("gram"))
+    return spread.join(common.hint("merge"), "gram").groupBy(*by, "s").agg(F.min(F.struct("_n", "gram"))["gram"].alias("gram"))
 
 
 def containing(rows: DataFrame, strings: DataFrame, by: list[str], key: list[str]) -> DataFrame:
@@ -32,7 +34,10 @@ def containing(rows: DataFrame, strings: DataFrame, by: list[str], key: list[str
 
     Writes the index of the strings, which is as large as they are. Within BROADCAST_BYTES it is
     sent to the rows. Beyond that, distinct pairs of characters meet it by a shuffle, in SALTS parts
-    each, and the strings found are joined back to their rows. Equal for both: the rows."""
+    each at most (as many as the largest group of rows calls for), and the strings found are joined back to their rows. Equal for both: the rows.
+
+    Spark takes exploded rows to be as many as the rows they come from, and would broadcast them. The
+    hints keep all joins of the larger way shuffles."""
     index = stage(file_strings(strings, by))
     size, single, empty = index.agg(
         F.coalesce(F.sum(F.octet_length("s") + 40), F.lit(0)), F.max(F.char_length("s") == 1), F.max(F.col("s") == "")
@@ -45,10 +50,12 @@ def containing(rows: DataFrame, strings: DataFrame, by: list[str], key: list[str
     if size <= BROADCAST_BYTES:
         met = rows.withColumn("gram", F.explode(grams)).join(F.broadcast(index), [*by, "gram"])
         return met.where(F.contains("_blob", "s")).drop("gram")
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    salts = min(SALTS, -(-largest // SALT_ROWS) or 1)
     row = F.struct(*key)
     narrow = rows.select(*by, row.alias("_row"), F.explode(grams).alias("gram")).withColumn(
-        "_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))
+        "_salt", F.pmod(F.xxhash64("_row"), F.lit(salts))
     )
-    parts = index.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    found = narrow.join(parts, [*by, "gram", "_salt"]).select("_row", "s").distinct()
-    return rows.withColumn("_row", row).join(found, "_row").where(F.contains("_blob", "s")).drop("_row")
+    parts = index.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    found = narrow.join(parts.hint("merge"), [*by, "gram", "_salt"]).select("_row", "s").distinct()
+    return rows.withColumn("_row", row).join(found.hint("merge"), "_row").where(F.contains("_blob", "s")).drop("_row")

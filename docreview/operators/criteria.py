@@ -1,5 +1,9 @@
 """Scoring-table preparation: cleaning the tender text, cutting criteria, reading tiers, checking
-sources against each other, and the outline of review points."""
+sources against each other, and the outline of review points.
+
+Joins of rows per item or per chunk are hinted as merge joins: both sides grow with the tenders, and
+Spark, which sees the size of their compressed files or of the rows before `explode`, would
+broadcast them."""
 
 from collections.abc import Callable
 
@@ -94,8 +98,8 @@ def locate_names(source: DataFrame, items: DataFrame) -> DataFrame:
     places = _first_places(source, items.where("name IS NOT NULL").select("project", F.col("name").alias("s")))
     return (
         items.select(*ITEM, "item_no", "name")
-        .join(source.select("project").distinct(), "project", "left_semi")
-        .join(places.select("project", F.col("s").alias("name"), "pos"), ["project", "name"], "left")
+        .join(source.select("project").distinct().hint("merge"), "project", "left_semi")
+        .join(places.select("project", F.col("s").alias("name"), "pos").hint("merge"), ["project", "name"], "left")
         .withColumn("pos", F.coalesce("pos", F.lit(0)))
         .withColumn("next_pos", F.lead("pos").over(order))
         .withColumn("in_order", (F.col("pos") > 0) & (F.coalesce(F.lag("pos").over(order), F.lit(0)) <= F.col("pos")))
@@ -113,12 +117,12 @@ def _segments(source: DataFrame, placed: DataFrame) -> DataFrame:
     chunks = dense_chunks(source, 0).withColumnRenamed("no", "_no")
     total = F.coalesce(F.col("next_pos") - 1, F.lit(2**31 - 1 - _STEP))
     ends = dense_chunks(source, 0).groupBy("project").agg(F.max(F.col("start") + F.char_length("_blob")).alias("_length"))
-    spans = placed.where("pos > 0").join(ends, "project").withColumn(
+    spans = placed.where("pos > 0").join(ends.hint("merge"), "project").withColumn(
         "_last", F.least(total, F.col("_length"))
     ).where("_last >= pos").select(*ITEM, "pos", "_last", F.explode(_covered(F.col("pos"), F.col("_last"))).alias("_no"))
     low = F.greatest(F.col("pos") - F.col("start"), F.lit(1))
     piece = F.substr("_blob", low, F.col("_last") - F.col("start") - low + 1)
-    return spans.join(chunks, ["project", "_no"]).withColumn("_piece", piece).groupBy(*ITEM).agg(
+    return spans.join(chunks.hint("merge"), ["project", "_no"]).withColumn("_piece", piece).groupBy(*ITEM).agg(
         scan.ordered_join("_piece", "_no", "").alias("seg")
     )
 
@@ -139,7 +143,7 @@ def _spaced(source: DataFrame, hits: DataFrame) -> DataFrame:
     first = F.greatest(F.col("_dense") + F.when(F.col("_size") > 0, 1).otherwise(0), F.lit(1))
     spread = raw.withColumn("_part", F.explode(_covered(first, F.greatest(F.col("_dense") + F.col("_size"), first))))
     wanted = hits.select(*ITEM, "lo", "hi", F.explode(_covered(F.col("lo"), F.col("hi"))).alias("_part"))
-    met = wanted.join(spread, ["project", "_part"]).where("_dense < hi AND _dense + _size >= lo").dropDuplicates(
+    met = wanted.join(spread.hint("merge"), ["project", "_part"]).where("_dense < hi AND _dense + _size >= lo").dropDuplicates(
         [*ITEM, "_no"]
     )
     solid_at = F.array_compact(
@@ -163,7 +167,7 @@ def segment_criteria(source: DataFrame, items: DataFrame) -> DataFrame:
     The text is searched and cut in chunks; an item holds its own segment only."""
     placed = locate_names(source, items)
     sound = placed.groupBy("project").agg(F.bool_and("in_order").alias("ok"))
-    judged = stage(placed.join(sound, "project"))
+    judged = stage(placed.join(sound.hint("merge"), "project"))
     # Every occurrence of the name in the segment, as the offset of its first character.
     starts = F.expr(
         "transform(sequence(1, greatest(size(split(seg, concat('\\\\Q', name, '\\\\E'), -1)) - 1, 1)),"
@@ -180,7 +184,7 @@ def segment_criteria(source: DataFrame, items: DataFrame) -> DataFrame:
     )
     good = F.filter(F.col("tails"), lambda t: F.contains(t["body"], F.lit(_BASIS)))
     hits = (
-        judged.where("ok").join(_segments(source, judged.where("ok")), ITEM)
+        judged.where("ok").join(_segments(source, judged.where("ok")).hint("merge"), ITEM)
         .withColumn("starts", starts)
         .withColumn("tails", tails)
         .withColumn("hit", F.element_at(F.when(F.size(good) > 0, good), -1))
@@ -188,18 +192,18 @@ def segment_criteria(source: DataFrame, items: DataFrame) -> DataFrame:
         .select(*ITEM, (F.col("pos") + F.col("hit.start")).alias("lo"), F.length("hit.body").alias("n"))
         .withColumn("hi", F.col("lo") + F.col("n") - 1)
     )
-    return judged.select(*ITEM, "item_no", "name", "ok").join(_spaced(source, hits), ITEM, "left")
+    return judged.select(*ITEM, "item_no", "name", "ok").join(_spaced(source, hits).hint("merge"), ITEM, "left")
 
 
 def verify_verbatim(criteria: DataFrame, source: DataFrame) -> DataFrame:
     """Is the criteria text, without blanks, a part of the source without blanks?"""
     dense = stage(
         criteria.select(*ITEM, text.squeeze(F.coalesce("criteria", F.lit(""))).alias("s")).join(
-            source.select("project").distinct(), "project", "left_semi"
+            source.select("project").distinct().hint("merge"), "project", "left_semi"
         )
     )
     found = _first_places(source, dense.where("s <> ''").select("project", "s")).select("project", "s", "pos")
-    return dense.join(found, ["project", "s"], "left").select(
+    return dense.join(found.hint("merge"), ["project", "s"], "left").select(
         *ITEM, ((F.col("s") == "") | F.col("pos").isNotNull()).alias("verbatim")
     )
 
@@ -209,7 +213,7 @@ def verify_ranges(criteria: DataFrame, items: DataFrame) -> DataFrame:
     expected = F.array_sort(
         F.transform("tiers", lambda t: F.struct(t["min"].alias("min"), t["max"].alias("max")))
     )
-    return criteria.join(items.select(*ITEM, "tiers"), ITEM).select(
+    return criteria.join(items.select(*ITEM, "tiers").hint("merge"), ITEM).select(
         *ITEM, (text.parse_ranges(F.coalesce("criteria", F.lit(""))) == expected).alias("tiers_ok")
     )
 
@@ -233,17 +237,17 @@ def reconcile_sources(source: DataFrame, external: DataFrame, items: DataFrame)
             F.transform("tiers", lambda t: F.struct(t["min"].alias("min"), t["max"].alias("max"), t["tier"].alias("tier")))
         ).alias("system_tiers"),
     )
-    named = first_external(external).join(source.select("project").distinct(), "project", "left_semi").withColumn(
+    named = first_external(external).join(source.select("project").distinct().hint("merge"), "project", "left_semi").withColumn(
         "s", text.squeeze(F.col("name"))
     )
     places = _first_places(source, named.where("s IS NOT NULL").select("project", "s"), _RANGE_WINDOW)
     rows = (
-        named.join(places, ["project", "s"], "left")
+        named.join(places.hint("merge"), ["project", "s"], "left")
         .withColumn("_pos", F.when(F.col("s").isNotNull(), F.coalesce("pos", F.lit(0))))
         .withColumn("source_ranges", text.range_texts(F.coalesce("near", F.lit(""))))
         .withColumn("external_ranges", text.range_texts(text.squeeze(F.coalesce("desc", F.lit("")))))
     )
-    return rows.join(configured, ["project", "guid"], "left").select(
+    return rows.join(configured.hint("merge"), ["project", "guid"], "left").select(
         "project", "guid", F.coalesce("item_id", F.lit("")).alias("item_id"), "name", "max_score",
         (F.col("_pos") > 0).alias("name_found"), "source_ranges", "external_ranges", "system_tiers",
         ((F.size("source_ranges") == 3) & (F.col("source_ranges") == F.col("external_ranges"))).alias("match"),

@@ -246,7 +246,7 @@ def verify_criteria(spark, d):
         ).alias("text")
     )
     return criteria.verify_verbatim(found, raw).join(
-        criteria.verify_ranges(found, fx.tender_items(spark, d)), ITEM
+        criteria.verify_ranges(found, fx.tender_items(spark, d)).hint("merge"), ITEM
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docreview import schemas
-from docreview.functions import answers, text
+from docreview.functions import answers, substrings, text
 from docreview.operators import criteria, quality, review, runs
 from docreview.plans import fixtures
 
@@ -290,6 +290,24 @@ def test_criteria_over_the_edges_of_chunks(spark, monkeypatch, step):
     assert {r.item_id: r.verbatim for r in criteria.verify_verbatim(asked, source).collect()} == {"a": True, "b": False, "c": True, "d": False}
 
 
+def test_tender_joins_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Exploded rows and rows from small compressed files look small to Spark; they must be shuffled."""
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(substrings, "SALT_ROWS", 1)
+    lines = spark.createDataFrame([("p", 0, "甲项 方案"), ("p", 1, "甲项方案，评委根据方案 1-2分。相关标书内容在甲项方案中体现。")], "project string, line_no int, text string")
+    items = spark.createDataFrame([("p", 0, "T1", "g1", "甲项方案", 4.0, "c", None, None, [])], schemas.ITEMS)
+    external = spark.createDataFrame([("p", "g1", 1, "甲项方案", "1-2分")], "project string, guid string, row_no int, name string, desc string")
+    source = criteria.clean_lines(lines, "#")
+    found = criteria.segment_criteria(source, items)
+    assert found.where("ok AND criteria IS NOT NULL").count() == 1
+    for rows in (
+        found, criteria.verify_verbatim(found, source), criteria.verify_ranges(found, items),
+        criteria.reconcile_sources(source, external, items),
+    ):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_exact_rounding(spark):
     values = [4.25, 0.15, 2.675, 1.005, 0.25, 0.35, -0.25, -4.35, 2.5, 0.05, 83.25, 83.35, 0.0, 1e9 + 0.05, 7.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
