@@ -44,10 +44,9 @@ def feed(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
 
 
-def write_documents(files: DataFrame, folder: str) -> list[str]:
-    """Write each `value` as a file of its own below project=<project>; the projects, in order."""
+def write_documents(files: DataFrame, folder: str) -> None:
+    """Write each `value` as a file of its own below project=<project>."""
     files.select("project", "value").write.option("maxRecordsPerFile", 1).partitionBy("project").text(folder)
-    return sorted(r.project for r in files.sparkSession.read.text(folder).select(F.col("project").cast("string")).distinct().collect())
 
 
 def _guid(number: Column) -> Column:

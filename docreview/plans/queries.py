@@ -1085,17 +1085,14 @@ def section_files(spark, d):
     """The section index written, and section files (arrays and wrapped ones) read back from it."""
     folder = fx.feed(spark)
     writers.write_sections(fx.sections(spark, d), f"{folder}/index")
-    index = spark.read.parquet(f"{folder}/index").withColumn("part", F.floor(F.col("file_no") / 64))
+    index = spark.read.parquet(f"{folder}/index").withColumn("part", F.floor(F.col("file_no") / 1024))
     row = F.struct(*schemas.SECTION_FIELDS, "bidder")
     body = F.collect_list(row)
     files = index.groupBy("project", "bidder", "part").agg(
         F.when(F.first("part") % 2 == 0, F.to_json(body)).otherwise(F.to_json(F.struct(body.alias("sections")))).alias("value")
     )
-    whole = None
-    for project in fx.write_documents(files, f"{folder}/files"):
-        rows = readers.read_sections(spark, f"{folder}/files/project={project}", project, glob="*.txt")
-        whole = rows if whole is None else whole.unionByName(rows)
-    return whole.select(
+    fx.write_documents(files, f"{folder}/files")
+    return readers.read_sections(spark, f"{folder}/files", None, glob="*.txt").select(
         *SECTION, "file", "item_guid", _joined("path", " > "), "level", "page", "text", "char_len", "file_no", "seq"
     )
 
@@ -1107,11 +1104,8 @@ def package_files(spark, d):
     files = packages.groupBy("project", F.col("bidder").alias("part")).agg(
         F.to_json(F.struct(F.collect_list(F.struct(*[c for c in packages.columns if c != "project"])).alias("evidence_packages"))).alias("value")
     )
-    whole = None
-    for project in fx.write_documents(files, folder):
-        rows = readers.read_packages(spark, f"{folder}/project={project}", project, glob="*.txt")
-        whole = rows if whole is None else whole.unionByName(rows)
-    return whole.select(
+    fx.write_documents(files, folder)
+    return readers.read_packages(spark, folder, None, glob="*.txt").select(
         *PAIR, "item_guid", "name", "candidates", "units", "fallback", "evidence_chars", "budget", "pool_sections",
         F.array_join(F.transform("picked", lambda p: F.concat(p["section_id"], F.lit("@"), F.coalesce(p["page"].cast("string"), F.lit("-")))), "|").alias("picks"),
     )
@@ -1128,15 +1122,9 @@ def review_files(spark, d):
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("pos", body(expert).alias("r")))), lambda x: x["r"])
     fx.write_documents(expert.groupBy("project").agg(F.to_json(in_order).alias("value")), f"{folder}/e")
     table = F.struct("project", F.collect_list(F.struct(F.col("item_id").alias("id"), F.upper("guid").alias("guid"), "name", "max_score", "criteria", "tiers")).alias("items"))
-    names = fx.write_documents(items.groupBy("project").agg(F.to_json(table).alias("value")), f"{folder}/t")
-    whole = None
-    for project in names:
-        own = readers.read_review_file(spark, f"{folder}/r/project={project}", project)
-        records = readers.read_expert_reviews(spark, f"{folder}/e/project={project}", project)
-        read = readers.read_scoring_table(spark, f"{folder}/t/project={project}").drop("item_no")
-        rows = report.totals(own, read, records)
-        whole = rows if whole is None else whole.unionByName(rows)
-    return whole
+    fx.write_documents(items.groupBy("project").agg(F.to_json(table).alias("value")), f"{folder}/t")
+    own, records = readers.read_review_file(spark, f"{folder}/r", None), readers.read_expert_reviews(spark, f"{folder}/e", None)
+    return report.totals(own, readers.read_scoring_table(spark, f"{folder}/t/project=*").drop("item_no"), records)
 
 
 @query

@@ -171,6 +171,15 @@ def _file_stem() -> Column:
     return F.regexp_replace(name, r"\.json$", "")
 
 
+def _project(project: str | None, folder: Column) -> Column:
+    """The project given, else that of the folder `project=<project>`, as Spark's writers name it."""
+    if project is not None:
+        return F.lit(project)
+    own = F.regexp_extract(folder, "(?s)^project=(.*)$", 1)
+    own = F.when(~own.isin("", "__HIVE_DEFAULT_PARTITION__"), own)
+    return F.url_decode(F.replace(own, F.lit("+"), F.lit("%2B")))
+
+
 _SECTION_BODY = (
     "id string, file string, item_guid string, path array<string>, level int, page int, "
     "text string, char_len int, bidder string"
@@ -215,26 +224,27 @@ def _as_struct(ddl: str) -> str:
     return ",".join(f.strip().replace(" ", ":", 1) for f in _split_fields(ddl))
 
 
-def read_sections(spark: SparkSession, path, project: str, glob: str | None = None) -> DataFrame:
-    """Section files. Rows without a bidder take the name of their folder."""
+def read_sections(spark: SparkSession, path, project: str | None, glob: str | None = None) -> DataFrame:
+    """Section files. Rows without a bidder take the name of their folder. Without a project, each
+    file takes its own from its folder, `project=<project>`: one read for all projects."""
     rows = _array_or_wrapped(spark, path, _SECTION_BODY, ["sections"], "id", "sections", glob)
     number = lambda i: F.split_part("id", F.lit("#"), F.lit(i)).try_cast("int")
     return rows.select(
-        F.lit(project).alias("project"), F.coalesce(F.nullif("bidder", F.lit("")), "_dir").alias("bidder"),
+        _project(project, F.col("_dir")).alias("project"), F.coalesce(F.nullif("bidder", F.lit("")), "_dir").alias("bidder"),
         *schemas.SECTION_FIELDS, number(1).alias("file_no"), number(2).alias("seq"),
         F.col("bidder").alias("bidder_in"), "pos",
     )
 
 
-def read_packages(spark: SparkSession, path, project: str, glob: str | None = None) -> DataFrame:
-    """Evidence package files; `pos` is the place in the file."""
+def read_packages(spark: SparkSession, path, project: str | None, glob: str | None = None) -> DataFrame:
+    """Evidence package files; `pos` is the place in the file. `project` as in `read_sections`."""
     rows = _array_or_wrapped(
         spark, path, _PACKAGE_BODY, ["evidence_packages", "packages"], "picked", "packages", glob
     )
     empty = F.array().cast(f"array<{schemas.PICK}>")
     return rows.withColumns(
         {
-            "project": F.lit(project),
+            "project": _project(project, F.col("_dir")),
             "bidder": F.coalesce(F.nullif("bidder", F.lit("")), "_dir"),
             "item_id": F.coalesce(F.nullif("item_id", F.lit("")), "point_id"),
             "picked": F.coalesce("picked", empty),
@@ -315,16 +325,17 @@ def read_reviews(spark: SparkSession, folder: str, project: str) -> DataFrame:
     ).drop("_b", "_i")
 
 
-def read_review_file(spark: SparkSession, path: str, project: str) -> DataFrame:
-    """One collected file: its `review_results`, keyed from the rows."""
+def read_review_file(spark: SparkSession, path: str, project: str | None) -> DataFrame:
+    """One collected file: its `review_results`, keyed from the rows. `project` as in `read_sections`."""
     body = _as_struct(_REVIEW_BODY)
-    raw = spark.read.schema(f"review_results array<struct<{body}>>").option("multiLine", True).json(path)
-    return raw.select(F.inline("review_results")).withColumn("project", F.lit(project))
+    reader = spark.read.schema(f"review_results array<struct<{body}>>").option("multiLine", True)
+    raw = reader.option("recursiveFileLookup", project is None).json(path)
+    return raw.select(_project(project, _folder(1)).alias("_project"), F.inline("review_results")).withColumnRenamed("_project", "project")
 
 
-def read_expert_reviews(spark: SparkSession, path: str | None, project: str) -> DataFrame:
+def read_expert_reviews(spark: SparkSession, path: str | None, project: str | None) -> DataFrame:
     """Expert records in list order. No file means no records; an object instead of an array
-    fails the job."""
+    fails the job. `project` as in `read_sections`."""
     body = (
         "bidder string, item_id string, action string, system_score double, expert_score double, "
         "delta double, note string, reviewed_at string"
@@ -332,12 +343,12 @@ def read_expert_reviews(spark: SparkSession, path: str | None, project: str) ->
     if path is None or not _exists(spark, path):
         return spark.createDataFrame([], schemas.EXPERT)
     # The text is one record per file; its first character tells an array from an object.
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", project is None).text(path)
     parsed = F.when(
         F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{_as_struct(body)}>>")
     ).otherwise(F.raise_error(F.lit("expert records must be an array")).cast(f"array<struct<{_as_struct(body)}>>"))
-    rows = raw.select(F.posexplode(parsed).alias("pos", "r"))
-    return rows.select(F.lit(project).alias("project"), "r.*", F.col("pos").cast("long").alias("pos"))
+    rows = raw.select(_project(project, _folder(1)).alias("project"), F.posexplode(parsed).alias("pos", "r"))
+    return rows.select("project", "r.*", F.col("pos").cast("long").alias("pos"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

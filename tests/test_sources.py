@@ -4,6 +4,7 @@ import pytest
 
 from docreview import schemas
 from docreview.operators import sections as sec
+from docreview.plans import queries
 from docreview.sources import readers, writers
 
 
@@ -83,3 +84,25 @@ def test_writers(spark, tmp_path):
     writers.write_sheets({"flags": rows.select("id", "text")}, str(tmp_path / "x"))
     back = spark.read.option("header", True).option("multiLine", True).option("escape", chr(34)).csv(str(tmp_path / "x" / "flags"))
     assert back.first().text == "甲\n乙"
+
+
+def test_files_of_all_projects_in_one_read(spark, tmp_path):
+    """The project is that of the folder, whatever characters it has."""
+    pack = {"item_id": "T1", "name": "n", "picked": [], "budget": 9}
+    put(tmp_path / "e" / "project=P1" / "a.json", {"packages": [{**pack, "bidder": "甲"}]})
+    put(tmp_path / "e" / "project=a%3Ab+c" / "a.json", [{**pack, "bidder": "乙"}])
+    got = readers.read_packages(spark, str(tmp_path / "e"), None, glob="*.json")
+    assert {(r.project, r.bidder) for r in got.collect()} == {("P1", "甲"), ("a:b+c", "乙")}
+    put(tmp_path / "s" / "project=P2" / "a.json", {"sections": [{**SECTION, "bidder": "丁"}]})
+    rows = readers.read_sections(spark, str(tmp_path / "s"), None, glob="*.json").collect()
+    assert [(r.project, r.bidder, r.id) for r in rows] == [("P2", "丁", "1#1")]
+
+
+def test_package_files_takes_one_read_for_all_projects(spark, tmp_path):
+    """The plan does not grow with the projects; all of them come back."""
+    spark.range(3 * 228 * 3 * 4).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id", "'view' AS event_type", "50D AS value", "'' AS props"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    rows = queries.package_files(spark, str(tmp_path))
+    assert "Union" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.select("project").distinct().count() == 3 and rows.count() == 3 * 228
