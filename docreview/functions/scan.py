@@ -9,7 +9,7 @@ group, and the result is joined back on (keys, chunk). The rows are shuffled onc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreview.session import stage
+from docreview.session import release, stage
 
 
 def chunk_of(position: Column, size: int) -> Column:
@@ -60,8 +60,11 @@ def number_rows(
 def rank_rows(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
     """Number the rows of each group from 1 in any order, however large a group is: rows are
     parted by range and written, and a number is the rank inside a range plus the group's rows in
-    the ranges before."""
-    ranged = stage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    the ranges before. The rows are written before they are parted, as Spark reads them twice for
+    that: once for the bounds."""
+    rows = stage(df)
+    ranged = stage(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    release(rows)
     return number_rows(ranged, keys, "_range", order, name).drop("_range")
 
 

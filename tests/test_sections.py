@@ -180,3 +180,17 @@ def test_ranks_of_a_hot_group(spark):
     got = scan.rank_rows(df, ["k"], [F.desc("v"), "id"], "rank").where("k = 'a'").collect()
     order = sorted((r for r in rows if r[0] == "a"), key=lambda r: (-r[1], r[2]))
     assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == [r[2] for r in order]
+
+
+def test_ranking_makes_its_rows_once(spark):
+    """Range bounds come from a written table, not from a second run of what makes the rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.range(50).selectExpr("id % 3 AS k", "id AS v").mapInPandas(count, "k long, v long")
+    assert scan.rank_rows(rows, ["k"], ["v"], "n").where("n = v div 3 + 1").count() == 50
+    assert made.value == 50
