@@ -36,7 +36,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     else:
         runs = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(r, SEED) for r in runs), "<u8")
+    return print_of(np.fromiter((digest(r, SEED) for r in runs), "<u8"))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles with these XXH64, as a signed 64-bit number."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
         block = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)
