@@ -1,12 +1,22 @@
-"""Many strings looked up in many texts: an inverted index of character pairs."""
+"""Many strings looked up in many texts: by their first bytes, or by an inverted index of character pairs."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docreview.session import stage
 
-#: Filed strings of so many bytes at most are broadcast to the sections; more meet them by a shuffle.
+#: Strings of so many bytes at most are sent to the texts; more meet them by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: First bytes of a string by which it is looked up, and bytes of text that are searched at a time.
+HEAD = 4
+PORTION = 1 << 20
+#: Groups times strings up to which a table tells what a group asks for.
+TABLE = 1 << 22
 #: Parts into which a shuffle cuts each pair of characters, as a third of all sections may have it.
 SALTS = 32
 #: Rows of one group that meet the strings in one such part.
@@ -28,28 +38,181 @@ def file_strings(strings: DataFrame, by: list[str]) -> DataFrame:
     return spread.join(common.hint("merge"), "gram").groupBy(*by, "s").agg(F.min(F.struct("_n", "gram"))["gram"].alias("gram"))
 
 
+def _tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, and how often each comes."""
+    values = np.sort(values)
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[at], np.diff(np.append(at, len(values)))
+
+
+class Wanted:
+    """Strings and the groups of texts that ask for each, looked up in a batch of texts at once.
+
+    Bytes of UTF-8 are compared: a string is in a text exactly if its bytes are."""
+
+    def __init__(self, strings: list[str], groups: np.ndarray, which: np.ndarray):
+        """`groups` and `which` go together: the group (a number) and the place of a string it asks for."""
+        self.names = pa.array(strings, pa.string())
+        self.groups = np.unique(groups)
+        own, size = np.searchsorted(self.groups, groups), (len(self.groups), max(1, len(strings)))
+        self.asked, self.table = np.unique(own * size[1] + which), None
+        if size[0] * size[1] <= TABLE:
+            self.table = np.zeros(size, bool)
+            self.table[own, which] = True
+        raw = [s.encode("utf-8", "surrogatepass") for s in strings]
+        self.sizes = np.array([len(r) for r in raw], np.int64)
+        self.empty = np.flatnonzero(self.sizes == 0)
+        self.heads = []  # width, numbers of the first bytes in ascending order, one of them for each of 2^16 folds, strings of each
+        for width in range(1, HEAD + 1):
+            by_head: dict[int, list] = {}
+            for i, r in enumerate(raw):
+                if min(len(r), HEAD) == width:
+                    by_head.setdefault(int.from_bytes(r[:width], "big"), []).append((i, np.frombuffer(r, np.uint8)))
+            codes = np.array(sorted(by_head), np.uint32)
+            slots = np.full(1 << 16, -1, np.int32)
+            slots[(codes ^ codes >> np.uint32(16)) & np.uint32(0xFFFF)] = np.arange(len(codes))
+            if len(codes):
+                self.heads.append((width, codes, slots, [by_head[int(c)] for c in codes]))
+
+    def _search(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, string) for every place where a string stands; texts lie between `ends` in `data`."""
+        texts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        text_of = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+        for width, codes, slots, strings in self.heads:
+            if len(data) < width:
+                continue
+            code = np.zeros(len(data) - width + 1, np.uint32)
+            for k in range(width):
+                code = code << np.uint32(8) | data[k : len(data) - width + 1 + k]
+            slot = slots[(code ^ code >> np.uint32(16)) & np.uint32(0xFFFF)]
+            place = np.flatnonzero(slot >= 0)
+            at = slot[place]
+            if width > 2:  # codes may share a slot
+                at = np.minimum(np.searchsorted(codes, code[place]), len(codes) - 1)
+                met = codes[at] == code[place]
+                place, at = place[met], at[met]
+            text = text_of[place]
+            if width < HEAD:  # the first bytes are the whole string
+                inside = place + width <= ends[text + 1]
+                texts.append(text[inside])
+                found.append(np.array([s[0][0] for s in strings])[at[inside]])
+                continue
+            by = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[by], np.arange(len(codes) + 1))
+            for c in np.flatnonzero(np.diff(cuts)):
+                here = by[cuts[c] : cuts[c + 1]]
+                for i, string in strings[c]:
+                    left = here[place[here] + len(string) <= ends[text[here] + 1]]
+                    for k in range(HEAD, len(string)):
+                        if not len(left):
+                            break
+                        left = left[data[place[left] + k] == string[k]]
+                    texts.append(text[left])
+                    found.append(np.full(len(left), i))
+        return np.concatenate(texts), np.concatenate(found)
+
+    def within(self, blobs: pa.Array, group: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, string), ascending and distinct, for each string that a blob contains and its group asks for."""
+        n = max(1, len(self.names))
+        ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+        raw = blobs.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        given, group = blobs.is_valid().to_numpy(zero_copy_only=False), group.to_numpy(zero_copy_only=False)
+        own = np.minimum(np.searchsorted(self.groups, group), max(0, len(self.groups) - 1))
+        pairs, at = [np.zeros(0, np.int64)], 0
+        usable = given & (self.groups[own] == group) if len(self.groups) else np.zeros(len(blobs), bool)
+        while at < len(blobs) and usable.any():
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + PORTION, "right")) - 1)
+            row, which = self._search(data[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at])
+            rows = np.arange(at, upto)
+            row = np.concatenate([row + at, *(rows for _ in self.empty)])
+            which = np.concatenate([which, *(np.full(len(rows), e) for e in self.empty)])
+            if self.table is None:
+                wanted = own[row] * n + which
+                known = self.asked[np.minimum(np.searchsorted(self.asked, wanted), len(self.asked) - 1)] == wanted
+            else:
+                known = self.table[own[row], which]
+            known &= usable[row]
+            pairs.append(_tally(row[known] * n + which[known])[0])
+            at = upto
+        found = np.concatenate(pairs)
+        return found // n, found % n
+
+
+def _wanted(index: DataFrame, by: list[str]) -> Wanted:
+    """The strings of `index` (*by, s) with the hash of their group; a hash in common is told apart later."""
+    table = index.select(F.xxhash64(*by).alias("g"), "s").toArrow()
+    coded = table.column("s").combine_chunks().dictionary_encode()
+    return Wanted(coded.dictionary.to_pylist(), table.column("g").to_numpy(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _sent(strings: DataFrame, by: list[str]) -> tuple[DataFrame, bool]:
+    """The distinct strings, written, and whether they are few enough to be sent to the texts."""
+    index = stage(strings.select(*by, "s").where(F.col("s").isNotNull()).distinct())
+    return index, index.agg(F.coalesce(F.sum(F.octet_length("s") + 40), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
+def count_containing(rows: DataFrame, strings: DataFrame, by: list[str], key: list[str], group: list[str]) -> DataFrame:
+    """(*group, s, n): how many rows `containing` would give. `group` has the columns of `by`. Strings that
+    are sent to the texts are counted where the texts are read, and only these counts are shuffled."""
+    index, few = _sent(strings, by)
+    if not few:
+        return containing(rows, index, by, key).groupBy(*group, "s").agg(F.count("*").alias("n"))
+    wanted = _wanted(index, by)
+    fields = T.StructType([
+        *(T.StructField(g, rows.schema[g].dataType) for g in group), T.StructField("s", T.StringType()), T.StructField("n", T.LongType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, which = wanted.within(batch.column(len(group) + 1), batch.column(len(group)))
+            code = np.zeros(batch.num_rows, np.int64)
+            for k in range(len(group)):
+                coded = batch.column(k).dictionary_encode("encode")
+                code = np.unique(code * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)[1]
+            first = np.unique(code, return_index=True)[1]
+            n = max(1, len(wanted.names))
+            pair, times = _tally(code[row] * n + which)
+            one = pa.array(first[pair // n])
+            columns = [*(batch.column(k).take(one) for k in range(len(group))), wanted.names.take(pa.array(pair % n)), pa.array(times)]
+            yield pa.RecordBatch.from_arrays(columns, fields.names)
+
+    parts = rows.select(*group, F.xxhash64(*by).alias("_by"), F.col("_blob").cast("binary").alias("_blob")).mapInArrow(run, fields)
+    return parts.join(F.broadcast(index), [*by, "s"], "left_semi").groupBy(*group, "s").agg(F.sum("n").alias("n"))
+
+
 def containing(rows: DataFrame, strings: DataFrame, by: list[str], key: list[str]) -> DataFrame:
     """Rows of `rows` (with `_blob`) once for each string `s` of `strings` (*by, s) that the blob
     contains. Rows and strings meet on `by`; `key` identifies a row.
 
-    Writes the index of the strings, which is as large as they are. Within BROADCAST_BYTES it is
-    sent to the rows. Beyond that, distinct pairs of characters meet it by a shuffle, in SALTS parts
-    each at most (as many as the largest group of rows calls for), and the strings found are joined back to their rows. Equal for both: the rows.
+    Writes the strings. Within BROADCAST_BYTES they are sent to the texts. Beyond that, distinct pairs of
+    characters meet the index of the strings by a shuffle, in SALTS parts each at most (as many as the
+    largest group of rows calls for), and the strings found are joined back to their rows. Equal for
+    both: the rows.
 
     Spark takes exploded rows to be as many as the rows they come from, and would broadcast them. The
     hints keep all joins of the larger way shuffles."""
-    index = stage(file_strings(strings, by))
-    size, single, empty = index.agg(
-        F.coalesce(F.sum(F.octet_length("s") + 40), F.lit(0)), F.max(F.char_length("s") == 1), F.max(F.col("s") == "")
-    ).first()
+    index, few = _sent(strings, by)
+    if few:
+        wanted = _wanted(index, by)
+
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def found_in(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for blobs, group in batches:
+                row, which = wanted.within(blobs, group)
+                ends = np.searchsorted(row, np.arange(len(blobs) + 1)).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), wanted.names.take(pa.array(which)))
+
+        # Spark would search again for a filter on what is found, if it knew that both give the same.
+        found = found_in.asNondeterministic()(F.col("_blob").cast("binary"), F.xxhash64(*by))
+        return rows.withColumn("s", F.explode(found)).join(F.broadcast(index), [*by, "s"])
+    index = stage(file_strings(index, by))
+    single, empty = index.agg(F.max(F.char_length("s") == 1), F.max(F.col("s") == "")).first()
     grams = character_pairs(F.col("_blob"))
     if single:
         grams = F.concat(grams, F.array_distinct(F.filter(F.split("_blob", ""), lambda c: c != "")))
     if empty:
         grams = F.concat(grams, F.array(F.lit("")))
-    if size <= BROADCAST_BYTES:
-        met = rows.withColumn("gram", F.explode(grams)).join(F.broadcast(index), [*by, "gram"])
-        return met.where(F.contains("_blob", "s")).drop("gram")
     largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     salts = min(SALTS, -(-largest // SALT_ROWS) or 1)
     row = F.struct(*key)

@@ -89,7 +89,7 @@ def styled_heading_level(style: Column, text: Column) -> Column:
 
 def match_text(text: Column) -> Column:
     """Copy of a text for matching: visual line breaks removed, the rest untouched."""
-    return F.translate(text, "\r\n", "")
+    return F.replace(F.replace(text, F.lit("\r")), F.lit("\n"))
 
 
 def bigrams(text: Column) -> Column:

@@ -1,8 +1,7 @@
 """Evidence location: sections x search phrases -> ranked, budget-packed packages.
 
-Search strings are found through an inverted index of character pairs: every string is filed under
-its rarest pair, a section meets only the strings filed under the pairs it has, by an equi-join, and
-`contains` confirms. Sections are read once for the document frequencies and once for the scores,
+Search strings are looked up by `substrings.containing`: in batches of texts by their first bytes, or,
+beyond a size, through an inverted index of character pairs. Sections are read once for the document frequencies and once for the scores,
 where only the strings that gate a dimension are looked up; a section then meets the dimensions whose
 gate it contains, and the score is computed inside the row. The work grows with the text and the
 matches, not with sections x strings or sections x items, and no text is shuffled.
@@ -19,7 +18,7 @@ from docreview.constants import (
     PHRASE_BONUS, POINTS_BUDGET, SECTION, TITLE_WEIGHT,
 )
 from docreview.functions import scan, text
-from docreview.functions.substrings import containing
+from docreview.functions.substrings import containing, count_containing
 from docreview.schemas import PICK
 from docreview.session import stage
 
@@ -104,19 +103,23 @@ def _searchable(section_rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_blob(section_rows: DataFrame) -> DataFrame:
+    return _searchable(section_rows).withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
+
+
 def unit_key(path: Column) -> Column:
     """A section's evidence unit is its parent heading; a top-level block is its own unit."""
     return F.when(F.size(path) > 1, F.slice(path, 1, F.size(path) - 1)).otherwise(path)
 
 
+_SECTION_KEY = ["project", "bidder", "id", "file_no", "seq"]
 _MATCH_COLUMNS = ["project", "bidder", "id", "file", "file_no", "seq", "char_len", "scope", "unit"]
 
 
 def section_hits(section_rows: DataFrame, strings: DataFrame) -> DataFrame:
     """One row per section and string of its project (project, s) in it: in_title, in_body; both
     are false for a string over the seam of text and title. A missing text or path is empty."""
-    rows = _searchable(section_rows).withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
-    return containing(rows, strings, ["project"], ["project", "bidder", "id", "file_no", "seq"]).select(
+    return containing(_with_blob(section_rows), strings, ["project"], _SECTION_KEY).select(
         *_MATCH_COLUMNS, "s", F.contains("_title", "s").alias("in_title"), F.contains("_body", "s").alias("in_body")
     )
 
@@ -141,7 +144,7 @@ def corpus_counts(section_rows: DataFrame, vocab: DataFrame) -> DataFrame:
     The empty string is in all of them, so its row is the number of sections. One read."""
     everything = vocab.select("project", F.lit("").alias("s")).distinct()
     asked = vocab.where("is_term").select("project", "s").unionByName(everything)
-    return section_hits(section_rows, asked).groupBy(*BIDDER, "s").agg(F.count("*").alias("df"))
+    return count_containing(_with_blob(section_rows), asked, ["project"], _SECTION_KEY, BIDDER).withColumnRenamed("n", "df")
 
 
 def doc_freq(counts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -254,9 +257,8 @@ def section_scores(section_rows: DataFrame, strings: DataFrame, scoped: bool = T
     dims = strings.withColumn("s", F.explode(own))
     if not scoped:
         dims = dims.drop("scope")
-    rows = _searchable(section_rows).withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
     gated = containing(
-        rows, dims.select(*keys, "s").where("s <> ''").distinct(), keys, ["project", "bidder", "id", "file_no", "seq"]
+        _with_blob(section_rows), dims.select(*keys, "s").where("s <> ''").distinct(), keys, _SECTION_KEY
     ).where(F.contains("_title", "s") | F.contains("_body", "s"))
     parts = F.filter(
         F.transform(
