@@ -1,10 +1,11 @@
 """Evidence location: sections x search phrases -> ranked, budget-packed packages.
 
 Search strings are looked up by `substrings.containing`: in batches of texts by their first bytes, or,
-beyond a size, through an inverted index of character pairs. Sections are read once for the document frequencies and once for the scores,
-where only the strings that gate a dimension are looked up; a section then meets the dimensions whose
-gate it contains, and the score is computed inside the row. The work grows with the text and the
-matches, not with sections x strings or sections x items, and no text is shuffled.
+beyond a size, through an inverted index of character pairs. Sections are read once for the document
+frequencies and once for the scores, where only the strings that gate a dimension are looked up; a
+section then meets the dimensions whose gate it contains, and the score is computed inside the row.
+The work grows with the text and the matches, not with sections x strings or sections x items, and no
+text is shuffled.
 """
 
 from collections.abc import Callable
