@@ -114,6 +114,8 @@ class Wanted:
     def within(self, blobs: pa.Array, group: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row, string), ascending and distinct, for each string that a blob contains and its group asks for."""
         n = max(1, len(self.names))
+        if not len(blobs):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
         raw = blobs.buffers()[2]
         data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)

@@ -1,5 +1,6 @@
 """Strings looked up in texts: the two ways against plain loops."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,9 @@ def test_no_strings_and_no_rows(spark):
     assert substrings.containing(rows, none, ["project"], ["id"]).count() == 0
     assert substrings.count_containing(rows, none, ["project"], ["id"], ["project", "bidder"]).count() == 0
     assert substrings.containing(rows.where(F.lit(False)), strings, ["project"], ["id"]).count() == 0
+
+
+def test_an_empty_batch(spark):
+    wanted = substrings._wanted(_tables(spark)[1].where("s IS NOT NULL"), ["project"])
+    row, which = wanted.within(pa.array([], pa.binary()), pa.array([], pa.int64()))
+    assert len(row) == len(which) == 0
