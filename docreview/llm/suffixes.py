@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docreview.llm.common import bounded, text_or_empty
-from docreview.session import stage
+from docreview.session import small_batches, stage
 
 LENGTH = 50
 GRAM = 26
@@ -144,7 +144,9 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    """Anchors have the least hash around them, so most of these are small numbers: they are mixed
+    again, or the first buckets would get nearly all."""
+    return ((hashes * np.uint64(_ODD) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 # ---- packing -------------------------------------------------------------------------------
@@ -367,7 +369,7 @@ def _suffix_batches(buckets: int, maps, frequent):
                 place, text, left, right, around, content = (
                     np.concatenate([x[~often], x[often], x[often]]) for x in (place, text, left, right, around, content)
                 )
-            by = np.lexsort((content, grams))
+            by = np.lexsort((content, grams, _bucket_of(grams, buckets)))
             place, grams, text, content = place[by], grams[by], text[by], content[by]
             first = _starts(grams, content)
             counts = np.diff(np.append(first, len(by)))
@@ -553,6 +555,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     What is shuffled: digests of texts; about 16 bytes per anchor (one in 13 bytes of text) of texts that
     are no whole copies; 74 bytes around anchors whose gram has several surroundings, once per batch and
     surroundings; the intervals; and the texts that are no whole copies once, to meet theirs."""
+    small_batches(df.sparkSession)
     order = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     rows = df.select(
         order.alias("order"), F.col(key).alias("_key"), text_or_empty(text).cast("binary").alias("text"),

@@ -6,8 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cases import hard, hard_rows, none, repeats
 from docreview.llm import exact, simhash, suffixes
@@ -190,3 +192,18 @@ def test_anchors_across_blocks(monkeypatch):
     for a, b in zip(ends, ends[1:]):
         for s in range(a, b - 49):
             assert ((whole[0] >= s) & (whole[0] <= s + 24)).any()
+
+
+def test_buckets_of_anchors_are_even():
+    """Anchors are the least hashes around them; their buckets must not be."""
+    data = np.random.default_rng(5).integers(0, 256, 400_000, np.uint8)
+    _, grams = suffixes.anchors(data, np.array([0, len(data)]))
+    counts = np.bincount(suffixes._bucket_of(grams, 100).astype(np.int64), minlength=100)
+    assert counts.max() < 2 * np.median(counts)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    suffixes.remove_repeats(none(spark))
+    long = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    rows = long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert max(r.n for r in rows.collect()) < 20
