@@ -24,6 +24,8 @@ _HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')
 
 #: Files' names and keys of so many bytes at most are broadcast to the contents.
 BROADCAST_BYTES = 64 << 20
+#: Lines from which on those of several files leave a task.
+FRAME_LINES = 10_000
 
 
 def _binary(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -86,6 +88,26 @@ def _narrow(files: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     return contents.select("path", "content"), names, size <= BROADCAST_BYTES
 
 
+def _extracted(batches: Iterator[pd.DataFrame], extractor: Callable[[bytes], list[tuple[int, str]]]) -> Iterator[pd.DataFrame]:
+    """The lines of the files of each batch, those of many small files in one frame of about FRAME_LINES
+    lines: a frame of its own for each file would cost more than its text."""
+    for batch in batches:
+        keys = [c for c in batch.columns if c != "content"]
+        held: dict[str, list] = {}
+        for row in batch.to_dict("records"):
+            kept = [(p, t.strip()) for p, t in extractor(row["content"]) if t.strip()]
+            if not kept:
+                continue
+            own = {**{k: [row[k]] * len(kept) for k in keys}, "line_no": range(len(kept)), "page": [p for p, _ in kept], "text": [t for _, t in kept]}
+            for column, values in own.items():
+                held.setdefault(column, []).extend(values)
+            if len(held["line_no"]) >= FRAME_LINES:
+                yield pd.DataFrame(held)
+                held = {}
+        if held:
+            yield pd.DataFrame(held)
+
+
 def extract_lines(files: DataFrame, extractor: Callable[[bytes], list[tuple[int, str]]]) -> DataFrame:
     """Run a user's extractor (bytes -> [(page, text), …]) over discovered files.
     Lines are stripped, blank ones dropped and the rest numbered from 0.
@@ -95,16 +117,7 @@ def extract_lines(files: DataFrame, extractor: Callable[[bytes], list[tuple[int,
     broadcast, or, where there are too many, meet the lines by their path. No content is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = [c for c in batch.columns if c != "content"]
-            for row in batch.to_dict("records"):
-                kept = [(p, t.strip()) for p, t in extractor(row["content"]) if t.strip()]
-                yield pd.DataFrame(
-                    {
-                        **{k: row[k] for k in keys}, "line_no": range(len(kept)),
-                        "page": [p for p, _ in kept], "text": [t for _, t in kept],
-                    }
-                )
+        return _extracted(batches, extractor)
 
     if "content" in files.columns:
         return files.select(*FILE, "file", "content").mapInPandas(run, schemas.LINES)

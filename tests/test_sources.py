@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 
 from docreview import schemas
@@ -35,6 +36,14 @@ def test_extract_lines(spark, tmp_path):
     assert [(r.line_no, r.page, r.text) for r in readers.text_lines(docs).orderBy("line_no").collect()] == [(0, 1, "a"), (1, 1, "b"), (2, 2, "c")]
 
 
+def test_lines_of_small_files_share_a_frame(monkeypatch):
+    monkeypatch.setattr(readers, "FRAME_LINES", 50)
+    files = pd.DataFrame({"file_no": range(100), "content": [b"a\n\n b"] * 99 + [b" "]})
+    frames = list(readers._extracted(iter([files]), lambda data: [(7, t) for t in data.decode().split("\n")]))
+    assert [len(f) for f in frames] == [50, 50, 50, 48]
+    assert list(pd.concat(frames).itertuples(index=False, name=None)) == [(n, k, 7, "ab"[k]) for n in range(99) for k in range(2)]
+
+
 def test_sections_and_packages(spark, tmp_path):
     put(tmp_path / "s" / "甲" / "sections.json", [SECTION, {**SECTION, "id": "1#2"}])
     put(tmp_path / "s" / "乙" / "sections.json", {"sections": [{**SECTION, "bidder": "丁"}], "stats": {}})
