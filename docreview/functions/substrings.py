@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ BROADCAST_BYTES = 32 << 20
 #: First bytes of a string by which it is looked up, and bytes of text that are searched at a time.
 HEAD = 4
 PORTION = 1 << 20
+#: Where a string stands in a row: in its title, in its text only, over the seam of both only.
+TITLE, BODY, SEAM = range(3)
 #: Groups times strings up to which a table tells what a group asks for.
 TABLE = 1 << 22
 #: Parts into which a shuffle cuts each pair of characters, as a third of all sections may have it.
@@ -45,6 +48,11 @@ def _tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.diff(np.append(at, len(values)))
 
 
+def _fold(code: np.ndarray) -> np.ndarray:
+    """16 bits of a number of up to 32, well spread: letters alone differ in few bits."""
+    return (code * np.uint32(2654435761)) >> np.uint32(16)
+
+
 class Wanted:
     """Strings and the groups of texts that ask for each, looked up in a batch of texts at once.
 
@@ -62,72 +70,102 @@ class Wanted:
         raw = [s.encode("utf-8", "surrogatepass") for s in strings]
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.empty = np.flatnonzero(self.sizes == 0)
-        self.heads = []  # width, numbers of the first bytes in ascending order, one of them for each of 2^16 folds, strings of each
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.tails = np.zeros(len(raw), np.uint32)
+        long = np.flatnonzero(self.sizes >= HEAD)
+        self.tails[long] = self._codes(self.flat, self.starts[long] + self.sizes[long] - HEAD, HEAD)
+        # Width, distinct first bytes as numbers, one of them for each of 2^16 folds (else -1), which of them share a
+        # fold, and the strings of each: `strings` from cuts[c] to cuts[c + 1].
+        self.heads = []
         for width in range(1, HEAD + 1):
-            by_head: dict[int, list] = {}
-            for i, r in enumerate(raw):
-                if min(len(r), HEAD) == width:
-                    by_head.setdefault(int.from_bytes(r[:width], "big"), []).append((i, np.frombuffer(r, np.uint8)))
-            codes = np.array(sorted(by_head), np.uint32)
+            strings = np.flatnonzero(np.minimum(self.sizes, HEAD) == width)
+            if not len(strings):
+                continue
+            codes, own, many = np.unique(self._codes(self.flat, self.starts[strings], width), return_inverse=True, return_counts=True)
+            folds = _fold(codes)
             slots = np.full(1 << 16, -1, np.int32)
-            slots[(codes ^ codes >> np.uint32(16)) & np.uint32(0xFFFF)] = np.arange(len(codes))
-            if len(codes):
-                self.heads.append((width, codes, slots, [by_head[int(c)] for c in codes]))
+            slots[folds] = np.arange(len(codes))
+            shared = np.bincount(folds, minlength=1 << 16)[folds] > 1
+            cuts = np.append(0, np.cumsum(many))
+            self.heads.append((width, codes, slots, shared, strings[np.argsort(own, kind="stable")], cuts))
 
-    def _search(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, string) for every place where a string stands; texts lie between `ends` in `data`."""
-        texts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    @staticmethod
+    def _codes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """The `width` bytes from each of these places on as one number, the first byte lowest."""
+        code = data[at].astype(np.uint32)
+        for k in range(1, width):
+            code |= data[at + k].astype(np.uint32) << np.uint32(8 * k)
+        return code
+
+    def _search(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, string, place) wherever a string stands; texts lie between `ends` in `data`."""
+        none = np.zeros(0, np.int64)
+        out = [(none, none, none)]
         text_of = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
-        for width, codes, slots, strings in self.heads:
-            if len(data) < width:
-                continue
-            code = np.zeros(len(data) - width + 1, np.uint32)
-            for k in range(width):
-                code = code << np.uint32(8) | data[k : len(data) - width + 1 + k]
-            slot = slots[(code ^ code >> np.uint32(16)) & np.uint32(0xFFFF)]
+        # Four bytes from every place on; those behind the end are 0, and no string reaches over it.
+        padded = np.append(data, np.zeros(HEAD - 1, np.uint8))
+        code = np.ndarray(len(data), "<u4", padded, strides=(1,)).astype(np.uint32)
+        for width, codes, slots, shared, strings, cuts in self.heads:
+            heads = code if width == HEAD else code & np.uint32((1 << 8 * width) - 1)
+            slot = slots[_fold(heads)]
             place = np.flatnonzero(slot >= 0)
-            at = slot[place]
-            if width > 2:  # codes may share a slot
-                at = np.minimum(np.searchsorted(codes, code[place]), len(codes) - 1)
-                met = codes[at] == code[place]
-                place, at = place[met], at[met]
+            at, here = slot[place], heads[place]
+            met = codes[at] == here
+            again = np.flatnonzero(~met & shared[at])
+            if len(again):
+                at[again] = np.minimum(np.searchsorted(codes, here[again]), len(codes) - 1)
+                met[again] = codes[at[again]] == here[again]
+            place, at = place[met], at[met]
+            if len(strings) > len(codes):
+                many = cuts[at + 1] - cuts[at]
+                nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                which, place = strings[np.repeat(cuts[at], many) + nth], np.repeat(place, many)
+            else:
+                which = strings[at]
+            size = self.sizes[which]
+            if width == HEAD:  # the last bytes, then those between, HEAD at a time
+                last = place + size - HEAD
+                same = last < len(data)
+                same[same] = code[last[same]] == self.tails[which[same]]
+                place, which, size = place[same], which[same], size[same]
             text = text_of[place]
-            if width < HEAD:  # the first bytes are the whole string
-                inside = place + width <= ends[text + 1]
-                texts.append(text[inside])
-                found.append(np.array([s[0][0] for s in strings])[at[inside]])
-                continue
-            by = np.argsort(at, kind="stable")
-            cuts = np.searchsorted(at[by], np.arange(len(codes) + 1))
-            for c in np.flatnonzero(np.diff(cuts)):
-                here = by[cuts[c] : cuts[c + 1]]
-                for i, string in strings[c]:
-                    left = here[place[here] + len(string) <= ends[text[here] + 1]]
-                    for k in range(HEAD, len(string)):
-                        if not len(left):
-                            break
-                        left = left[data[place[left] + k] == string[k]]
-                    texts.append(text[left])
-                    found.append(np.full(len(left), i))
-        return np.concatenate(texts), np.concatenate(found)
-
-    def within(self, blobs: pa.Array, group: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, string), ascending and distinct, for each string that a blob contains and its group asks for."""
+            inside = place + size <= ends[text + 1]
+            if width == HEAD:
+                left, k = np.flatnonzero(inside & (size > 2 * HEAD)), HEAD
+                while len(left):
+                    met = code[place[left] + k] == self._codes(self.flat, self.starts[which[left]] + k, HEAD)
+                    inside[left[~met]] = False
+                    k += HEAD
+                    left = left[met & (size[left] > k + HEAD)]
+            out.append((text[inside].astype(np.int64), which[inside], place[inside]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def within(self, blobs: pa.Array, group: pa.Array, cut: pa.Array | None = None) -> tuple[np.ndarray, ...]:
+        """(row, string), ascending and distinct, for each string that a blob contains and its group asks for.
+
+        With `cut`, each blob is a text of so many bytes, a blank and a title. A third array tells where
+        the string stands: TITLE (the text may have it too), BODY (the text only) or SEAM (over the blank only)."""
         n = max(1, len(self.names))
         if not len(blobs):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * (2 if cut is None else 3)
         ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
         raw = blobs.buffers()[2]
         data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
         given, group = blobs.is_valid().to_numpy(zero_copy_only=False), group.to_numpy(zero_copy_only=False)
+        seam = None if cut is None else ends[:-1] + cut.fill_null(0).to_numpy(zero_copy_only=False)
         own = np.minimum(np.searchsorted(self.groups, group), max(0, len(self.groups) - 1))
         pairs, at = [np.zeros(0, np.int64)], 0
         usable = given & (self.groups[own] == group) if len(self.groups) else np.zeros(len(blobs), bool)
         while at < len(blobs) and usable.any():
             upto = max(at + 1, int(np.searchsorted(ends, ends[at] + PORTION, "right")) - 1)
-            row, which = self._search(data[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at])
+            row, which, place = self._search(data[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at])
+            row, kind = row + at, 0
+            if seam is not None:
+                place = place + ends[at]
+                kind = np.where(place > seam[row], TITLE, np.where(place + self.sizes[which] <= seam[row], BODY, SEAM))
             rows = np.arange(at, upto)
-            row = np.concatenate([row + at, *(rows for _ in self.empty)])
+            row = np.concatenate([row, *(rows for _ in self.empty)])
             which = np.concatenate([which, *(np.full(len(rows), e) for e in self.empty)])
             if self.table is None:
                 wanted = own[row] * n + which
@@ -135,10 +173,17 @@ class Wanted:
             else:
                 known = self.table[own[row], which]
             known &= usable[row]
-            pairs.append(_tally(row[known] * n + which[known])[0])
+            if seam is None:
+                pairs.append(_tally(row[known] * n + which[known])[0])
+            else:  # the first of the three
+                kind = np.concatenate([kind, np.full(len(rows) * len(self.empty), TITLE)])
+                found = _tally((row[known] * n + which[known]) * 3 + kind[known])[0]
+                pairs.append(found[np.flatnonzero(np.diff(found // 3, prepend=-1))])
             at = upto
         found = np.concatenate(pairs)
-        return found // n, found % n
+        if seam is None:
+            return found // n, found % n
+        return found // 3 // n, found // 3 % n, found % 3
 
 
 def _wanted(index: DataFrame, by: list[str]) -> Wanted:
@@ -161,28 +206,85 @@ def count_containing(rows: DataFrame, strings: DataFrame, by: list[str], key: li
     if not few:
         return containing(rows, index, by, key).groupBy(*group, "s").agg(F.count("*").alias("n"))
     wanted = _wanted(index, by)
-    fields = T.StructType([
-        *(T.StructField(g, rows.schema[g].dataType) for g in group), T.StructField("s", T.StringType()), T.StructField("n", T.LongType()),
-    ])
+    fields = _count_fields(rows, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, which = wanted.within(batch.column(len(group) + 1), batch.column(len(group)))
-            code = np.zeros(batch.num_rows, np.int64)
-            for k in range(len(group)):
-                coded = batch.column(k).dictionary_encode("encode")
-                code = np.unique(code * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)[1]
-            first = np.unique(code, return_index=True)[1]
-            n = max(1, len(wanted.names))
-            pair, times = _tally(code[row] * n + which)
-            one = pa.array(first[pair // n])
-            columns = [*(batch.column(k).take(one) for k in range(len(group))), wanted.names.take(pa.array(pair % n)), pa.array(times)]
-            yield pa.RecordBatch.from_arrays(columns, fields.names)
+            yield _counted(batch, *wanted.within(batch.column(len(group) + 1), batch.column(len(group))), wanted, fields)
 
     parts = rows.select(*group, F.xxhash64(*by).alias("_by"), F.col("_blob").cast("binary").alias("_blob")).mapInArrow(run, fields)
     return parts.join(F.broadcast(index), [*by, "s"], "left_semi").groupBy(*group, "s").agg(F.sum("n").alias("n"))
 
 
+def finds(rows: DataFrame, strings: DataFrame, by: list[str]) -> tuple[DataFrame, Wanted] | None:
+    """`rows` (with `_body`, `_title` and `_blob`, which go) with `title`, `body` and `seam`: the numbers (`packed`) of the
+    strings that the title has, that the text alone has, and that stand over the seam alone; and `Wanted`, which names them.
+    Every row is kept. Strings are not empty. None if they are too many to be sent to the texts.
+
+    A hash of `by` in common may give a row strings that it did not ask for: compare `by` as well."""
+    index, few = _sent(strings, by)
+    if not few:
+        return None
+    wanted = _wanted(index, by)
+    kept = [c for c in rows.columns if c not in ("_blob", "_body", "_title")]
+    fields = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(k, T.BinaryType()) for k in ("title", "body", "seam"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, which, kind = wanted.within(*(batch.column(len(kept) + k) for k in (0, 2, 1)))
+            lists = [packed(row[kind == k], which[kind == k], batch.num_rows) for k in (TITLE, BODY, SEAM)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *lists], fields.names)
+
+    texts = rows.select(*kept, F.col("_blob").cast("binary").alias("_blob"), F.octet_length("_body").cast("long").alias("_cut"), F.xxhash64(*by).alias("_by"))
+    return texts.mapInArrow(run, fields), wanted
+
+
+def packed(row: np.ndarray, number: np.ndarray, n: int) -> pa.Array:
+    """The numbers of each of `n` rows, rows ascending, as bytes: Spark moves these as one value."""
+    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32) * np.int32(4)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(number.astype("<i4"))])
+
+
+def listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) for what `packed` made."""
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1] // 4
+    raw = lists.buffers()[2]
+    numbers = np.zeros(0, "<i4") if raw is None else np.frombuffer(raw, "<i4", count=int(ends[-1]))
+    return np.repeat(np.arange(len(lists)), np.diff(ends)), numbers[ends[0] :].astype(np.int64)
+
+
+def count_finds(found: DataFrame, wanted: Wanted, group: list[str]) -> DataFrame:
+    """(*group, s, n): how many rows of `found` (of `finds`) have each string. Only counts per batch are shuffled."""
+    fields = _count_fields(found, group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, which = (np.concatenate(x) for x in zip(*(listed(batch.column(len(group) + k)) for k in range(3))))
+            yield _counted(batch, row, which, wanted, fields)
+
+    return found.select(*group, "title", "body", "seam").mapInArrow(run, fields).groupBy(*group, "s").agg(F.sum("n").alias("n"))
+
+
+def _count_fields(rows: DataFrame, group: list[str]) -> T.StructType:
+    return T.StructType([
+        *(T.StructField(g, rows.schema[g].dataType) for g in group), T.StructField("s", T.StringType()), T.StructField("n", T.LongType()),
+    ])
+
+
+def _counted(batch: pa.RecordBatch, row: np.ndarray, which: np.ndarray, wanted: Wanted, fields: T.StructType) -> pa.RecordBatch:
+    """How often each string comes in the groups of a batch, whose first columns name the group."""
+    size, code = len(fields.names) - 2, np.zeros(batch.num_rows, np.int64)
+    for k in range(size):
+        coded = batch.column(k).dictionary_encode("encode")
+        code = np.unique(code * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)[1]
+    first = np.unique(code, return_index=True)[1]
+    n = max(1, len(wanted.names))
+    pair, times = _tally(code[row] * n + which)
+    one = pa.array(first[pair // n])
+    columns = [*(batch.column(k).take(one) for k in range(size)), wanted.names.take(pa.array(pair % n)), pa.array(times)]
+    return pa.RecordBatch.from_arrays(columns, fields.names)
+
+
 def containing(rows: DataFrame, strings: DataFrame, by: list[str], key: list[str]) -> DataFrame:
     """Rows of `rows` (with `_blob`) once for each string `s` of `strings` (*by, s) that the blob
     contains. Rows and strings meet on `by`; `key` identifies a row.

@@ -1,17 +1,19 @@
 """Evidence location: sections x search phrases -> ranked, budget-packed packages.
 
 Search strings are looked up by `substrings.containing`: in batches of texts by their first bytes, or,
-beyond a size, through an inverted index of character pairs. Sections are read once for the document
-frequencies and once for the scores, where only the strings that gate a dimension are looked up; a
-section then meets the dimensions whose gate it contains, and the score is computed inside the row.
+beyond a size, through an inverted index of character pairs. The sections are read once; what each contains
+is written as numbers, from which document frequencies and scores come (beyond the size they are read twice). A
+section meets the dimensions whose gate it contains, and the score is computed inside the row.
 The work grows with the text and the matches, not with sections x strings or sections x items, and no
 text is shuffled.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docreview.constants import (
     ANCHOR_DF_RATIO, BASE_BUDGET, BIDDER, BUDGET_HIGH, BUDGET_ITEMS, BUDGET_LOW, BUDGET_TOTAL,
@@ -19,7 +21,8 @@ from docreview.constants import (
     PHRASE_BONUS, POINTS_BUDGET, SECTION, TITLE_WEIGHT,
 )
 from docreview.functions import scan, text
-from docreview.functions.substrings import containing, count_containing
+from docreview.functions.gates import Gates
+from docreview.functions.substrings import BROADCAST_BYTES, TABLE, Wanted, containing, count_containing, count_finds, finds
 from docreview.schemas import PICK
 from docreview.session import stage
 
@@ -95,17 +98,30 @@ def vocabulary(dims: DataFrame) -> DataFrame:
 
 
 def _searchable(section_rows: DataFrame) -> DataFrame:
+    return _placed(_texts(section_rows))
+
+
+def _placed(section_rows: DataFrame) -> DataFrame:
+    """Scope and unit of the sections in place of the columns they come from."""
+    scope, unit = F.nullif(F.lower("item_guid"), F.lit("")), unit_key(F.col("path"))
+    return section_rows.withColumns({"scope": scope, "unit": unit}).drop("item_guid", "path", "page")
+
+
+def _texts(section_rows: DataFrame) -> DataFrame:
+    """What is looked for in a section, and all that a package tells of it but for its text."""
     return section_rows.select(
-        "project", "bidder", "id", "file", "file_no", "seq", "char_len",
-        F.nullif(F.lower("item_guid"), F.lit("")).alias("scope"),
-        unit_key(F.col("path")).alias("unit"),
+        *_SECTION_COLUMNS,
         F.coalesce(text.match_text(F.col("text")), F.lit("")).alias("_body"),
         F.coalesce(F.array_join("path", " "), F.lit("")).alias("_title"),
     )
 
 
 def _with_blob(section_rows: DataFrame) -> DataFrame:
-    return _searchable(section_rows).withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
+    return _searchable(section_rows).withColumn("_blob", _blob())
+
+
+def _blob() -> Column:
+    return F.concat("_body", F.lit(" "), "_title")
 
 
 def unit_key(path: Column) -> Column:
@@ -113,6 +129,7 @@ def unit_key(path: Column) -> Column:
     return F.when(F.size(path) > 1, F.slice(path, 1, F.size(path) - 1)).otherwise(path)
 
 
+_SECTION_COLUMNS = ["project", "bidder", "id", "file", "file_no", "seq", "path", "page", "char_len", "item_guid"]
 _SECTION_KEY = ["project", "bidder", "id", "file_no", "seq"]
 _MATCH_COLUMNS = ["project", "bidder", "id", "file", "file_no", "seq", "char_len", "scope", "unit"]
 
@@ -148,6 +165,15 @@ def corpus_counts(section_rows: DataFrame, vocab: DataFrame) -> DataFrame:
     return count_containing(_with_blob(section_rows), asked, ["project"], _SECTION_KEY, BIDDER).withColumnRenamed("n", "df")
 
 
+def counts_of_finds(found: DataFrame, wanted: Wanted, vocab: DataFrame) -> DataFrame:
+    """`corpus_counts` from what `finds` found in the sections."""
+    asked = vocab.where("is_term").select("project", "s")
+    everything = vocab.select("project", F.lit("").alias("s")).distinct()
+    terms = count_finds(found, wanted, BIDDER).withColumnRenamed("n", "df").join(asked, ["project", "s"], "left_semi")
+    sizes = corpus_size(found).withColumnRenamed("n", "df").join(everything, "project")
+    return terms.select(*BIDDER, "s", "df").unionByName(sizes.select(*BIDDER, "s", "df"))
+
+
 def doc_freq(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Document frequency and IDF per bidder and term, over all sections of the bidder. Terms
     that occur nowhere have a row with df 0. `counts` is `corpus_counts`, best written."""
@@ -293,6 +319,40 @@ def section_scores(section_rows: DataFrame, strings: DataFrame, scoped: bool = T
     )
 
 
+def scores_of_finds(
+    found: DataFrame, wanted: Wanted, strings: DataFrame, scoped: bool = True, least: float | None = None
+) -> DataFrame | None:
+    """`section_scores` from what `finds` found in the sections, without their texts. `strings` are sent to the
+    sections; None if they are too many. With `least`, pairs of a lower score are left out."""
+    size = F.aggregate("strings", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["s"]) + 40)
+    total, dims, most = strings.agg(F.sum(size + 100), F.count("*"), F.max(F.size("strings"))).first()
+    if (total or 0) > BROADCAST_BYTES or dims * (most or 0) > TABLE:
+        return None
+    keys = BIDDER + (["scope"] if scoped else [])
+    groups = stage(strings.select(*keys).distinct().withColumn("group", F.monotonically_increasing_id()))
+    gates = Gates(strings.join(groups, keys).select("group", "item_id", "dim_no", "anchor", "strings").toArrow(), wanted.names)
+    kept = [*BIDDER, "id", "file", "file_no", "seq", "unit", "scope"]
+    fields = T.StructType([
+        *(found.schema[c] for c in kept), strings.schema["item_id"], strings.schema["dim_no"],
+        T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.StringType())),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, lengths = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("group", "char_len"))
+            for row, dim, score, places in gates.meet(group, batch.column("title"), batch.column("body"), lengths):
+                if least is not None:
+                    passing = score >= least
+                    row, dim, score, places = (x[passing] for x in (row, dim, score, places))
+                one, own = pa.array(row), pa.array(dim)
+                columns = [batch.column(c).take(one) for c in kept]
+                columns += [gates.item_id.take(own), gates.dim_no.take(own), pa.array(score), gates.hits(dim, places)]
+                yield pa.RecordBatch.from_arrays(columns, fields.names)
+
+    met = found.join(groups, keys).select(*kept, "char_len", "title", "body", "group").mapInArrow(run, fields)
+    return met.select(*PAIR, "dim_no", "id", "file", "file_no", "seq", "unit", "scope", "score", "hits")
+
+
 def rank_sections(scores: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Passing sections with their `rank` inside a dimension: best first, ties in document order. A
     dimension that very many sections pass is ranked in many tasks."""
@@ -346,13 +406,14 @@ def pack_budget(
     The running sum is taken over chunks of a unit first. Chunks that start beyond the budget are
     dropped before any section is sorted, and the sections of a chunk are summed inside it."""
     members = section_rows.select(
-        "project", "bidder", "id", "file", "file_no", "seq", "path", "page", "char_len",
-        F.nullif(F.lower("item_guid"), F.lit("")).alias("scope"),
+        *_SECTION_COLUMNS[:-1], F.nullif(F.lower("item_guid"), F.lit("")).alias("scope"),
         unit_key(F.col("path")).alias("unit"),
         scan.chunk_of(F.col("seq"), _PACK_CHUNK).alias("_chunk"),
     )
     keys = [*BIDDER, "file", "unit"] + (["scope"] if scoped else [])
     left = tops.select(*PAIR, "scope", "file", "unit", "unit_no", "best")
+    # Read by both sides of a join below: the sections of the units, without their texts, are written.
+    members = stage(members.join(left.select(*keys).distinct(), keys, "left_semi"))
     near = members.join(left if scoped else left.drop("scope"), keys)
 
     place = [*PAIR, "unit_no", "file_no", "_chunk"]
@@ -394,15 +455,35 @@ def pack_budget(
 
 
 def score_sections(section_rows: DataFrame, dims: DataFrame, scoped: bool = True) -> DataFrame:
-    """Sections x dimensions -> scores, before the threshold.
+    """Sections x dimensions -> scores, before the threshold."""
+    return search_sections(section_rows, dims, scoped)[1]
+
+
+def search_sections(
+    section_rows: DataFrame, dims: DataFrame, scoped: bool = True, least: float | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(sections without their texts, scores of sections x dimensions), the scores at least `least` if it is given.
 
-    Two reads of the sections: one counts the terms, one scores. The counts and the weighed
-    dimensions are written between them; both are as large as bidders x strings."""
+    The sections are read once: what they contain is written as numbers, and counts and scores come from
+    there. Strings beyond `substrings.BROADCAST_BYTES` have them read again. The counts and the weighed
+    dimensions are written too; both are as large as bidders x strings."""
     vocab = vocabulary(dims)
-    counts = stage(corpus_counts(section_rows, vocab))
+    found = finds(_texts(section_rows).withColumn("_blob", _blob()), vocab, ["project"])
+    if found is None:
+        counts = stage(corpus_counts(section_rows, vocab))
+    else:
+        found, wanted = stage(found[0]), found[1]
+        counts = stage(counts_of_finds(found, wanted, vocab))
     sizes = counts.where("s = ''").select(*BIDDER, F.col("df").alias("n"))
     weighed = weigh_dimensions(dims, doc_freq(counts, vocab)).unionByName(bare_dimensions(dims, sizes))
-    return section_scores(section_rows, stage(search_strings(weighed)), scoped)
+    strings = stage(search_strings(weighed))
+    scores = None if found is None else scores_of_finds(_placed(found), wanted, strings, scoped, least)
+    if scores is None:
+        scores = section_scores(section_rows, strings, scoped)
+    return (
+        section_rows if found is None else found.drop("title", "body", "seam"),
+        scores if least is None else scores.where(F.col("score") >= least),
+    )
 
 
 def scope_pool(section_rows: DataFrame) -> DataFrame:
@@ -420,17 +501,26 @@ def locate_picks(
     budget: Column | None = None, name_vocab: bool = False,
     max_units: int = MAX_UNITS, staged: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chosen units, top units, picks) of every package with evidence.
+    """(chosen units, top units, picks) of every package with evidence."""
+    return _locate(section_rows, items, tokenise, min_score, budget, name_vocab, max_units, staged)[1:]
+
+
+def _locate(
+    section_rows: DataFrame, items: DataFrame, tokenise=text.bigrams, min_score: float = MIN_SCORE,
+    budget: Column | None = None, name_vocab: bool = False, max_units: int = MAX_UNITS, staged: bool = True,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sections without their texts, and what `locate_picks` gives.
 
     The units are read by several branches. `staged` writes them once to the shared folder (they
     are few next to the sections); without it each branch searches the text again."""
     dims = search_dimensions(items, tokenise, name_vocab)
-    scores = score_sections(section_rows, dims)
-    units = best_per_unit(scores.where(F.col("score") >= min_score))
+    section_rows, scores = search_sections(section_rows, dims, least=min_score)
+    units = best_per_unit(scores)
     units = choose_units(stage(units) if staged else units)
     tops = top_units(units, max_units)
+    tops = stage(tops) if staged else tops
     budgets = items.select(*ITEM, (item_budget(F.col("max_score")) if budget is None else budget).alias("budget"))
-    return units, tops, pack_budget(tops, section_rows, budgets, True)
+    return section_rows, units, tops, pack_budget(tops, section_rows, budgets, True)
 
 
 def search_dimensions(items: DataFrame, tokenise=text.bigrams, name_vocab: bool = False) -> DataFrame:
@@ -464,7 +554,7 @@ def locate(
 
     Options are those of `locate_picks`. Bidders default to those that have sections."""
     budget = options.get("budget")
-    units, tops, picks = locate_picks(section_rows, items, **options)
+    section_rows, units, tops, picks = _locate(section_rows, items, **options)
     if bidders is None:
         bidders = section_rows.select(*BIDDER).distinct()
     # The declared grid is the result itself: one package per bidder and item of the project.
@@ -525,14 +615,13 @@ def locate_points(
         *ITEM, F.lit(None).cast("string").alias("scope"), F.lit(_FALLBACK_DIM).alias("dim_no"),
         "phrases", "terms",
     )
-    scores = score_sections(section_rows, own.unionByName(category), False)
-    units = best_per_unit(
-        scores.where(F.col("score") >= min_score).withColumn("scope", F.lit(None).cast("string"))
-    )
+    section_rows, scores = search_sections(section_rows, own.unionByName(category), False, min_score)
+    units = best_per_unit(scores.withColumn("scope", F.lit(None).cast("string")))
     units = stage(units) if staged else units
     counts = units.groupBy(*PAIR).agg(F.min("fallback").alias("_only_fallback"))
     chosen = units.join(counts, PAIR).where(F.col("fallback") == F.col("_only_fallback"))
     tops = top_units(chosen, max_units)
+    tops = stage(tops) if staged else tops
     budgets = points.select("project", F.col("point_id").alias("item_id"), F.lit(budget).alias("budget"))
     picks = gather_picks(pack_budget(tops, section_rows, budgets, False))
     found = chosen.groupBy(*PAIR).agg(

@@ -233,3 +233,25 @@ def test_preview_and_rates(spark):
     assert len(shown) == 1 and len(shown[0].text) == 360 and shown[0].text.endswith("…")
     rates = {r.bidder: r.rate for r in ev.nonempty_rate(packs).collect()}
     assert rates == {"A": 0.5, None: 0.5}
+
+
+def test_scores_come_from_one_read_of_the_texts(spark, monkeypatch):
+    """The same scores as those of the sections read again, titles and dimensions without an anchor among them."""
+    words = lambda n: f"alpha beta {n} gamma" if n % 9 == 0 else f"filler {n} beta"
+    rows = [("A", 1, n + 1, "f", "g1" if n % 2 else "g2", ["h", f"t{n // 5}", words(n)[:8]], words(n)) for n in range(40)]
+    items = items_of(
+        spark, {"id": "T1", "guid": "g1", "name": "n", "aspects": ["alpha beta"], "synonyms": ["filler 7", "q", "b"]},
+        {"id": "T2", "guid": "g2", "name": "m", "aspects": ["gamma"], "synonyms": []},
+    )
+    dims = ev.dimensions(items)
+    table = sections_of(spark, rows)
+    for scoped in (True, False):
+        columns = ["item_id", "dim_no", "id", "unit", "score", "hits"]
+        one = sorted(map(tuple, ev.score_sections(table, dims, scoped).select(columns).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(ev, "scores_of_finds", lambda *_: None)
+            two = sorted(map(tuple, ev.score_sections(table, dims, scoped).select(columns).collect()))
+            assert one == two and one
+        with monkeypatch.context() as m:
+            m.setattr(ev, "section_scores", None)  # which would read the texts again
+            ev.score_sections(table, dims, scoped).collect()

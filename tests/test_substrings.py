@@ -79,3 +79,31 @@ def test_an_empty_batch(spark):
     wanted = substrings._wanted(_tables(spark)[1].where("s IS NOT NULL"), ["project"])
     row, which = wanted.within(pa.array([], pa.binary()), pa.array([], pa.int64()))
     assert len(row) == len(which) == 0
+
+
+@pytest.mark.parametrize("portion", [1 << 20, 4])
+def test_finds_tell_title_text_and_seam(spark, monkeypatch, portion):
+    monkeypatch.setattr(substrings, "PORTION", portion)
+    texts = [
+        (1, "P0", "abcdefghij ab", "ab xyz"), (2, "P0", "", "é"), (3, "P0", "xé", ""), (4, "P1", "ab", "ab"), (5, None, "ab", "ab"),
+        (6, "P2", "ab", "ab"), (7, "P0", "abcdefghiX", "bcdefghij"), (8, "P0", "a", "b"),
+    ]
+    asked = [("P0", s) for s in ("ab", "abcdefghij", "bcdefghi", "é", "a b", "b a", "xyz", "x", " ")] + [("P1", "b"), ("P1", "b ab")]
+    rows = spark.createDataFrame(texts, "id int, project string, _body string, _title string").repartition(2)
+    rows = rows.withColumn("_blob", F.concat("_body", F.lit(" "), "_title"))
+    found, wanted = substrings.finds(rows, spark.createDataFrame(asked, "project string, s string"), ["project"])
+    got = {}
+    for r in found.collect():
+        for kind in ("title", "body", "seam"):
+            numbers = memoryview(bytes(r[kind])).cast("i")
+            got |= {(r.id, wanted.names[n].as_py()): kind for n in numbers}
+    want = {}
+    for i, project, body, title in texts:
+        for p, s in asked:
+            if p == project and s in f"{body} {title}":
+                want[i, s] = "title" if s in title else "body" if s in body else "seam"
+    assert got == want
+    assert found.count() == len(texts)
+    counts = substrings.count_finds(found, wanted, ["project"]).collect()
+    each = [(p, s) for (i, s) in want for (j, p, _, _) in texts if i == j]
+    assert {(r.project, r.s): r.n for r in counts} == {x: each.count(x) for x in each}
