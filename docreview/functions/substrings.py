@@ -247,6 +247,8 @@ def packed(row: np.ndarray, number: np.ndarray, n: int) -> pa.Array:
 
 def listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, number) for what `packed` made."""
+    if not len(lists):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1] // 4
     raw = lists.buffers()[2]
     numbers = np.zeros(0, "<i4") if raw is None else np.frombuffer(raw, "<i4", count=int(ends[-1]))

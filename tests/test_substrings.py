@@ -1,5 +1,6 @@
 """Strings looked up in texts: the two ways against plain loops."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,12 @@ def test_finds_tell_title_text_and_seam(spark, monkeypatch, portion):
     counts = substrings.count_finds(found, wanted, ["project"]).collect()
     each = [(p, s) for (i, s) in want for (j, p, _, _) in texts if i == j]
     assert {(r.project, r.s): r.n for r in counts} == {x: each.count(x) for x in each}
+
+
+def test_numbers_of_a_batch_without_rows():
+    empty = np.zeros(0, np.int64)
+    for lists in (substrings.packed(empty, empty, 0), pa.array([], pa.binary())):
+        assert [len(x) for x in substrings.listed(lists)] == [0, 0]
+    lists = substrings.packed(np.array([0, 2, 2]), np.array([5, 1, 7]), 3)
+    assert [x.tolist() for x in substrings.listed(lists)] == [[0, 2, 2], [5, 1, 7]]
+    assert [x.tolist() for x in substrings.listed(lists.slice(1, 2))] == [[1, 1], [1, 7]]
