@@ -16,6 +16,8 @@ BROADCAST_BYTES = 32 << 20
 #: First bytes of a string by which it is looked up, and bytes of text that are searched at a time.
 HEAD = 4
 PORTION = 1 << 20
+#: Bytes that are compared at a time to find a string's place among those that begin alike.
+WORD = 8
 #: Where a string stands in a row: in its title, in its text only, over the seam of both only.
 TITLE, BODY, SEAM = range(3)
 #: Groups times strings up to which a table tells what a group asks for.
@@ -70,16 +72,26 @@ class Wanted:
         raw = [s.encode("utf-8", "surrogatepass") for s in strings]
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.empty = np.flatnonzero(self.sizes == 0)
-        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.flat = np.frombuffer(b"".join(raw) + bytes(WORD), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.tails = np.zeros(len(raw), np.uint32)
         long = np.flatnonzero(self.sizes >= HEAD)
         self.tails[long] = self._codes(self.flat, self.starts[long] + self.sizes[long] - HEAD, HEAD)
+        # For each string the longest other one that it begins with, else -1.
+        self.outer = np.full(len(raw), -1, np.int64)
+        order = np.array(sorted(long.tolist(), key=raw.__getitem__), np.int64)
+        open_ = []
+        for k in order.tolist():
+            while open_ and not raw[k].startswith(raw[open_[-1]]):
+                open_.pop()
+            if open_:
+                self.outer[k] = open_[-1]
+            open_.append(k)
         # Width, distinct first bytes as numbers, one of them for each of 2^16 folds (else -1), which of them share a
-        # fold, and the strings of each: `strings` from cuts[c] to cuts[c + 1].
+        # fold, and the strings of each, in the order of their bytes: `strings` from cuts[c] to cuts[c + 1].
         self.heads = []
         for width in range(1, HEAD + 1):
-            strings = np.flatnonzero(np.minimum(self.sizes, HEAD) == width)
+            strings = order if width == HEAD else np.flatnonzero(self.sizes == width)
             if not len(strings):
                 continue
             codes, own, many = np.unique(self._codes(self.flat, self.starts[strings], width), return_inverse=True, return_counts=True)
@@ -98,13 +110,40 @@ class Wanted:
             code |= data[at + k].astype(np.uint32) << np.uint32(8 * k)
         return code
 
-    def _search(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, string, place) wherever a string stands; texts lie between `ends` in `data`."""
-        none = np.zeros(0, np.int64)
-        out = [(none, none, none)]
+    @staticmethod
+    def _words(padded: np.ndarray) -> np.ndarray:
+        """The WORD bytes from every place on as numbers in the order of the bytes. The last WORD bytes only fill up."""
+        return np.ndarray(len(padded) - WORD + 1, ">u8", padded, strides=(1,))
+
+    def _not_behind(self, words: np.ndarray, place: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether a string, by its bytes, begins what stands at a place or comes before it. Both have the same first bytes."""
+        flat, out, left, k = self._words(self.flat), np.ones(len(place), bool), np.arange(len(place)), HEAD
+        while len(left := left[self.sizes[which[left]] > k]):
+            own = which[left]
+            over = (8 * np.maximum(0, WORD - (self.sizes[own] - k))).astype(np.uint64)
+            string = flat[self.starts[own] + k].astype(np.uint64) >> over
+            there = words[np.minimum(place[left] + k, len(words) - 1)].astype(np.uint64) >> over
+            out[left[string > there]] = False
+            left, k = left[string == there], k + WORD
+        return out
+
+    def _nearest(self, words: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        """Where in `strings`, from `low` up to `high`, the last one stands that is not behind what a place has, `low` - 1 if
+        there is none. An only one is not compared. Halving makes no row for each of many strings that begin alike."""
+        low = low - (high - low > 1)
+        left = np.flatnonzero(high - low > 1)
+        while len(left):
+            middle = (low[left] + high[left]) // 2
+            upto = self._not_behind(words, place[left], strings[middle])
+            low[left[upto]], high[left[~upto]] = middle[upto], middle[~upto]
+            left = left[high[left] - low[left] > 1]
+        return low
+
+    def _search(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, string, place) wherever a string stands; texts lie between `ends` in `data`. In parts of one string a place."""
         text_of = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
         # Four bytes from every place on; those behind the end are 0, and no string reaches over it.
-        padded = np.append(data, np.zeros(HEAD - 1, np.uint8))
+        padded = np.append(data, np.zeros(WORD, np.uint8))
         code = np.ndarray(len(data), "<u4", padded, strides=(1,)).astype(np.uint32)
         for width, codes, slots, shared, strings, cuts in self.heads:
             heads = code if width == HEAD else code & np.uint32((1 << 8 * width) - 1)
@@ -118,28 +157,37 @@ class Wanted:
                 met[again] = codes[at[again]] == here[again]
             place, at = place[met], at[met]
             if len(strings) > len(codes):
-                many = cuts[at + 1] - cuts[at]
-                nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                which, place = strings[np.repeat(cuts[at], many) + nth], np.repeat(place, many)
+                nearest = self._nearest(self._words(padded), place, cuts[at], cuts[at + 1], strings)
+                known = nearest >= cuts[at]
+                place, which = place[known], strings[nearest[known]]
             else:
                 which = strings[at]
-            size = self.sizes[which]
-            if width == HEAD:  # the last bytes, then those between, HEAD at a time
-                last = place + size - HEAD
-                same = last < len(data)
-                same[same] = code[last[same]] == self.tails[which[same]]
-                place, which, size = place[same], which[same], size[same]
-            text = text_of[place]
-            inside = place + size <= ends[text + 1]
-            if width == HEAD:
-                left, k = np.flatnonzero(inside & (size > 2 * HEAD)), HEAD
-                while len(left):
-                    met = code[place[left] + k] == self._codes(self.flat, self.starts[which[left]] + k, HEAD)
-                    inside[left[~met]] = False
-                    k += HEAD
-                    left = left[met & (size[left] > k + HEAD)]
-            out.append((text[inside].astype(np.int64), which[inside], place[inside]))
-        return tuple(np.concatenate(c) for c in zip(*out))
+            while len(place):
+                yield self._standing(code, ends, text_of, place, which, width)
+                which = self.outer[which]  # shorter ones
+                more = np.flatnonzero(which >= 0)
+                place, which = place[more], which[more]
+
+    def _standing(
+        self, code: np.ndarray, ends: np.ndarray, text_of: np.ndarray, place: np.ndarray, which: np.ndarray, width: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, string, place) where the string of a place, whose first bytes are there, stands inside the text."""
+        size = self.sizes[which]
+        if width == HEAD:  # the last bytes, then those between, HEAD at a time
+            last = place + size - HEAD
+            same = last < len(code)
+            same[same] = code[last[same]] == self.tails[which[same]]
+            place, which, size = place[same], which[same], size[same]
+        text = text_of[place]
+        inside = place + size <= ends[text + 1]
+        if width == HEAD:
+            left, k = np.flatnonzero(inside & (size > 2 * HEAD)), HEAD
+            while len(left):
+                met = code[place[left] + k] == self._codes(self.flat, self.starts[which[left]] + k, HEAD)
+                inside[left[~met]] = False
+                k += HEAD
+                left = left[met & (size[left] > k + HEAD)]
+        return text[inside].astype(np.int64), which[inside], place[inside]
 
     def within(self, blobs: pa.Array, group: pa.Array, cut: pa.Array | None = None) -> tuple[np.ndarray, ...]:
         """(row, string), ascending and distinct, for each string that a blob contains and its group asks for.
@@ -157,32 +205,34 @@ class Wanted:
         own = np.minimum(np.searchsorted(self.groups, group), max(0, len(self.groups) - 1))
         pairs, at = [np.zeros(0, np.int64)], 0
         usable = given & (self.groups[own] == group) if len(self.groups) else np.zeros(len(blobs), bool)
-        while at < len(blobs) and usable.any():
-            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + PORTION, "right")) - 1)
-            row, which, place = self._search(data[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at])
-            row, kind = row + at, 0
-            if seam is not None:
-                place = place + ends[at]
-                kind = np.where(place > seam[row], TITLE, np.where(place + self.sizes[which] <= seam[row], BODY, SEAM))
-            rows = np.arange(at, upto)
-            row = np.concatenate([row, *(rows for _ in self.empty)])
-            which = np.concatenate([which, *(np.full(len(rows), e) for e in self.empty)])
+
+        def asked(row: np.ndarray, which: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+            """Each (row, string) that the row's group asks for, with its kind if there is a seam, as one number."""
             if self.table is None:
                 wanted = own[row] * n + which
                 known = self.asked[np.minimum(np.searchsorted(self.asked, wanted), len(self.asked) - 1)] == wanted
             else:
                 known = self.table[own[row], which]
             known &= usable[row]
-            if seam is None:
-                pairs.append(_tally(row[known] * n + which[known])[0])
-            else:  # the first of the three
-                kind = np.concatenate([kind, np.full(len(rows) * len(self.empty), TITLE)])
-                found = _tally((row[known] * n + which[known]) * 3 + kind[known])[0]
-                pairs.append(found[np.flatnonzero(np.diff(found // 3, prepend=-1))])
+            code = row * n + which
+            return _tally((code if seam is None else code * 3 + kind)[known])[0]
+
+        while at < len(blobs) and usable.any():
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + PORTION, "right")) - 1)
+            rows = np.arange(at, upto)
+            parts = [asked(rows, np.full(len(rows), e), TITLE) for e in self.empty]
+            for row, which, place in self._search(data[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at]):
+                row, place, kind = row + at, place + ends[at], TITLE
+                if seam is not None:
+                    kind = np.where(place > seam[row], TITLE, np.where(place + self.sizes[which] <= seam[row], BODY, SEAM))
+                parts.append(asked(row, which, kind))
+            if parts:
+                pairs.append(_tally(np.concatenate(parts))[0])
             at = upto
         found = np.concatenate(pairs)
         if seam is None:
             return found // n, found % n
+        found = found[np.flatnonzero(np.diff(found // 3, prepend=-1))]  # the first of the three
         return found // 3 // n, found // 3 % n, found % 3
 
 

@@ -1,5 +1,8 @@
 """Strings looked up in texts: the two ways against plain loops."""
 
+import random
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -117,3 +120,33 @@ def test_numbers_of_a_batch_without_rows():
     lists = substrings.packed(np.array([0, 2, 2]), np.array([5, 1, 7]), 3)
     assert [x.tolist() for x in substrings.listed(lists)] == [[0, 2, 2], [5, 1, 7]]
     assert [x.tolist() for x in substrings.listed(lists.slice(1, 2))] == [[1, 1], [1, 7]]
+
+
+def _asked(strings, group=0):
+    return substrings.Wanted(strings, np.full(len(strings), group), np.arange(len(strings)))
+
+
+def test_strings_that_begin_alike_make_no_row_per_place():
+    """Names of one beginning meet a place by halving: memory follows the text, not the text times the names."""
+    strings = [f"supplier{i:06}" for i in range(20_000)] + ["supplier", "supplier00"]
+    texts = [f"/x/supplier{7 * i:06}/y.pdf".encode() for i in range(2_000)] + [b"supplier99", b"supplie"]
+    wanted = _asked(strings)
+    tracemalloc.start()
+    row, which = wanted.within(pa.array(texts, pa.binary()), pa.array([0] * len(texts), pa.int64()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own = {(i, 7 * i) for i in range(2_000)}
+    both = {(i, 20_000) for i in range(2_001)} | {(i, 20_001) for i in range(2_000) if 7 * i < 10_000}
+    assert set(zip(row.tolist(), which.tolist())) == {x for x in own if x[1] < 20_000} | both
+    assert most < 32 << 20
+
+
+@pytest.mark.parametrize("letters", ["ab", "a\x00", "aé章"])
+def test_strings_that_begin_with_others(letters):
+    """Strings inside longer ones, at the ends of texts too, against a loop."""
+    rng = random.Random(1)
+    word = lambda most: "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    strings = sorted({word(24) for _ in range(150)} | {letters[0] * n for n in range(20)})
+    texts = [word(60) for _ in range(60)] + [s + t for s, t in zip(strings, [letters[0] * 30, *strings])]
+    row, which = _asked(strings).within(pa.array([t.encode() for t in texts], pa.binary()), pa.array([0] * len(texts), pa.int64()))
+    assert list(zip(row.tolist(), which.tolist())) == [(i, k) for i, t in enumerate(texts) for k, s in enumerate(strings) if s in t]
