@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docreview.llm.common import without_keys
+from docreview.llm.common import bounded, free_names, without_keys
 from docreview.session import stage
 
 BITS = 64
@@ -164,12 +164,31 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
 
 
+def told_apart(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """`df` and a column that is equal only in rows of equal key and text: `key` where none repeats, else a new struct
+    that orders rows by key (null last), the longer text first, then the text's hash."""
+    if df.groupBy(key).count().where("count > 1").isEmpty():
+        return df, key
+    (row,) = free_names(df, "_row")
+    said = F.col(text).cast("string")
+    return df.withColumn(row, F.struct(
+        F.col(key).isNull().alias("none"), F.col(key).alias("key"), (-F.char_length(F.coalesce(said, F.lit("")))).alias("points"),
+        F.coalesce(F.sha2(said, 256), F.lit("")).alias("sha"),
+    )), row
+
+
 def one_per_component(
     df: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates
 ) -> DataFrame:
-    """The rows of `df` whose key is the smallest of its component, as `find` names it, with all
-    their columns; rows with one key stay or go together. Keys that go are taken out by a broadcast
-    while they are few."""
-    found = stage(find(df, key, text))
-    gone = found.groupBy(key).agg(F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("_first")).where("NOT _first")
-    return without_keys(df, stage(gone.select(key)), key)
+    """One row of each component, as `find` names it, with all its columns: the row with the smallest key, null last.
+    Of several rows with that key the longest stays, and one of those that agree in key and text. Rows that go
+    are taken out by a broadcast while they are few; only rows that come again are shuffled with their texts."""
+    rows, row = told_apart(df, key, text)
+    found = stage(find(rows, row, text))
+    each = stage(found.groupBy(row).agg(F.max(F.col(row).eqNullSafe(F.col("component_id"))).alias("_first"), F.count("*").alias("_rows")))
+    rest = without_keys(rows, stage(each.where("NOT _first").select(row)), row)
+    if row != key:
+        again = stage(each.where("_first AND _rows > 1").select(F.col(row).alias("_again")))
+        several = rest.join(bounded(again), rest[row].eqNullSafe(again["_again"]), "left_semi")
+        rest = without_keys(rest, again.withColumnRenamed("_again", row), row).unionByName(several.dropDuplicates([row]))
+    return rest.select(*df.columns)

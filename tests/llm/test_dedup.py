@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cases import hard, hard_rows, none, repeats
-from docreview.llm import exact, simhash, suffixes
+from docreview.llm import common, exact, similar, simhash, suffixes
 
 
 def test_exact_groups_of_hard_rows(spark):
@@ -133,6 +133,24 @@ def test_one_per_component(spark):
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in found}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_row_of_each_component(spark, monkeypatch, broadcast):
+    """Also where keys are null or repeat: near copies under one key, and rows that come again, go."""
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    base, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [
+        (None, base, 1), (None, base + " end", 2), (None, other, 3), (5, third, 4), (5, third, 4), (5, third + " end", 5),
+        (5, other + " end", 6), (7, third, 7), (None, None, 8), (None, "", 9), (9, "alone", 10),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)
+    kept = simhash.one_per_component(df, find=similar.near_copies)
+    assert kept.columns == df.columns
+    got = {(r.doc_id, r.text or "") for r in kept.collect()}
+    assert got == {(None, base + " end"), (5, other + " end"), (5, third + " end"), (None, ""), (9, "alone")}
+    assert kept.count() == len(got)
+
+
 def same_repeats(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = Counter(
